@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import js_round, jr_int
+from .fence import fenced
 from .sizing import analyze_dpi, is_digital
 
 FACTORS = ["resolution", "aspect", "brightness", "saturation", "contrast", "sharpness", "ink_safety"]
@@ -68,7 +69,7 @@ def score_readiness(df: DataFrame, issues: bool = False) -> DataFrame:
             .when(over, F.lit(90.0)).otherwise(F.lit(100.0)))
     parts = {"resolution": _resolution(), "aspect": F.col("_aspect"), "brightness": bright, "saturation": colour,
              "contrast": contrast, "sharpness": sharp, "ink_safety": ink}
-    df = df.withColumns({f"s_{n}": jr_int(c) for n, c in parts.items()})
+    df = fenced(df.withColumns({f"s_{n}": jr_int(c) for n, c in parts.items()}), [f"s_{n}" for n in FACTORS])
     total = reduce(lambda acc, t: acc + t, [F.col(f"s_{n}") * WEIGHTS[n] for n in FACTORS])
     score = F.greatest(F.lit(0), F.least(F.lit(100), jr_int(total)))
     df = df.withColumn("score", score)
@@ -171,4 +172,5 @@ def before_after(df: DataFrame) -> DataFrame:
     post = score_readiness(simulate_optimised(pre)).withColumnsRenamed({"score": "post_score", "level": "post_level"})
     post = post.withColumns({"post_dpi": F.col("current_dpi"),
                              "score_delta": F.col("post_score") - F.col("pre_score")})
+    post = fenced(post, ["post_score", "score_delta"])
     return post.withColumn("regressed", F.col("score_delta") < 0).drop(*carry, *[f"s_{n}" for n in FACTORS])

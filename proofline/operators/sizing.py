@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import jr_int, js_round
 from ..functions.units import mm_to_px
 from ..sources import dims
+from .fence import fenced
 
 MAX_SAFE_PX = 6000
 DIGITAL_PX = 1080
@@ -58,6 +59,7 @@ def analyze_dpi(df: DataFrame) -> DataFrame:
         "target_width_px": F.when(digital, F.lit(DIGITAL_PX)).otherwise(mm_to_px(F.col("width_mm"), target)),
         "target_height_px": F.when(digital, F.lit(DIGITAL_PX)).otherwise(mm_to_px(F.col("height_mm"), target)),
     })
+    df = fenced(df, ["current_dpi", "quality_tier", "scale_factor"])
     upscale = F.when(digital, F.col("scale_factor") > 1).otherwise((dpi < target) & (F.col("scale_factor") > 1))
     return df.withColumn("needs_upscale", upscale)
 

@@ -41,6 +41,11 @@ def r6(e: str) -> str:
     return f"floor(({e})*1e6+0.5)/1e6"
 
 
+def fixed_avg(e: str) -> str:
+    """Mean over nano-units summed as integers, so the order of rows cannot matter."""
+    return f"CAST(sum(CAST(floor(({e})*1e9+0.5) AS BIGINT)) AS DOUBLE)/1e9/count(*)"
+
+
 def case_list(key: str, pairs, default: str) -> str:
     return "CASE " + key + " " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in pairs) + f" ELSE {default} END"
 
@@ -59,20 +64,20 @@ THUMBS = """SELECT p_partkey AS image_id, CAST(24+p_size%24 AS INTEGER) AS w, CA
  CAST(p_partkey%8 AS INTEGER) AS style, CAST(p_partkey%1000 AS INTEGER) AS k, p_size AS s FROM part"""
 
 _INK = "((y//5)%3=1 AND x*6>=w AND x*6<=w*5 AND ((x*7+k)//2)%3=0)"
-_STRIPE = "CASE WHEN x%4<2 THEN 255 ELSE 0 END"
+_STRIPE = "CASE WHEN x%4<2 THEN 0 ELSE 255 END"
 _LINE = "(x%9=0 OR y%9=0)"
 PIXELS = f"""SELECT image_id, w, h, x, y,
- CAST(CASE style WHEN 0 THEN (x*255)//w WHEN 1 THEN (x*11+y*7+k*13)%256 WHEN 2 THEN CASE WHEN {_INK} THEN 20 ELSE 240 END
-  WHEN 3 THEN {_STRIPE} WHEN 4 THEN 8+(x+k)%17 WHEN 5 THEN 255-(x*3)%32 WHEN 6 THEN 244+(x+y)%8
+ CAST(CASE style WHEN 0 THEN (x*(65280//w))//256 WHEN 1 THEN (x*11+y*7+k*13)%256 WHEN 2 THEN CASE WHEN {_INK} THEN 20 ELSE 240 END
+  WHEN 3 THEN {_STRIPE} WHEN 4 THEN 8+(x+k)%17 WHEN 5 THEN 224+(x*3)%32 WHEN 6 THEN 244+(x+y)%8
   ELSE CASE WHEN {_LINE} THEN 40 ELSE 14 END END AS INTEGER) AS r,
- CAST(CASE style WHEN 0 THEN (y*255)//h WHEN 1 THEN (x*5+y*17+s*29)%256 WHEN 2 THEN CASE WHEN {_INK} THEN 24 ELSE 236 END
+ CAST(CASE style WHEN 0 THEN (y*(65280//h))//256 WHEN 1 THEN (x*5+y*17+s*29)%256 WHEN 2 THEN CASE WHEN {_INK} THEN 24 ELSE 236 END
   WHEN 3 THEN {_STRIPE} WHEN 4 THEN 6+y%13 WHEN 5 THEN (y*5)%40 WHEN 6 THEN 240+(x+k)%9
   ELSE CASE WHEN {_LINE} THEN 95 ELSE 48 END END AS INTEGER) AS g,
  CAST(CASE style WHEN 0 THEN (k*37)%256 WHEN 1 THEN (x*y+k*3)%256 WHEN 2 THEN CASE WHEN {_INK} THEN 30 ELSE 228 END
   WHEN 3 THEN {_STRIPE} WHEN 4 THEN 10+(x+y)%19 WHEN 5 THEN 200+(x+y)%56 WHEN 6 THEN 238+(y+s)%11
   ELSE CASE WHEN {_LINE} THEN 185 ELSE 115 END END AS INTEGER) AS b,
  CAST(CASE WHEN style IN (1,5) THEN CASE WHEN (2*x-w)*(2*x-w)+(2*y-h)*(2*y-h) <= least(w,h)*least(w,h) THEN 255 ELSE 0 END
-  WHEN style=6 THEN (x*255)//w ELSE 255 END AS INTEGER) AS a
+  WHEN style=6 THEN (x*(65280//w))//256 ELSE 255 END AS INTEGER) AS a
  FROM (SELECT *, CAST(i%w AS INTEGER) AS x, CAST(i//w AS INTEGER) AS y
        FROM (SELECT *, unnest(range(w*h)) AS i FROM ({THUMBS})))"""
 

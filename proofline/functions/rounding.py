@@ -31,3 +31,13 @@ def tenths(c: Column) -> Column:
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), c))
+
+
+def nano(c: Column) -> Column:
+    """Whole billionths: sums of these are exact and independent of row order."""
+    return F.floor(c * F.lit(1e9) + F.lit(0.5))
+
+
+def fixed_avg(c: Column) -> Column:
+    """Mean from an integer sum of billionths."""
+    return F.sum(nano(c)).cast("double") / F.lit(1e9) / F.count("*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..functions.rounding import js_round, jr_int
+from ..functions.rounding import fixed_avg, js_round, jr_int, nano
 
 LUM_UNIT = 0.0039215686
 INK_PERCENT = 100.0 / 255.0
@@ -86,14 +86,14 @@ def percentile_spread(hist: DataFrame) -> DataFrame:
 def _stat_sums() -> list[Column]:
     s = (F.greatest(*_rgb()) + F.least(*_rgb())).cast("bigint")
     return [F.count("*").alias("n"), F.sum(s).alias("sum_s"), F.sum(s * s).alias("sum_s2"),
-            F.sum(color.saturation(*_rgb())).alias("sum_sat"),
+            F.sum(nano(color.saturation(*_rgb()))).alias("sum_sat"),
             F.count_if(F.col("a") < 255).alias("transparent")]
 
 
 def _stat_columns(df: DataFrame) -> DataFrame:
     lum = F.col("sum_s") * (0.5 * LUM_UNIT) / F.col("n")
     lum2 = F.col("sum_s2") * (0.25 * LUM_UNIT * LUM_UNIT) / F.col("n")
-    df = df.withColumns({"avg_lum": lum, "_lum2": lum2, "avg_sat": F.col("sum_sat") / F.col("n"),
+    df = df.withColumns({"avg_lum": lum, "_lum2": lum2, "avg_sat": F.col("sum_sat") / F.lit(1e9) / F.col("n"),
                          "transparent_ratio": F.col("transparent") / F.col("n")})
     raw = F.sqrt(F.greatest(F.lit(0.0), F.col("_lum2") - F.col("avg_lum") * F.col("avg_lum")))
     return df.withColumn("raw_std", raw).drop("_lum2")
@@ -195,7 +195,7 @@ def plate_coverage(pixels: DataFrame, dot_above: float = 0.02) -> DataFrame:
     dens["k"] = F.lit(1.0) - F.col("_mx") / 255.0
     df = df.select("image_id", *[d.alias(f"_{n}") for n, d in dens.items()])
     return df.groupBy("image_id").agg(
-        *[F.avg(f"_{n}").alias(f"mean_{n}") for n in dens],
+        *[fixed_avg(F.col(f"_{n}")).alias(f"mean_{n}") for n in dens],
         *[(F.count_if(F.col(f"_{n}") > dot_above) / F.count("*")).alias(f"dots_{n}") for n in dens])
 
 
@@ -210,7 +210,7 @@ def ink_hot_spots(pixels: DataFrame, tile: int = 8, threshold: int = 300) -> Dat
     return (pixels.withColumns({"tile_x": F.floor(F.col("x") / tile).cast("int"),
                                 "tile_y": F.floor(F.col("y") / tile).cast("int"), "_s": sev})
             .groupBy("image_id", "tile_x", "tile_y")
-            .agg(F.max("_s").alias("max_severity"), F.avg("_s").alias("avg_severity"),
+            .agg(F.max("_s").alias("max_severity"), fixed_avg(F.col("_s")).alias("avg_severity"),
                  F.count_if(F.col("_s") > 0).alias("hot_pixels")))
 
 

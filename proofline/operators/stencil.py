@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import fixed_avg
+
 BAND = 64
 CHANNELS = ("r", "g", "b", "a")
 
@@ -19,7 +21,7 @@ def to_scanlines(pixels: DataFrame) -> DataFrame:
     cell = F.struct("x", *CHANNELS)
     rows = pixels.groupBy("image_id", "w", "h", "y").agg(F.sort_array(F.collect_list(cell)).alias("_px"))
     return rows.select("image_id", "w", "h", "y",
-                       *[F.transform("_px", lambda p, c=c: p[c]).alias(c) for c in CHANNELS])
+                       *[F.col(f"_px.{c}").alias(c) for c in CHANNELS])
 
 
 def to_pixels(scanlines: DataFrame) -> DataFrame:
@@ -87,4 +89,4 @@ def sobel(scanlines: DataFrame) -> DataFrame:
 
 def edge_score(scanlines: DataFrame) -> DataFrame:
     return sobel(scanlines).groupBy("image_id").agg(
-        F.avg("magnitude").alias("edge_score"), F.count("*").alias("edge_points"))
+        fixed_avg(F.col("magnitude")).alias("edge_score"), F.count("*").alias("edge_points"))

@@ -7,6 +7,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Colour formulas generate long methods. Above 8000 bytes the JVM would run them
+# interpreted; this limit makes Spark compile such steps one by one instead.
+CODEGEN_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
 
@@ -19,11 +22,18 @@ def build_session(cpus: str | int = "*", app: str = "proofline") -> SparkSession
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            .config(*CODEGEN_LIMIT)
             .config("spark.driver.memory", os.environ.get("PROOFLINE_DRIVER_MEMORY", "12g"))
             .config("spark.ui.enabled", "false")
             .getOrCreate())
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the operators expect, for sessions built elsewhere."""
+    if spark.conf.get(CODEGEN_LIMIT[0], "65535") == "65535":
+        spark.conf.set(*CODEGEN_LIMIT)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 

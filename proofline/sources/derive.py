@@ -69,44 +69,80 @@ def _div(a: Column, b) -> Column:
     return F.floor(a / b).cast("int")
 
 
-def pixel_channels(x: Column, y: Column) -> dict[str, Column]:
-    """Channel formulas per style, over ``w, h, style, k, s``."""
-    w, h, style, k, s = [F.col(c) for c in ("w", "h", "style", "k", "s")]
-
-    def by_style(*forms) -> Column:
-        col = F.when(style == 0, forms[0])
-        for i, f in enumerate(forms[1:], start=1):
-            col = col.when(style == i, f)
+# Ground colour and overlay colour of the flat styles.
+GROUND = {2: (240, 236, 228), 4: (8, 6, 10), 5: (224, 0, 200), 6: (244, 240, 238), 7: (14, 48, 115)}
+OVERLAY = {2: (20, 24, 30), 7: (40, 95, 185)}
+
+
+def _line_parameters() -> dict[str, Column]:
+    """Per image line: every channel is ``base + amp * (((off + slope * x) >> sh) % mod)``.
+
+    Whatever depends on the style or on the line is settled here, before the
+    rows spread out, which leaves a short formula for each pixel.
+    """
+    y, w, h, style, k, s = [F.col(c) for c in ("y", "w", "h", "style", "k", "s")]
+
+    def by_style(forms: dict[int, object], default: int = 0) -> Column:
+        col = F.lit(default)
+        for i, f in forms.items():
+            col = F.when(style == i, f).otherwise(col)
         return col.cast("int")
 
-    ink = (_div(y, 5) % 3 == 1) & (x * 6 >= w) & (x * 6 <= w * 5) & (_div(x * 7 + k, 2) % 3 == 0)
-    stripe = F.when(x % 4 < 2, 255).otherwise(0)
-    line = (x % 9 == 0) | (y % 9 == 0)
-    inside = (2 * x - w) * (2 * x - w) + (2 * y - h) * (2 * y - h) <= F.least(w, h) * F.least(w, h)
-    return {
-        "r": by_style(_div(x * 255, w), (x * 11 + y * 7 + k * 13) % 256, F.when(ink, 20).otherwise(240), stripe,
-                      8 + (x + k) % 17, 255 - (x * 3) % 32, 244 + (x + y) % 8, F.when(line, 40).otherwise(14)),
-        "g": by_style(_div(y * 255, h), (x * 5 + y * 17 + s * 29) % 256, F.when(ink, 24).otherwise(236), stripe,
-                      6 + y % 13, (y * 5) % 40, 240 + (x + k) % 9, F.when(line, 95).otherwise(48)),
-        "b": by_style((k * 37) % 256, (x * y + k * 3) % 256, F.when(ink, 30).otherwise(228), stripe,
-                      10 + (x + y) % 19, 200 + (x + y) % 56, 238 + (y + s) % 11, F.when(line, 185).otherwise(115)),
-        "a": F.when(style.isin(1, 5), F.when(inside, 255).otherwise(0))
-              .when(style == 6, _div(x * 255, w)).otherwise(255).cast("int"),
-    }
+    width_step, height_step = _div(F.lit(65280), w), _div(F.lit(65280), h)
+    slope = {"r": {0: width_step, 1: 11, 3: 1, 4: 1, 5: 3, 6: 1}, "g": {1: 5, 3: 1, 6: 1},
+             "b": {1: y, 3: 1, 4: 1, 5: 1}}
+    off = {"r": {1: y * 7 + k * 13, 4: k, 6: y},
+           "g": {0: y * height_step, 1: y * 17 + s * 29, 4: y, 5: y * 5, 6: k},
+           "b": {0: (k * 37) % 256 * 256, 1: k * 3, 4: y, 5: y, 6: y + s}}
+    mod = {"r": {0: 256, 1: 256, 3: 2, 4: 17, 5: 32, 6: 8}, "g": {0: 256, 1: 256, 3: 2, 4: 13, 5: 40, 6: 9},
+           "b": {0: 256, 1: 256, 3: 2, 4: 19, 5: 56, 6: 11}}
+    out = {}
+    for i, ch in enumerate("rgb"):
+        out[f"slope_{ch}"] = by_style(slope[ch])
+        out[f"off_{ch}"] = by_style(off[ch])
+        out[f"mod_{ch}"] = by_style(mod[ch], 1)
+        out[f"base_{ch}"] = by_style({st: c[i] for st, c in GROUND.items()})
+        out[f"over_{ch}"] = by_style({st: c[i] for st, c in OVERLAY.items()})
+    out["sh"] = by_style({0: 8, 3: 1})
+    out["amp"] = by_style({3: 255}, 1)
+    # 1: lettering line, 2: ground line of the grid, 3: full grid line
+    out["hit"] = by_style({2: F.when(_div(y, 5) % 3 == 1, 1).otherwise(0), 7: F.when(y % 9 == 0, 3).otherwise(2)})
+    side = F.least(w, h)
+    out["alpha_kind"] = by_style({1: 1, 5: 1, 6: 2})
+    out["radius2"] = (side * side - (2 * y - h) * (2 * y - h)).cast("int")
+    out["fade"] = width_step
+    return out
+
+
+def pixel_channels(x: Column) -> dict[str, Column]:
+    """Channel values at column ``x`` from the line parameters."""
+    w, hit = F.col("w"), F.col("hit")
+    letter = (x * 6 >= w) & (x * 6 <= w * 5) & (F.shiftright(x * 7 + F.col("k"), 1) % 3 == 0)
+    marked = ((hit == 1) & letter) | ((hit == 2) & (x % 9 == 0)) | (hit == 3)
+
+    def channel(ch: str) -> Column:
+        run = F.call_function("shiftright", F.col(f"off_{ch}") + F.col(f"slope_{ch}") * x, F.col("sh"))
+        return F.when(marked, F.col(f"over_{ch}")).otherwise(
+            F.col(f"base_{ch}") + F.col("amp") * (run % F.col(f"mod_{ch}")))
+
+    kind = F.col("alpha_kind")
+    inside = F.when((2 * x - w) * (2 * x - w) <= F.col("radius2"), 255).otherwise(0)
+    alpha = F.when(kind == 0, 255).when(kind == 1, inside).otherwise(F.shiftright(x * F.col("fade"), 8))
+    return {**{ch: channel(ch) for ch in "rgb"}, "a": alpha}
 
 
 def raster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per image line, spread by (image, band) so no image sits in one task."""
     t = thumbnails(spark, sf_dir)
     rows = t.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    rows = rows.select("image_id", "w", "h", "y", "k", *[c.alias(n) for n, c in _line_parameters().items()])
     return rows.repartition(task_parallelism(spark), "image_id", _div(F.col("y"), ROWS_PER_BAND))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pixels(image_id, w, h, x, y, r, g, b, a)`` of every thumbnail."""
     p = raster_rows(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    ch = pixel_channels(F.col("x"), F.col("y"))
-    return p.select("image_id", "w", "h", "x", "y", *[c.alias(n) for n, c in ch.items()])
+    return p.select("image_id", "w", "h", "x", "y", *[c.alias(n) for n, c in pixel_channels(F.col("x")).items()])
 
 
 def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +151,9 @@ def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     xs = F.sequence(F.lit(0), F.col("w") - 1)
 
     def channel(name: str) -> Column:
-        return F.transform(xs, lambda x: pixel_channels(x, F.col("y"))[name])
+        return F.transform(xs, lambda x: pixel_channels(x)[name]).alias(name)
 
-    return rows.select("image_id", "w", "h", "y", *[channel(n).alias(n) for n in ("r", "g", "b", "a")])
+    return rows.select("image_id", "w", "h", "y", *[channel(n) for n in ("r", "g", "b", "a")])
 
 
 def print_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

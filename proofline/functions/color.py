@@ -12,11 +12,12 @@ projection instead of one exponentially repeated tree.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rounding import clamp, js_round
+from .rounding import js_round
 
 
 def _float32(v: float) -> float:
@@ -32,10 +33,15 @@ def srgb_table() -> list[float]:
     return out
 
 
+@lru_cache(maxsize=1)
+def srgb_table_sql() -> str:
+    """The table as one constant array expression."""
+    return "array(" + ",".join(f"{v!r}D" for v in srgb_table()) + ")"
+
+
 def srgb_to_linear(c: Column) -> Column:
     """Constant-table lookup; ``c`` is an integer code in 0..255."""
-    table = F.array(*[F.lit(v) for v in srgb_table()])
-    return F.get(table, c.cast("int"))
+    return F.get(F.expr(srgb_table_sql()), c.cast("int"))
 
 
 def linear_to_srgb(v: Column) -> Column:
@@ -116,51 +122,62 @@ D50_TO_RGB = ((3.1338561, -1.6168667, -0.4906146),
 WHITE_D65 = (0.95047, 1.0, 1.08883)
 
 
-def _dot(row, cols) -> Column:
-    a, b, c = row
-    return cols[0] * a + cols[1] * b + cols[2] * c
+def dot_sql(row, cols) -> str:
+    return "(" + " + ".join(f"{c} * {v!r}D" for c, v in zip(cols, row)) + ")"
+
+
+def stage(df: DataFrame, **exprs: str) -> DataFrame:
+    """Adds the named SQL expressions; later ones may use earlier ones by name.
 
+    The chain is one ``selectExpr`` with lateral column aliases, so a long
+    formula is analysed once.
+    """
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in exprs.items()])
 
-def with_linear(df: DataFrame, r="r", g="g", b="b") -> DataFrame:
-    return df.withColumns({"_lr": srgb_to_linear(F.col(r)),
-                           "_lg": srgb_to_linear(F.col(g)),
-                           "_lb": srgb_to_linear(F.col(b))})
 
+def unit_sql(e: str) -> str:
+    return f"least(1D, greatest(0D, {e}))"
 
-def with_xyz(df: DataFrame) -> DataFrame:
-    lin = [F.col("_lr"), F.col("_lg"), F.col("_lb")]
-    return df.withColumns({n: _dot(row, lin) for n, row in zip(("_X", "_Y", "_Z"), RGB_TO_XYZ)})
 
+def code_sql(v: str) -> str:
+    """8-bit sRGB code of a linear value, as SQL."""
+    g = f"CASE WHEN {v} <= 0.0031308D THEN {v} * 12.92D ELSE power(greatest({v}, 0D), {1 / 2.4!r}D) * 1.055D - 0.055D END"
+    return f"int(least(255, greatest(0, floor(({g}) * 255 + 0.5D))))"
+
+
+def xyz_exprs(r: str, g: str, b: str) -> dict[str, str]:
+    """Linear light and XYZ of an 8-bit colour."""
+    table = srgb_table_sql()
+    out = {n: f"get({table}, {c})" for n, c in (("_lr", r), ("_lg", g), ("_lb", b))}
+    out |= {n: dot_sql(row, ("_lr", "_lg", "_lb")) for n, row in zip(("_X", "_Y", "_Z"), RGB_TO_XYZ)}
+    return out
 
-_CMYK_TEMP = ["_lr", "_lg", "_lb", "_X", "_Y", "_Z", "_X5", "_Y5", "_Z5", "_r5", "_g5", "_b5",
-              "_kb", "_c0", "_m0", "_y0", "_gray", "_cut"]
+
+def cmyk_exprs(gcr: float, r="r", g="g", b="b") -> dict[str, str]:
+    out = xyz_exprs(r, g, b)
+    out |= {n: dot_sql(row, ("_X", "_Y", "_Z")) for n, row in zip(("_X5", "_Y5", "_Z5"), D65_TO_D50)}
+    out |= {n: unit_sql(dot_sql(row, ("_X5", "_Y5", "_Z5"))) for n, row in zip(("_r5", "_g5", "_b5"), D50_TO_RGB)}
+    out["_kb"] = "1D - greatest(_r5, _g5, _b5)"
+    out |= {n: f"CASE WHEN _kb < 1 THEN {unit_sql(f'(1D - {c} - _kb) / (1D - _kb)')} ELSE 0D END"
+            for n, c in (("_c0", "_r5"), ("_m0", "_g5"), ("_y0", "_b5"))}
+    strength = (f"CASE WHEN _kb > 0.6D THEN {min(0.95, gcr * 1.15)!r}D WHEN _kb > 0.3D THEN {gcr!r}D "
+                f"ELSE {max(0.3, gcr * 0.75)!r}D END")
+    out["_cut"] = f"least(_c0, _m0, _y0) * ({strength})"
+    return out | {"c": unit_sql("_c0 - _cut"), "m": unit_sql("_m0 - _cut"), "y_ink": unit_sql("_y0 - _cut"),
+                  "k": unit_sql("_kb + _cut * 0.6D")}
 
 
 def with_cmyk(df: DataFrame, gcr: float = 0.8, r="r", g="g", b="b") -> DataFrame:
-    """Adds ``c, m, y, k`` under the white-point-adapted, grey-replacing model."""
-    df = with_xyz(with_linear(df, r, g, b))
-    xyz = [F.col("_X"), F.col("_Y"), F.col("_Z")]
-    df = df.withColumns({n: _dot(row, xyz) for n, row in zip(("_X5", "_Y5", "_Z5"), D65_TO_D50)})
-    xyz5 = [F.col("_X5"), F.col("_Y5"), F.col("_Z5")]
-    df = df.withColumns({n: clamp(_dot(row, xyz5), 0.0, 1.0)
-                         for n, row in zip(("_r5", "_g5", "_b5"), D50_TO_RGB)})
-    df = df.withColumn("_kb", F.lit(1.0) - F.greatest("_r5", "_g5", "_b5"))
-
-    def ink(channel: str) -> Column:
-        part = (F.lit(1.0) - F.col(channel) - F.col("_kb")) / (F.lit(1.0) - F.col("_kb"))
-        return F.when(F.col("_kb") < 1, clamp(part, 0.0, 1.0)).otherwise(F.lit(0.0))
-
-    df = df.withColumns({"_c0": ink("_r5"), "_m0": ink("_g5"), "_y0": ink("_b5")})
-    strength = (F.when(F.col("_kb") > 0.6, F.lit(min(0.95, gcr * 1.15)))
-                 .when(F.col("_kb") > 0.3, F.lit(gcr))
-                 .otherwise(F.lit(max(0.3, gcr * 0.75))))
-    df = df.withColumn("_cut", F.least("_c0", "_m0", "_y0") * strength)
-    return df.withColumns({
-        "c": clamp(F.col("_c0") - F.col("_cut"), 0.0, 1.0),
-        "m": clamp(F.col("_m0") - F.col("_cut"), 0.0, 1.0),
-        "y_ink": clamp(F.col("_y0") - F.col("_cut"), 0.0, 1.0),
-        "k": clamp(F.col("_kb") + F.col("_cut") * 0.6, 0.0, 1.0),
-    }).drop(*_CMYK_TEMP)
+    """Adds ``c, m, y_ink, k`` under the white-point-adapted, grey-replacing model."""
+    exprs = cmyk_exprs(gcr, r, g, b)
+    return stage(df, **exprs).drop(*[n for n in exprs if n.startswith("_")])
+
+
+def with_round_trip(df: DataFrame, gcr: float, names: tuple[str, str, str]) -> DataFrame:
+    """Adds the colour that comes back from the ink model."""
+    exprs = cmyk_exprs(gcr)
+    back = {n: code_sql(f"((1D - {ink}) * (1D - k))") for n, ink in zip(names, ("c", "m", "y_ink"))}
+    return stage(df, **exprs, **back).drop(*exprs)
 
 
 def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> tuple[Column, Column, Column]:
@@ -172,29 +189,28 @@ def lab_f(t: Column) -> Column:
     return F.when(t > 0.008856, F.cbrt(t)).otherwise(t * 7.787 + 16.0 / 116.0)
 
 
-def lab_f_inv(t: Column) -> Column:
-    cube = t * t * t
-    return F.when(cube > 0.008856, cube).otherwise((t - 16.0 / 116.0) / 7.787)
+def lab_exprs(r="r", g="g", b="b") -> dict[str, str]:
+    def bend(t: str) -> str:
+        return f"CASE WHEN {t} > 0.008856D THEN cbrt({t}) ELSE {t} * 7.787D + {16 / 116!r}D END"
 
-
-_LAB_TEMP = ["_lr", "_lg", "_lb", "_X", "_Y", "_Z", "_fx", "_fy", "_fz"]
+    out = xyz_exprs(r, g, b)
+    out |= {n: bend(f"({c} / {w!r}D)") for n, c, w in zip(("_fx", "_fy", "_fz"), ("_X", "_Y", "_Z"), WHITE_D65)}
+    return out | {"lab_l": "_fy * 116 - 16", "lab_a": "(_fx - _fy) * 500", "lab_b": "(_fy - _fz) * 200"}
 
 
 def with_lab(df: DataFrame, r="r", g="g", b="b") -> DataFrame:
     """Adds ``lab_l, lab_a, lab_b`` (D65) for the 8-bit colour."""
-    df = with_xyz(with_linear(df, r, g, b))
-    df = df.withColumns({n: lab_f(F.col(s) / w)
-                         for n, s, w in zip(("_fx", "_fy", "_fz"), ("_X", "_Y", "_Z"), WHITE_D65)})
-    return df.withColumns({"lab_l": F.col("_fy") * 116 - 16,
-                           "lab_a": (F.col("_fx") - F.col("_fy")) * 500,
-                           "lab_b": (F.col("_fy") - F.col("_fz")) * 200}).drop(*_LAB_TEMP)
-
-
-def lab_to_linear(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
-    fy = (l + 16) / 116
-    xyz = [lab_f_inv(a / 500 + fy) * WHITE_D65[0], lab_f_inv(fy) * WHITE_D65[1],
-           lab_f_inv(fy - b / 200) * WHITE_D65[2]]
-    return tuple(_dot(row, xyz) for row in XYZ_TO_RGB)
+    exprs = lab_exprs(r, g, b)
+    return stage(df, **exprs).drop(*[n for n in exprs if n.startswith("_")])
+
+
+def rgb_from_lab_exprs(l: str, a: str, b: str, names: tuple[str, str, str]) -> dict[str, str]:
+    """Clamped linear RGB of the named Lab columns."""
+    out = {"_gy": f"({l} + 16) / 116"}
+    out |= {"_gx": f"{a} / 500 + _gy", "_gz": f"_gy - {b} / 200"}
+    out |= {n: f"CASE WHEN {g} * {g} * {g} > 0.008856D THEN {g} * {g} * {g} ELSE ({g} - {16 / 116!r}D) / 7.787D END * {w!r}D"
+            for n, g, w in zip(("_U", "_V", "_W"), ("_gx", "_gy", "_gz"), WHITE_D65)}
+    return out | {n: unit_sql(dot_sql(row, ("_U", "_V", "_W"))) for n, row in zip(names, XYZ_TO_RGB)}
 
 
 def lab_lightness(r: Column, g: Column, b: Column) -> Column:

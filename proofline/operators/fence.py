@@ -14,4 +14,4 @@ def fenced(df: DataFrame, columns: list[str]) -> DataFrame:
     stays short. It stays inside the same stage and moves no data.
     """
     rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))

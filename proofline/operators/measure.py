@@ -127,11 +127,9 @@ def _finish_stats(by_bin: DataFrame, extra: list[Column]) -> DataFrame:
 
 def with_gamut_flag(pixels: DataFrame, limit: int = 38) -> DataFrame:
     """Marks pixels whose ink round trip moves the colour by more than ``limit`` codes."""
-    df = color.with_cmyk(pixels)
-    back = color.cmyk_to_rgb(F.col("c"), F.col("m"), F.col("y_ink"), F.col("k"))
-    df = df.withColumns(dict(zip(("_br", "_bg", "_bb"), back)))
-    moved = F.abs(F.col("r") - F.col("_br")) + F.abs(F.col("g") - F.col("_bg")) + F.abs(F.col("b") - F.col("_bb"))
-    return df.withColumn("oog", moved > limit).drop("c", "m", "y_ink", "k", "_br", "_bg", "_bb")
+    df = color.with_round_trip(pixels, 0.8, ("_br", "_bg", "_bb"))
+    moved = f"abs(r - _br) + abs(g - _bg) + abs(b - _bb) > {limit}"
+    return color.stage(df, oog=moved).drop("_br", "_bg", "_bb")
 
 
 def gamut_severity(ratio: Column) -> Column:

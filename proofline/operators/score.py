@@ -2,47 +2,55 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import js_round, jr_int
+from ..functions.color import stage
 from .fence import fenced
-from .sizing import analyze_dpi, is_digital
+from .sizing import DIGITAL_SQL, DPI_COLUMNS, analyze_dpi
 
 FACTORS = ["resolution", "aspect", "brightness", "saturation", "contrast", "sharpness", "ink_safety"]
 WEIGHTS = {"resolution": 0.35, "aspect": 0.15, "brightness": 0.10, "saturation": 0.10, "contrast": 0.10,
            "sharpness": 0.10, "ink_safety": 0.10}
 
 
-def _resolution() -> Column:
-    short = F.least("width_px", "height_px")
-    dpi = F.col("current_dpi")
-    screen = (F.when(short >= 1080, F.lit(100.0)).when(short >= 720, (short - 720) / 360.0 * 15 + 85)
-               .otherwise(F.greatest(F.lit(30.0), js_round(short / 720.0 * 85).cast("double"))))
-    paper = (F.when(dpi >= 280, F.lit(100.0)).when(dpi >= 200, (dpi - 200) / 80.0 * 15 + 85)
-              .when(dpi >= 140, (dpi - 140) / 60.0 * 25 + 60)
-              .otherwise(F.greatest(F.lit(20.0), dpi / 140.0 * 60)))
-    return F.when(is_digital(), screen).otherwise(paper)
-
-
-def _with_aspect(df: DataFrame) -> DataFrame:
-    a = F.col("width_px").cast("double") / F.col("height_px")
-    t = F.col("width_mm") / F.col("height_mm")
-    df = df.withColumns({"_a": a, "_t": F.when(~is_digital(), t)})
-    a, t = F.col("_a"), F.col("_t")
-    flip = F.lit(1.0) * F.col("height_mm") / F.col("width_mm")
-    df = df.withColumns({
-        "_dn": F.abs(a - t) / F.greatest(a, t),
-        "_df": F.when(t.isNotNull(), F.abs(a - flip) / F.greatest(a, flip)),
-        "_ai": F.greatest(a, F.lit(1.0) / a), "_ti": F.greatest(t, F.lit(1.0) / t)})
-    df = df.withColumns({"_gap": F.greatest("_ai", "_ti") / F.least("_ai", "_ti"), "_opt": F.least("_dn", "_df")})
-    score = (F.when(is_digital(), F.lit(100.0)).when(F.col("_gap") > 1.8, F.lit(75.0))
-              .when(F.col("_opt") > 0.15,
-                    F.greatest(F.lit(75.0), js_round((F.lit(1.0) - F.col("_opt") * 0.5) * 100).cast("double")))
-              .otherwise(F.lit(100.0)))
-    return df.withColumn("_aspect", score)
+def _floored(low: int, share: str) -> str:
+    """Share in percent, rounded, but never under ``low``."""
+    return f"greatest({low}, floor({share} * 100 + 0.5D))"
+
+
+# Sub-score formulas over the columns of the row; every one yields 0..100.
+FORMULAS = {
+    "resolution": """CASE WHEN _dig THEN CASE WHEN _short >= 1080 THEN 100D
+        WHEN _short >= 720 THEN (_short - 720) / 360D * 15 + 85
+        ELSE greatest(30D, floor(_short / 720D * 85 + 0.5D)) END
+      WHEN current_dpi >= 280 THEN 100D WHEN current_dpi >= 200 THEN (current_dpi - 200) / 80D * 15 + 85
+      WHEN current_dpi >= 140 THEN (current_dpi - 140) / 60D * 25 + 60
+      ELSE greatest(20D, current_dpi / 140D * 60) END""",
+    "aspect": f"""CASE WHEN _dig THEN 100 WHEN _gap > 1.8D THEN 75
+      WHEN _opt > 0.15D THEN {_floored(75, '(1D - _opt * 0.5D)')} ELSE 100 END""",
+    "brightness": f"""CASE WHEN avg_lum < 0.04D THEN 75 WHEN avg_lum < 0.16D THEN {_floored(70, 'avg_lum / 0.16D')}
+      WHEN avg_lum > 0.92D THEN {_floored(60, '(1D - avg_lum) / 0.08D')} ELSE 100 END""",
+    "saturation": """CASE WHEN _oog > 0.12D THEN greatest(78D, 100D - _oog * 160)
+      WHEN avg_sat > 0.82D AND _oog <= 0.02D THEN 92D WHEN avg_sat > 0.82D THEN 88D ELSE 100D END""",
+    "contrast": f"CASE WHEN std_lum < 0.05D THEN {_floored(70, 'std_lum / 0.05D')} ELSE 100 END",
+    "sharpness": f"CASE WHEN edge_score < 0.03D THEN {_floored(55, 'edge_score / 0.03D')} ELSE 100 END",
+    "ink_safety": """CASE WHEN _over AND max_tac > 340 THEN greatest(60, 100 - (max_tac - 300))
+      WHEN _over THEN 90 ELSE 100 END""",
+}
+
+
+# Intermediate terms shared by the sub-scores and the issue codes.
+TERMS = {
+    "_dig": DIGITAL_SQL, "_short": "least(width_px, height_px)", "_oog": "coalesce(oog_ratio, 0D)",
+    "_a": "double(width_px) / height_px", "_over": "coalesce(has_overflow, false) AND NOT _dig",
+    "_t": "CASE WHEN NOT _dig THEN width_mm / height_mm END",
+    "_f": "CASE WHEN NOT _dig THEN height_mm / width_mm END",
+    "_dn": "abs(_a - _t) / greatest(_a, _t)",
+    "_df": "CASE WHEN _f IS NOT NULL THEN abs(_a - _f) / greatest(_a, _f) END",
+    "_ai": "greatest(_a, 1D / _a)", "_ti": "greatest(_t, 1D / _t)",
+    "_gap": "greatest(_ai, _ti) / least(_ai, _ti)", "_opt": "least(_dn, _df)",
+}
 
 
 def score_readiness(df: DataFrame, issues: bool = False) -> DataFrame:
@@ -52,73 +60,59 @@ def score_readiness(df: DataFrame, issues: bool = False) -> DataFrame:
     edge_score``, ``oog_ratio`` (may be null) and ``max_tac, has_overflow`` (may
     be null). Everything is a projection: no shuffle, no Python.
     """
-    df = _with_aspect(df)
-    lum, sat, std, edge = [F.col(c) for c in ("avg_lum", "avg_sat", "std_lum", "edge_score")]
-    oog = F.coalesce("oog_ratio", F.lit(0.0))
-    tac, over = F.col("max_tac"), F.coalesce("has_overflow", F.lit(False)) & ~is_digital()
-    bright = (F.when(lum < 0.04, F.lit(75.0))
-               .when(lum < 0.16, F.greatest(F.lit(70.0), js_round(lum / 0.16 * 100).cast("double")))
-               .when(lum > 0.92, F.greatest(F.lit(60.0), js_round((F.lit(1.0) - lum) / 0.08 * 100).cast("double")))
-               .otherwise(F.lit(100.0)))
-    colour = (F.when(oog > 0.12, F.greatest(F.lit(78.0), F.lit(100.0) - oog * 160))
-               .when((sat > 0.82) & (oog <= 0.02), F.lit(92.0)).when(sat > 0.82, F.lit(88.0))
-               .otherwise(F.lit(100.0)))
-    contrast = F.when(std < 0.05, F.greatest(F.lit(70.0), js_round(std / 0.05 * 100).cast("double"))).otherwise(F.lit(100.0))
-    sharp = F.when(edge < 0.03, F.greatest(F.lit(55.0), js_round(edge / 0.03 * 100).cast("double"))).otherwise(F.lit(100.0))
-    ink = (F.when(over & (tac > 340), F.greatest(F.lit(60.0), F.lit(100.0) - (tac - 300)))
-            .when(over, F.lit(90.0)).otherwise(F.lit(100.0)))
-    parts = {"resolution": _resolution(), "aspect": F.col("_aspect"), "brightness": bright, "saturation": colour,
-             "contrast": contrast, "sharpness": sharp, "ink_safety": ink}
-    df = fenced(df.withColumns({f"s_{n}": jr_int(c) for n, c in parts.items()}), [f"s_{n}" for n in FACTORS])
-    total = reduce(lambda acc, t: acc + t, [F.col(f"s_{n}") * WEIGHTS[n] for n in FACTORS])
-    score = F.greatest(F.lit(0), F.least(F.lit(100), jr_int(total)))
-    df = df.withColumn("score", score)
-    df = df.withColumn("level", level(F.col("score")))
-    if issues:
-        df = _with_codes(df)
-    return df.drop("_a", "_t", "_dn", "_df", "_ai", "_ti", "_gap", "_opt", "_aspect")
+    df = stage(df, **TERMS, **{f"s_{n}": f"int(floor({FORMULAS[n]} + 0.5D))" for n in FACTORS})
+    df = fenced(df if issues else df.drop(*TERMS), [f"s_{n}" for n in FACTORS])
+    total = " + ".join(f"s_{n} * {WEIGHTS[n]!r}D" for n in FACTORS)
+    df = stage(df, score=f"greatest(0, least(100, int(floor({total} + 0.5D))))",
+               level="CASE WHEN score >= 88 THEN 'high' WHEN score >= 75 THEN 'mid' ELSE 'low' END")
+    return _with_codes(df).drop(*TERMS) if issues else df
+
+
+# Code and condition of each issue and of each piece of advice.
+ISSUES = {
+    "screen_small": "_dig AND _short < 720",
+    "dpi_basic": "NOT _dig AND current_dpi >= 200 AND current_dpi < 280",
+    "dpi_low": "NOT _dig AND current_dpi >= 140 AND current_dpi < 200",
+    "dpi_critical": "NOT _dig AND current_dpi < 140",
+    "aspect_wide": "_gap > 1.8D AND _a > 2",
+    "aspect_tall": "_gap > 1.8D AND _a < 0.5D",
+    "aspect_extreme": "_gap > 1.8D AND _a >= 0.5D AND _a <= 2",
+    "aspect_crop": "_gap <= 1.8D AND _opt > 0.15D",
+    "very_dark": "avg_lum < 0.04D",
+    "dark": "avg_lum >= 0.04D AND avg_lum < 0.16D",
+    "very_bright": "avg_lum > 0.92D",
+    "out_of_gamut": "_oog > 0.12D",
+    "over_saturated": "_oog <= 0.12D AND _oog > 0.02D AND avg_sat > 0.82D",
+    "flat_contrast": "std_lum < 0.05D",
+    "soft_edges": "edge_score < 0.03D",
+    "ink_heavy": "_over AND max_tac > 340",
+    "ink_trace": "_over AND max_tac <= 340",
+}
+ADVICE = {
+    "upscale": "NOT _dig AND current_dpi < 200",
+    "auto_rotate": "_df < _dn AND _dn > 0.15D",
+    "use_landscape": "_gap > 1.8D AND _a > 2",
+    "use_postcard": "_gap > 1.8D AND _a < 0.5D",
+    "align_subject": "_gap <= 1.8D AND _opt > 0.15D",
+    "coated_paper": "avg_lum < 0.04D",
+    "shadow_lift": "avg_lum >= 0.04D AND avg_lum < 0.16D",
+    "soft_proof": "_oog > 0.12D OR (_oog > 0.02D AND avg_sat > 0.82D)",
+    "quality_ink": "_oog <= 0.02D AND avg_sat > 0.82D",
+    "sharpen": "edge_score < 0.03D",
+    "limit_ink": "_over AND max_tac > 340",
+}
 
 
 def _with_codes(df: DataFrame) -> DataFrame:
-    dpi, short = F.col("current_dpi"), F.least("width_px", "height_px")
-    lum, sat, oog = F.col("avg_lum"), F.col("avg_sat"), F.coalesce("oog_ratio", F.lit(0.0))
-    over = F.coalesce("has_overflow", F.lit(False)) & ~is_digital()
-    gap = ~is_digital() & (F.col("_gap") > 1.8)
-    crop = ~is_digital() & (F.col("_gap") <= 1.8) & (F.col("_opt") > 0.15)
-    issue = [
-        ("screen_small", is_digital() & (short < 720)),
-        ("dpi_basic", ~is_digital() & (dpi >= 200) & (dpi < 280)),
-        ("dpi_low", ~is_digital() & (dpi >= 140) & (dpi < 200)),
-        ("dpi_critical", ~is_digital() & (dpi < 140)),
-        ("aspect_wide", gap & (F.col("_a") > 2)),
-        ("aspect_tall", gap & (F.col("_a") <= 2) & (F.col("_a") < 0.5)),
-        ("aspect_extreme", gap & (F.col("_a") <= 2) & (F.col("_a") >= 0.5)),
-        ("aspect_crop", crop),
-        ("very_dark", lum < 0.04), ("dark", (lum >= 0.04) & (lum < 0.16)), ("very_bright", lum > 0.92),
-        ("out_of_gamut", oog > 0.12), ("over_saturated", (oog <= 0.12) & (oog > 0.02) & (sat > 0.82)),
-        ("flat_contrast", F.col("std_lum") < 0.05), ("soft_edges", F.col("edge_score") < 0.03),
-        ("ink_heavy", over & (F.col("max_tac") > 340)), ("ink_trace", over & (F.col("max_tac") <= 340)),
-    ]
-    advice = [
-        ("upscale", ~is_digital() & (dpi < 200)),
-        ("auto_rotate", ~is_digital() & (F.col("_df") < F.col("_dn")) & (F.col("_dn") > 0.15)),
-        ("use_landscape", gap & (F.col("_a") > 2)),
-        ("use_postcard", gap & (F.col("_a") <= 2) & (F.col("_a") < 0.5)),
-        ("align_subject", crop),
-        ("coated_paper", lum < 0.04), ("shadow_lift", (lum >= 0.04) & (lum < 0.16)),
-        ("soft_proof", (oog > 0.12) | ((oog > 0.02) & (sat > 0.82))),
-        ("quality_ink", (oog <= 0.02) & (sat > 0.82)),
-        ("sharpen", F.col("edge_score") < 0.03), ("limit_ink", over & (F.col("max_tac") > 340)),
-    ]
-
-    def codes(pairs) -> Column:
-        return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in pairs]))
-
-    return df.withColumns({"issues": codes(issue), "recommendations": codes(advice)})
-
-
-def level(score: Column) -> Column:
-    return F.when(score >= 88, "high").when(score >= 75, "mid").otherwise("low")
+    """Code lists; the aspect rules need a physical preset."""
+    def codes(rules: dict[str, str]) -> str:
+        cells = []
+        for code, cond in rules.items():
+            physical = any(term in cond for term in ("_gap", "_dn"))
+            cells.append(f"CASE WHEN {'NOT _dig AND ' if physical else ''}{cond} THEN '{code}' END")
+        return f"array_compact(array({', '.join(cells)}))"
+
+    return stage(df, issues=codes(ISSUES), recommendations=codes(ADVICE))
 
 
 def badge(score: Column) -> Column:
@@ -150,13 +144,11 @@ def simulate_optimised(df: DataFrame) -> DataFrame:
     Applies the recommended factor to the size, lifts the edge score by half up
     to 0.08 and clamps the ink to the 300 % limit; DPI columns are recomputed.
     """
-    scale = F.when(F.col("needs_upscale"), F.col("scale_factor")).otherwise(F.lit(1))
-    out = df.withColumns({
-        "width_px": F.col("width_px") * scale, "height_px": F.col("height_px") * scale,
-        "edge_score": F.least(F.lit(0.08), F.col("edge_score") * 1.5),
-        "max_tac": F.least(F.lit(300), F.col("max_tac")), "has_overflow": F.lit(False),
-        "applied_scale": scale})
-    return analyze_dpi(out)
+    changed = {"width_px": "width_px * applied_scale", "height_px": "height_px * applied_scale",
+               "edge_score": "least(0.08D, edge_score * 1.5D)", "max_tac": "least(300, max_tac)",
+               "has_overflow": "false"}
+    out = df.withColumn("applied_scale", F.expr("IF(needs_upscale, scale_factor, 1)")).drop(*DPI_COLUMNS)
+    return analyze_dpi(out.withColumns({n: F.expr(e) for n, e in changed.items()}))
 
 
 def before_after(df: DataFrame) -> DataFrame:
@@ -165,12 +157,11 @@ def before_after(df: DataFrame) -> DataFrame:
     Both sides stem from the same row, so the comparison is a projection and the
     self-join on the image id disappears.
     """
-    carry = ["width_px", "height_px", "edge_score", "max_tac", "has_overflow", "current_dpi", "quality_tier",
-             "scale_factor", "needs_upscale", "target_width_px", "target_height_px"]
-    pre = score_readiness(df).withColumnsRenamed({"score": "pre_score", "level": "pre_level"})
-    pre = pre.drop(*[f"s_{n}" for n in FACTORS]).withColumns({"pre_dpi": F.col("current_dpi")})
-    post = score_readiness(simulate_optimised(pre)).withColumnsRenamed({"score": "post_score", "level": "post_level"})
-    post = post.withColumns({"post_dpi": F.col("current_dpi"),
-                             "score_delta": F.col("post_score") - F.col("pre_score")})
-    post = fenced(post, ["post_score", "score_delta"])
-    return post.withColumn("regressed", F.col("score_delta") < 0).drop(*carry, *[f"s_{n}" for n in FACTORS])
+    factors = [f"s_{n}" for n in FACTORS]
+    pre = score_readiness(df).withColumnsRenamed({"score": "pre_score", "level": "pre_level"}).drop(*factors)
+    pre = pre.withColumn("pre_dpi", F.col("current_dpi"))
+    post = score_readiness(simulate_optimised(pre))
+    post = post.withColumnsRenamed({"score": "post_score", "level": "post_level", "current_dpi": "post_dpi"})
+    post = stage(post.drop(*factors, *DPI_COLUMNS, "width_px", "height_px", "edge_score", "max_tac", "has_overflow"),
+                 score_delta="post_score - pre_score", regressed="score_delta < 0")
+    return fenced(post, ["post_score", "score_delta", "regressed"])

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.rounding import jr_int, js_round
 from ..functions.units import mm_to_px
 from ..sources import dims
+from ..functions.color import stage
 from .fence import fenced
 
+DPI_COLUMNS = ["current_dpi", "quality_tier", "scale_factor", "target_width_px", "target_height_px", "needs_upscale"]
 MAX_SAFE_PX = 6000
 DIGITAL_PX = 1080
 
@@ -27,8 +29,11 @@ def detect_best_preset(width: Column, height: Column) -> Column:
              .otherwise("poster-a4"))
 
 
+DIGITAL_SQL = "(preset_id = 'social' OR width_mm <= 0 OR height_mm <= 0)"
+
+
 def is_digital() -> Column:
-    return (F.col("preset_id") == "social") | (F.col("width_mm") <= 0) | (F.col("height_mm") <= 0)
+    return F.expr(DIGITAL_SQL)
 
 
 def analyze_dpi(df: DataFrame) -> DataFrame:
@@ -37,31 +42,24 @@ def analyze_dpi(df: DataFrame) -> DataFrame:
     Needs ``width_px, height_px`` and the preset columns ``preset_id, width_mm,
     height_mm, target_dpi``. Map-side only.
     """
-    w, h = F.col("width_px"), F.col("height_px")
-    long_px, short_px = F.greatest(w, h), F.least(w, h)
-    long_mm, short_mm = F.greatest("width_mm", "height_mm"), F.least("width_mm", "height_mm")
-    digital = is_digital()
-    fit = F.least(long_px / long_mm, short_px / short_mm) * 25.4
-    df = df.withColumn("current_dpi", F.when(digital, F.lit(72)).otherwise(jr_int(fit)))
-    dpi, target = F.col("current_dpi"), F.col("target_dpi")
-    tier = (F.when(digital, F.when(short_px >= DIGITAL_PX, "excellent").otherwise("warning"))
-             .when(dpi >= 280, "excellent").when(dpi >= 200, "good").when(dpi >= 140, "warning")
-             .otherwise("critical"))
-    wanted = F.least(F.lit(8), F.greatest(F.lit(2), F.ceil(target / F.greatest(F.lit(1), dpi)).cast("int")))
-    # largest factor whose result still fits the pixel ceiling
-    allowed = F.floor(F.lit(MAX_SAFE_PX) / long_px).cast("int")
-    physical_scale = (F.when((dpi < target) & (long_px < MAX_SAFE_PX),
-                             F.greatest(F.lit(1), F.least(wanted, allowed))).otherwise(F.lit(1)))
-    digital_scale = F.when(short_px < DIGITAL_PX, F.ceil(F.lit(DIGITAL_PX) / short_px).cast("int")).otherwise(F.lit(1))
-    df = df.withColumns({
-        "quality_tier": tier,
-        "scale_factor": F.when(digital, digital_scale).otherwise(physical_scale),
-        "target_width_px": F.when(digital, F.lit(DIGITAL_PX)).otherwise(mm_to_px(F.col("width_mm"), target)),
-        "target_height_px": F.when(digital, F.lit(DIGITAL_PX)).otherwise(mm_to_px(F.col("height_mm"), target)),
-    })
-    df = fenced(df, ["current_dpi", "quality_tier", "scale_factor"])
-    upscale = F.when(digital, F.col("scale_factor") > 1).otherwise((dpi < target) & (F.col("scale_factor") > 1))
-    return df.withColumn("needs_upscale", upscale)
+    fit = "least(_long / greatest(width_mm, height_mm), _short / least(width_mm, height_mm)) * 25.4D"
+    tier = (f"CASE WHEN _dig THEN CASE WHEN _short >= {DIGITAL_PX} THEN 'excellent' ELSE 'warning' END "
+            "WHEN current_dpi >= 280 THEN 'excellent' WHEN current_dpi >= 200 THEN 'good' "
+            "WHEN current_dpi >= 140 THEN 'warning' ELSE 'critical' END")
+    # at most eightfold, at least twofold, and the result must fit the pixel ceiling
+    wanted = "least(8, greatest(2, int(ceil(target_dpi / greatest(1, current_dpi)))))"
+    scale = (f"CASE WHEN _dig AND _short < {DIGITAL_PX} THEN int(ceil({DIGITAL_PX} / _short)) "
+             f"WHEN NOT _dig AND current_dpi < target_dpi AND _long < {MAX_SAFE_PX} THEN "
+             f"greatest(1, least({wanted}, int(floor({MAX_SAFE_PX} / _long)))) ELSE 1 END")
+
+    def target(side: str) -> str:
+        return f"CASE WHEN _dig THEN {DIGITAL_PX} ELSE int(floor({side} / 25.4D * target_dpi + 0.5D)) END"
+
+    out = stage(df, _dig=DIGITAL_SQL, _long="greatest(width_px, height_px)", _short="least(width_px, height_px)",
+                current_dpi=f"CASE WHEN _dig THEN 72 ELSE int(floor({fit} + 0.5D)) END", quality_tier=tier,
+                scale_factor=scale, target_width_px=target("width_mm"), target_height_px=target("height_mm"),
+                needs_upscale="scale_factor > 1 AND (_dig OR current_dpi < target_dpi)")
+    return fenced(out.drop("_dig", "_long", "_short"), DPI_COLUMNS)
 
 
 def best_preset(df: DataFrame) -> DataFrame:

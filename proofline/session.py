@@ -25,6 +25,7 @@ def build_session(cpus: str | int = "*", app: str = "proofline") -> SparkSession
             .config(*CODEGEN_LIMIT)
             .config("spark.driver.memory", os.environ.get("PROOFLINE_DRIVER_MEMORY", "12g"))
             .config("spark.ui.enabled", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .getOrCreate())
 
 

@@ -55,18 +55,9 @@ def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small raster per part: ``image_id, w, h, style`` plus the shape seeds."""
-    k, s = F.col("p_partkey"), F.col("p_size")
-    return read(spark, sf_dir, "part").select(
-        k.alias("image_id"),
-        (24 + s % 24).cast("int").alias("w"),
-        (24 + k % 17).cast("int").alias("h"),
-        (k % len(STYLES)).cast("int").alias("style"),
-        (k % 1000).cast("int").alias("k"),
-        s.cast("int").alias("s"))
-
-
-def _div(a: Column, b) -> Column:
-    return F.floor(a / b).cast("int")
+    return read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS image_id", "int(24 + p_size % 24) AS w", "int(24 + p_partkey % 17) AS h",
+        f"int(p_partkey % {len(STYLES)}) AS style", "int(p_partkey % 1000) AS k", "int(p_size) AS s")
 
 
 # Ground colour and overlay colour of the flat styles.
@@ -74,86 +65,69 @@ GROUND = {2: (240, 236, 228), 4: (8, 6, 10), 5: (224, 0, 200), 6: (244, 240, 238
 OVERLAY = {2: (20, 24, 30), 7: (40, 95, 185)}
 
 
-def _line_parameters() -> dict[str, Column]:
+# Per channel: slope, offset and modulus by style, over the columns of an image line.
+SLOPE = {"r": {0: "wstep", 1: "11", 3: "1", 4: "1", 5: "3", 6: "1"}, "g": {1: "5", 3: "1", 6: "1"},
+         "b": {1: "y", 3: "1", 4: "1", 5: "1"}}
+OFFSET = {"r": {1: "y * 7 + k * 13", 4: "k", 6: "y"},
+          "g": {0: "y * (65280 div h)", 1: "y * 17 + s * 29", 4: "y", 5: "y * 5", 6: "k"},
+          "b": {0: "(k * 37) % 256 * 256", 1: "k * 3", 4: "y", 5: "y", 6: "y + s"}}
+MODULUS = {"r": {0: "256", 1: "256", 3: "2", 4: "17", 5: "32", 6: "8"},
+           "g": {0: "256", 1: "256", 3: "2", 4: "13", 5: "40", 6: "9"},
+           "b": {0: "256", 1: "256", 3: "2", 4: "19", 5: "56", 6: "11"}}
+
+
+def _line_parameters() -> list[str]:
     """Per image line: every channel is ``base + amp * (((off + slope * x) >> sh) % mod)``.
 
     Whatever depends on the style or on the line is settled here, before the
     rows spread out, which leaves a short formula for each pixel.
     """
-    y, w, h, style, k, s = [F.col(c) for c in ("y", "w", "h", "style", "k", "s")]
-
-    def by_style(forms: dict[int, object], default: int = 0) -> Column:
-        col = F.lit(default)
-        for i, f in forms.items():
-            col = F.when(style == i, f).otherwise(col)
-        return col.cast("int")
-
-    width_step, height_step = _div(F.lit(65280), w), _div(F.lit(65280), h)
-    slope = {"r": {0: width_step, 1: 11, 3: 1, 4: 1, 5: 3, 6: 1}, "g": {1: 5, 3: 1, 6: 1},
-             "b": {1: y, 3: 1, 4: 1, 5: 1}}
-    off = {"r": {1: y * 7 + k * 13, 4: k, 6: y},
-           "g": {0: y * height_step, 1: y * 17 + s * 29, 4: y, 5: y * 5, 6: k},
-           "b": {0: (k * 37) % 256 * 256, 1: k * 3, 4: y, 5: y, 6: y + s}}
-    mod = {"r": {0: 256, 1: 256, 3: 2, 4: 17, 5: 32, 6: 8}, "g": {0: 256, 1: 256, 3: 2, 4: 13, 5: 40, 6: 9},
-           "b": {0: 256, 1: 256, 3: 2, 4: 19, 5: 56, 6: 11}}
-    out = {}
+    def by_style(forms: dict, default: str = "0") -> str:
+        cases = " ".join(f"WHEN {i} THEN {f}" for i, f in forms.items())
+        return f"int(CASE style {cases} ELSE {default} END)"
+
+    out = []
     for i, ch in enumerate("rgb"):
-        out[f"slope_{ch}"] = by_style(slope[ch])
-        out[f"off_{ch}"] = by_style(off[ch])
-        out[f"mod_{ch}"] = by_style(mod[ch], 1)
-        out[f"base_{ch}"] = by_style({st: c[i] for st, c in GROUND.items()})
-        out[f"over_{ch}"] = by_style({st: c[i] for st, c in OVERLAY.items()})
-    out["sh"] = by_style({0: 8, 3: 1})
-    out["amp"] = by_style({3: 255}, 1)
-    # 1: lettering line, 2: ground line of the grid, 3: full grid line
-    out["hit"] = by_style({2: F.when(_div(y, 5) % 3 == 1, 1).otherwise(0), 7: F.when(y % 9 == 0, 3).otherwise(2)})
-    side = F.least(w, h)
-    out["alpha_kind"] = by_style({1: 1, 5: 1, 6: 2})
-    out["radius2"] = (side * side - (2 * y - h) * (2 * y - h)).cast("int")
-    out["fade"] = width_step
+        out += [f"{by_style(SLOPE[ch])} AS slope_{ch}", f"{by_style(OFFSET[ch])} AS off_{ch}",
+                f"{by_style(MODULUS[ch], '1')} AS mod_{ch}",
+                f"{by_style({st: c[i] for st, c in GROUND.items()})} AS base_{ch}",
+                f"{by_style({st: c[i] for st, c in OVERLAY.items()})} AS over_{ch}"]
+    # hit 1: lettering line, 2: ground line of the grid, 3: full grid line
+    hit = by_style({2: "IF((y div 5) % 3 = 1, 1, 0)", 7: "IF(y % 9 = 0, 3, 2)"})
+    return [*out, f"{by_style({0: 8, 3: 1})} AS sh", f"{by_style({3: 255}, '1')} AS amp", f"{hit} AS hit",
+            f"{by_style({1: 1, 5: 1, 6: 2})} AS alpha_kind",
+            "int(least(w, h) * least(w, h) - (2 * y - h) * (2 * y - h)) AS radius2", "wstep AS fade"]
+
+
+def pixel_channels(x: str = "x") -> dict[str, str]:
+    """Channel formulas at column ``x`` over the line parameters."""
+    letter = f"{x} * 6 >= w AND {x} * 6 <= w * 5 AND shiftright({x} * 7 + k, 1) % 3 = 0"
+    marked = f"(hit = 1 AND {letter}) OR (hit = 2 AND {x} % 9 = 0) OR hit = 3"
+    out = {ch: f"IF({marked}, over_{ch}, base_{ch} + amp * (shiftright(off_{ch} + slope_{ch} * {x}, sh) % mod_{ch}))"
+           for ch in "rgb"}
+    out["a"] = (f"CASE alpha_kind WHEN 0 THEN 255 WHEN 1 THEN IF((2 * {x} - w) * (2 * {x} - w) <= radius2, 255, 0) "
+                f"ELSE shiftright({x} * fade, 8) END")
     return out
 
 
-def pixel_channels(x: Column) -> dict[str, Column]:
-    """Channel values at column ``x`` from the line parameters."""
-    w, hit = F.col("w"), F.col("hit")
-    letter = (x * 6 >= w) & (x * 6 <= w * 5) & (F.shiftright(x * 7 + F.col("k"), 1) % 3 == 0)
-    marked = ((hit == 1) & letter) | ((hit == 2) & (x % 9 == 0)) | (hit == 3)
-
-    def channel(ch: str) -> Column:
-        run = F.call_function("shiftright", F.col(f"off_{ch}") + F.col(f"slope_{ch}") * x, F.col("sh"))
-        return F.when(marked, F.col(f"over_{ch}")).otherwise(
-            F.col(f"base_{ch}") + F.col("amp") * (run % F.col(f"mod_{ch}")))
-
-    kind = F.col("alpha_kind")
-    inside = F.when((2 * x - w) * (2 * x - w) <= F.col("radius2"), 255).otherwise(0)
-    alpha = F.when(kind == 0, 255).when(kind == 1, inside).otherwise(F.shiftright(x * F.col("fade"), 8))
-    return {**{ch: channel(ch) for ch in "rgb"}, "a": alpha}
-
-
 def raster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per image line, spread by (image, band) so no image sits in one task."""
-    t = thumbnails(spark, sf_dir)
-    rows = t.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    rows = rows.select("image_id", "w", "h", "y", "k", *[c.alias(n) for n, c in _line_parameters().items()])
-    return rows.repartition(task_parallelism(spark), "image_id", _div(F.col("y"), ROWS_PER_BAND))
+    rows = thumbnails(spark, sf_dir).selectExpr("*", "int(65280 div w) AS wstep", "explode(sequence(0, h - 1)) AS y")
+    rows = rows.selectExpr("image_id", "w", "h", "y", "k", *_line_parameters())
+    return rows.repartition(task_parallelism(spark), F.col("image_id"), F.expr(f"y div {ROWS_PER_BAND}"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pixels(image_id, w, h, x, y, r, g, b, a)`` of every thumbnail."""
-    p = raster_rows(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    return p.select("image_id", "w", "h", "x", "y", *[c.alias(n) for n, c in pixel_channels(F.col("x")).items()])
+    p = raster_rows(spark, sf_dir).selectExpr("*", "explode(sequence(0, w - 1)) AS x")
+    return p.selectExpr("image_id", "w", "h", "x", "y", *[f"{e} AS {n}" for n, e in pixel_channels().items()])
 
 
 def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``scanlines(image_id, w, h, y, r[], g[], b[], a[])``, built without a shuffle of pixels."""
     rows = raster_rows(spark, sf_dir)
-    xs = F.sequence(F.lit(0), F.col("w") - 1)
-
-    def channel(name: str) -> Column:
-        return F.transform(xs, lambda x: pixel_channels(x)[name]).alias(name)
-
-    return rows.select("image_id", "w", "h", "y", *[channel(n) for n in ("r", "g", "b", "a")])
+    return rows.selectExpr("image_id", "w", "h", "y", *[
+        f"transform(sequence(0, w - 1), x -> {e}) AS {n}" for n, e in pixel_channels().items()])
 
 
 def print_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

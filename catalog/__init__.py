@@ -6,9 +6,9 @@ from functools import wraps
 
 from proofline.session import tune
 
-from . import commerce, metadata, neighbourhood, pixels, queueing, text
+from . import commerce, metadata, neighbourhood, pixels, platform, queueing, text
 
-AREAS = (metadata, pixels, neighbourhood, text, commerce, queueing)
+AREAS = (metadata, pixels, neighbourhood, text, commerce, queueing, platform)
 
 
 def _tuned(fn):

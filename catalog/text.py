@@ -165,7 +165,7 @@ def _summary_sql(tok: str, ids: str) -> str:
 _FIRST = f"""SELECT doc_id, min(pos) AS pos, arg_min(word,pos) AS word, arg_min(clean,pos) AS clean, arg_min(reason,pos) AS reason,
  arg_min(fix,pos) AS fix FROM ({judged_sql()}) GROUP BY 1"""
 _ESC = "replace(replace(replace(replace(replace(html,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),chr(39),'&#39;')"
-_SUGGEST = f"""SELECT doc_id, pos, reason, length(s) AS chars, md5(s) AS suggestion_md5 FROM (SELECT *, CASE WHEN reason IN
+_SUGGEST = f"""SELECT doc_id, pos, reason, CAST(length(s) AS INTEGER) AS chars, md5(s) AS suggestion_md5 FROM (SELECT *, CASE WHEN reason IN
  ('misspelling','near_vocabulary') THEN array_to_string(ws[1:pos]||[fix]||ws[pos+2:],' ') ELSE fix END AS s FROM (
  SELECT i.*, regexp_split_to_array(regexp_replace(text,'^\\s+|\\s+$','','g'),'\\s+') AS ws FROM ({_FIRST}) i
  JOIN documents USING (doc_id)))"""

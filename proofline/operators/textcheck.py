@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import spread, task_parallelism
 from ..sources import dims
 
 VOCAB_LIMIT = 500
@@ -21,7 +22,7 @@ WORD_SALTS = 8
 
 def tokenize(texts: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
     """``(ids, pos, word, clean)`` for every word whose cleaned form has two characters or more."""
-    words = texts.select(*id_cols, F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
+    words = spread(texts.select(*id_cols, text)).select(*id_cols, F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
     return words.withColumn("clean", tx.clean_token(F.col("word"))).filter(F.length("clean") >= 2)
 
 
@@ -58,20 +59,19 @@ def corpus_typos(counts: DataFrame, limit: int = VOCAB_LIMIT, extra: int = 200)
     return dims.table(counts.sparkSession, "typos").unionByName(pairs)
 
 
-def _without_one(w: Column) -> Column:
-    n = F.length(w)
-    return F.transform(F.sequence(F.lit(1), n),
-                       lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
+def deletion_keys(words: DataFrame, word: str) -> DataFrame:
+    """Each row once per string left after removing up to two characters (column ``_key``).
 
-
-def deletion_keys(word: str, depth: int = 2) -> Column:
-    """The word with up to ``depth`` characters removed, as a distinct array."""
-    keys = F.array(F.col(word))
-    level = keys
-    for _ in range(depth):
-        level = F.array_distinct(F.flatten(F.transform(level, _without_one)))
-        keys = F.array_union(keys, level)
-    return keys
+    Two row generators choose the removed positions ``_i <= _j`` (0 removes
+    none, equal positions remove one), so the strings come from compiled
+    substring calls.
+    """
+    w, i, j = F.col(word), F.col("_i"), F.col("_j")
+    out = words.withColumn("_i", F.explode(F.sequence(F.lit(0), F.length(w))))
+    out = out.withColumn("_j", F.explode(F.when(i == 0, F.array(F.lit(0))).otherwise(F.sequence(i, F.length(w)))))
+    key = F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.greatest(j - i - 1, F.lit(0))),
+                   F.substring(w, j + 1, F.length(w)))
+    return out.withColumn("_key", F.when(i == 0, w).otherwise(key)).drop("_i", "_j")
 
 
 def closest_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -86,8 +86,10 @@ def closest_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
                .distinct())
     near = words.select("clean").distinct().withColumn("_len", F.length("clean"))
     near = near.join(F.broadcast(lengths), "_len", "left_semi")
-    probe = near.select("clean", F.explode(deletion_keys("clean")).alias("_key"))
-    index = vocab.select("word", "ordinal", F.explode(deletion_keys("word")).alias("_key"))
+    # a fixed partition count: these few bytes grow about fiftyfold in the next step
+    near = near.select("clean").repartition(task_parallelism(words.sparkSession), "clean")
+    probe = deletion_keys(near, "clean")
+    index = deletion_keys(vocab.select("word", "ordinal"), "word").distinct()
     pairs = probe.join(F.broadcast(index), "_key").select(
         "clean", "word", "ordinal", F.levenshtein(F.col("clean"), F.col("word"), 2).alias("distance"))
     best = F.min(F.when(F.col("distance") >= 0, F.struct("distance", "ordinal", "word"))).alias("_best")

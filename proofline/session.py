@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Colour formulas generate long methods. Above 8000 bytes the JVM would run them
 # interpreted; this limit makes Spark compile such steps one by one instead.
@@ -55,3 +55,14 @@ def task_parallelism(spark: SparkSession) -> int:
     partitions that are about to grow a thousandfold.
     """
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistributes a scan that has fewer partitions than the session has cores.
+
+    One unsplittable file would otherwise feed every later map step from a
+    single task. A table of many files already has enough partitions and is
+    returned as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -201,7 +201,7 @@ def measured_scores(spark, d):
 
 
 def measured_report(spark, d):
-    return readiness.readiness_report(derive.images(spark, d), derive.scanlines(spark, d))
+    return readiness.readiness_report(derive.images(spark, d), derive.scanlines(spark, d), derive.pixels(spark, d))
 
 
 PX = S.PIXELS

@@ -25,9 +25,9 @@ def to_scanlines(pixels: DataFrame) -> DataFrame:
 
 
 def to_pixels(scanlines: DataFrame) -> DataFrame:
-    cells = F.posexplode(F.arrays_zip(*CHANNELS)).alias("x", "_p")
-    return scanlines.select("image_id", "w", "h", "y", cells).select(
-        "image_id", "w", "h", "x", "y", *[F.col("_p")[c].alias(c) for c in CHANNELS])
+    """One row per pixel; positions are generated and looked up in compiled code."""
+    out = scanlines.selectExpr("*", "explode(sequence(0, w - 1)) AS x")
+    return out.selectExpr("image_id", "w", "h", "x", "y", *[f"get({c}, x) AS {c}" for c in CHANNELS])
 
 
 def with_neighbour_rows(scanlines: DataFrame, columns: list[str], radius: int = 1, band: int = BAND) -> DataFrame:

@@ -118,40 +118,52 @@ def _ids(tokens: DataFrame) -> list[str]:
     return [c for c in tokens.columns if c not in ("pos", "word", "clean")]
 
 
-def judge_words(tokens: DataFrame, vocab: DataFrame, typos: DataFrame, vocab_first: bool = False) -> DataFrame:
-    """Adds ``reason`` and ``fix`` to every failing word; other words are dropped.
+def judge_vocabulary(counts: DataFrame, vocab: DataFrame, typos: DataFrame, vocab_first: bool = False) -> DataFrame:
+    """Verdict per distinct word: ``(clean, word_reason, good, closest)`` of the failing ones.
 
-    Rules in order: known misspelling; repeated letters, consonant run or mixed
-    case; close to a vocabulary word. ``vocab_first`` exempts vocabulary words
-    from the consonant rule.
+    Everything that depends on the cleaned word alone is settled here, once per
+    distinct word instead of once per occurrence.
     """
     typo_side = F.broadcast(typos.select(F.col("bad").alias("clean"), "good"))
     vocab_side = F.broadcast(vocab.select(F.col("word").alias("clean"), F.lit(True).alias("_known")))
-    df = tokens.join(typo_side, "clean", "left").join(vocab_side, "clean", "left")
-    gib = tx.gibberish_reason(F.col("clean"), F.col("word"))
+    words = counts.select("clean").join(typo_side, "clean", "left").join(vocab_side, "clean", "left")
+    gib = tx.gibberish_reason(F.col("clean"), F.col("clean"))  # cleaned words have no capitals
     if vocab_first:
         gib = F.when(F.col("_known").isNull(), gib)
-    df = df.withColumn("_gib", F.when(F.col("good").isNull(), gib))
-    # only words that can still need the vocabulary distance travel to the join
-    open_word = F.col("good").isNull() & (
-        (F.col("_gib") == "consonants")
-        | (F.col("_gib").isNull() & F.col("_known").isNull() & (F.length("clean") >= 4)))
-    settled = df.filter(~F.coalesce(open_word, F.lit(False))).withColumns(
-        {"closest": F.lit(None).cast("string"), "distance": F.lit(None).cast("int")})
-    pending = df.filter(F.coalesce(open_word, F.lit(False)))
-    looked_up = _join_on_word(pending, closest_words(pending, vocab))
-    df = settled.unionByName(looked_up)
+    words = words.withColumn("_gib", F.when(F.col("good").isNull(), gib))
+    ask = words.filter((F.col("_gib") == "consonants") | (
+        F.col("good").isNull() & F.col("_gib").isNull() & F.col("_known").isNull() & (F.length("clean") >= 4)))
+    found = words.join(closest_words(ask, vocab), "clean", "left")
     allowed = F.when(F.length("clean") >= 7, 2).otherwise(1)
+    near = F.col("_known").isNull() & (F.length("clean") >= 4) & (F.col("distance") <= allowed)
     reason = (F.when(F.col("good").isNotNull(), "misspelling").when(F.col("_gib").isNotNull(), F.col("_gib"))
-               .when(F.col("distance") <= allowed, "near_vocabulary"))
+               .when(near, "near_vocabulary"))
+    return found.select("clean", reason.alias("word_reason"), "good", "closest").filter("word_reason IS NOT NULL")
+
+
+def judge_words(tokens: DataFrame, vocab: DataFrame, typos: DataFrame, vocab_first: bool = False) -> DataFrame:
+    """Adds ``reason`` and ``fix`` to every failing word; other words are dropped.
+
+    Rules in order: known misspelling; repeated letters, consonant run or mixed
+    case; close to a vocabulary word. ``vocab_first`` exempts vocabulary words
+    from the letter-pattern rules.
+    """
+    verdicts = judge_vocabulary(word_counts(tokens), vocab, typos, vocab_first)
+    df = _join_on_word(tokens, verdicts)
+    mixed = (F.length("word") >= 4) & F.col("word").rlike("[a-z][A-Z][a-z]")
+    if vocab_first:
+        known = F.broadcast(vocab.select(F.col("word").alias("clean"), F.lit(True).alias("_known")))
+        df = df.join(known, "clean", "left")
+        mixed = mixed & F.col("_known").isNull()
+    reason = (F.when(F.col("word_reason").isin("misspelling", "repeat", "consonants"), F.col("word_reason"))
+               .when(mixed, "mixed_case").otherwise(F.col("word_reason")))
+    df = df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
     cased = tx.match_case(F.col("word"), F.coalesce("good", "closest"))
-    fix = (F.when(F.col("good").isNotNull(), cased)
-            .when(F.col("_gib") == "repeat", tx.collapse_repeats(F.col("clean")))
-            .when(F.col("_gib") == "mixed_case", F.lower("word"))
-            .when(F.col("_gib") == "consonants", F.coalesce("closest", F.lit("")))
+    fix = (F.when(F.col("reason") == "repeat", tx.collapse_repeats(F.col("clean")))
+            .when(F.col("reason") == "mixed_case", F.lower("word"))
+            .when(F.col("reason") == "consonants", F.coalesce("closest", F.lit("")))
             .otherwise(cased))
-    df = df.withColumns({"reason": reason}).filter(F.col("reason").isNotNull())
-    return df.withColumn("fix", fix).select(*_ids(tokens), "pos", "word", "clean", "reason", "fix")
+    return df.select(*_ids(tokens), "pos", "word", "clean", "reason", fix.alias("fix"))
 
 
 def first_issue(judged: DataFrame, id_cols: list[str]) -> DataFrame:

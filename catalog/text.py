@@ -23,6 +23,7 @@ def _lists(spark, d):
 
 
 def _judged(spark, d, table="documents", ids=("doc_id",)):
+    """Judged words of a table; vocabulary and misspellings always come from the documents."""
     vocab, typos = _lists(spark, d)
     tokens = textcheck.tokenize(derive.read(spark, d, table), list(ids))
     return tokens, textcheck.judge_words(tokens, vocab, typos)
@@ -63,11 +64,13 @@ def edit_distances(spark, d):
 
 
 def closest_words(spark, d):
-    return textcheck.closest_words(_tokens(spark, d), _lists(spark, d)[0])
+    counts = textcheck.word_counts(_tokens(spark, d))
+    return textcheck.closest_words(counts, textcheck.corpus_vocabulary(counts))
 
 
 def fuzzy_matches(spark, d):
-    return textcheck.fuzzy_matches(_tokens(spark, d), _lists(spark, d)[0])
+    counts = textcheck.word_counts(_tokens(spark, d))
+    return textcheck.fuzzy_matches(counts, textcheck.corpus_vocabulary(counts))
 
 
 def word_verdicts(spark, d):

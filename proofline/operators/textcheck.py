@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..session import spread, task_parallelism
 from ..sources import dims
+from .fence import fenced
 
 VOCAB_LIMIT = 500
 WORD_SALTS = 8
@@ -23,7 +24,9 @@ WORD_SALTS = 8
 def tokenize(texts: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
     """``(ids, pos, word, clean)`` for every word whose cleaned form has two characters or more."""
     words = spread(texts.select(*id_cols, text)).select(*id_cols, F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
-    return words.withColumn("clean", tx.clean_token(F.col("word"))).filter(F.length("clean") >= 2)
+    # fenced, so that length filters do not repeat the cleaning expression
+    cleaned = fenced(words.withColumn("clean", tx.clean_token(F.col("word"))), ["clean"])
+    return cleaned.filter(F.length("clean") >= 2)
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:

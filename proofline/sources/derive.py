@@ -125,9 +125,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``scanlines(image_id, w, h, y, r[], g[], b[], a[])``, built without a shuffle of pixels."""
-    rows = raster_rows(spark, sf_dir)
-    return rows.selectExpr("image_id", "w", "h", "y", *[
-        f"transform(sequence(0, w - 1), x -> {e}) AS {n}" for n, e in pixel_channels().items()])
+    xs, full = "sequence(0, w - 1)", pixel_channels()
+    lists = []
+    for ch in "rgb":
+        plain = f"base_{ch} + amp * (shiftright(off_{ch} + slope_{ch} * x, sh) % mod_{ch})"
+        lists.append(f"IF(hit = 0, transform({xs}, x -> {plain}), transform({xs}, x -> {full[ch]})) AS {ch}")
+    lists.append(f"IF(alpha_kind = 0, array_repeat(255, w), transform({xs}, x -> {full['a']})) AS a")
+    return raster_rows(spark, sf_dir).selectExpr("image_id", "w", "h", "y", *lists)
 
 
 def print_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,20 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, warc
-from .common import work_dir
+from . import ftrl, langid, licences, linededup, packing, rules, warc
+from .common import held_out, work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    names, logs = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, names, logs, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "shares")
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "warc")
     warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
     return warc.read_archives(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    labels = table(spark, sf_dir, "labels").filter(~held_out())
+    weights = ftrl.train(docs, labels, label="quality")
+    return ftrl.score(docs, weights, keep=("held_out",)).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return rules.judge(docs, learned).select("doc_id", *rules.BASE, "base_failed", "kept", "rule")
+
+
+def op9_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +63,12 @@ WARC_SQL = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(
  CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
 ENTRIES = {
+    "op1_license_digests": (op1_license_digests, licences.oracle()),
+    "op2_language_mixture": (op2_language_mixture, None),
     "op3_warc_segments": (op3_warc_segments, WARC_SQL),
+    "op4_ftrl_quality": (op4_ftrl_quality, None),
+    "op6_decision_list": (op6_decision_list, None),
+    "op9_template_lines": (op9_template_lines, linededup.oracle()),
     "op10_binary_packing": (op10_binary_packing, None),
 }
 

@@ -6,8 +6,8 @@ hashed to ``2 ** bits`` places. A feature's value is ln(1 + count), and a docume
 long texts weigh like short ones. A text without tokens has only the constant.
 
 Training uses a bounded sample of labelled rows (``max_train``, the smallest hashes of the id), dealt to a fixed number
-of groups. Each group runs per-coordinate FTRL-proximal over its rows several times, with rare labels weighted up; the
-weights of the groups are averaged in Spark. The result has at most ``2 ** bits`` numbers and is broadcast. Scoring is a
+of groups. Each group runs per-coordinate FTRL-proximal over its rows several times; the weights of the groups are
+averaged in Spark. The result has at most ``2 ** bits`` numbers and is broadcast. Scoring is a
 map: sparse dot products of whole texts with the weights.
 """
 
@@ -99,10 +99,10 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def update(self, at: np.ndarray, x: np.ndarray, y: float, importance: float) -> None:
+    def update(self, at: np.ndarray, x: np.ndarray, y: float) -> None:
         w = self.weights(at)
         p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
-        g = importance * (p - y) * x
+        g = (p - y) * x
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
@@ -127,13 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = 20_00
         owner, place, value = features(*text_buffers(table["text"]), bits)
         bounds = np.searchsorted(owner, np.arange(len(y) + 1))
         model = Ftrl(bits, alpha, beta, l1, l2)
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         rng = np.random.default_rng(11)
         for _ in range(epochs):
             for i in rng.permutation(len(y)):
                 lo, hi = bounds[i], bounds[i + 1]
-                model.update(np.append(place[lo:hi], 1 << bits), np.append(value[lo:hi], 1.0), y[i], weight[i])
+                model.update(np.append(place[lo:hi], 1 << bits), np.append(value[lo:hi], 1.0), y[i])
         w = model.weights()
         at = np.flatnonzero(w)
         return pa.table({"place": pa.array(at, pa.int32()), "w": w[at], "n": pa.array(np.full(len(at), 1), pa.int32())})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ftrl, jaccard, langid, licences, linededup, packing, rules, warc
+from . import decontam, ftrl, jaccard, langid, licences, linededup, packing, rules, warc
 from .common import held_out, work_dir
 
 
@@ -46,6 +46,10 @@ def op7_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
@@ -73,6 +77,7 @@ ENTRIES = {
     "op4_ftrl_quality": (op4_ftrl_quality, None),
     "op6_decision_list": (op6_decision_list, None),
     "op7_divide_skip": (op7_divide_skip, jaccard.oracle(4, 85, 100)),
+    "op8_simhash_windows": (op8_simhash_windows, None),
     "op9_template_lines": (op9_template_lines, linededup.oracle()),
     "op10_binary_packing": (op10_binary_packing, None),
 }

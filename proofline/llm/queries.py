@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ftrl, jaccard, langid, licences, linededup, packing, rules, warc
+import corpus_pipeline
+
+from . import decontam, ftrl, htmlcrf, jaccard, langid, licences, linededup, packing, rules, warc
 from .common import held_out, work_dir
 
 
@@ -36,6 +38,10 @@ def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.score(docs, weights, keep=("held_out",)).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(table(spark, sf_dir, "pages"), htmlcrf.trained())
+
+
 def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = rules.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
@@ -61,6 +67,10 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _B32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 _GROUP = " || ".join(f"substr({_B32}, CAST((g >> {s}) & 31 AS INTEGER) + 1, 1)" for s in range(35, -5, -5))
 _DIGEST = " || ".join(f"(SELECT {_GROUP} FROM (SELECT CAST('0x' || substr(h, {i}, 10) AS BIGINT) AS g))" for i in (1, 11, 21, 31))
@@ -75,11 +85,13 @@ ENTRIES = {
     "op2_language_mixture": (op2_language_mixture, None),
     "op3_warc_segments": (op3_warc_segments, WARC_SQL),
     "op4_ftrl_quality": (op4_ftrl_quality, None),
+    "op5_crf_extraction": (op5_crf_extraction, None),
     "op6_decision_list": (op6_decision_list, None),
     "op7_divide_skip": (op7_divide_skip, jaccard.oracle(4, 85, 100)),
     "op8_simhash_windows": (op8_simhash_windows, None),
     "op9_template_lines": (op9_template_lines, linededup.oracle()),
     "op10_binary_packing": (op10_binary_packing, None),
+    "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm import decontam, jaccard, langid, linededup, packing
+from proofline.llm.common import staged
 from proofline.session import shared_dir
 
 #: Below this share of one language a document is rejected as mixed.
@@ -40,9 +41,13 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of similar ones (five words, 0.8); of repeated rows one."""
-    named = jaccard.similar_documents(docs, k=5, num=80, den=100)
-    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = staged(jaccard.similar_documents(docs, k=5, num=80, den=100), "named")
+    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
+    kept = staged(kept, "kept")
+    out = docs.join(kept.select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    if kept.filter("rows > 1").isEmpty():
+        return out
+    return out.dropDuplicates(["doc_id", "text"])  # ids that stand for several rows
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ neighbouring tokens, and pairs of token shapes (lower, capitalised, upper case,
 hashed to ``2 ** bits`` places. A feature's value is ln(1 + count), and a document's values have length one, so very
 long texts weigh like short ones. A text without tokens has only the constant.
 
-Training uses a bounded sample of labelled rows (``max_train``, the smallest hashes of the id), dealt to a fixed number
-of groups. Each group runs per-coordinate FTRL-proximal over its rows several times; the weights of the groups are
+Training uses a bounded sample of labelled rows (``max_train``, the smallest hashes of the id), dealt to groups of about
+``GROUP_ROWS``. Each group runs per-coordinate FTRL-proximal over its rows several times; the weights of the groups are
 averaged in Spark. The result has at most ``2 ** bits`` numbers and is broadcast. Scoring is a
 map: sparse dot products of whole texts with the weights.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, WORDLIKE, mix, slices, text_buffers, word_hashes
 
-GROUPS = 8
+GROUP_ROWS = 2500
 _SIGNS = ~(WHITE | WORDLIKE)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -108,8 +108,8 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = 20_000, bits: int = 18, epochs: int = 4,
-          alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, doc_id: str = "doc_id",
+def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = 20_000, bits: int = 18, epochs: int = 6,
+          alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, doc_id: str = "doc_id",
           text: str = "text") -> np.ndarray:
     """Weights, the last one the constant's. Rows without a label or id are left out; labels are 0 or 1.
 
@@ -118,8 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = 20_00
     sample = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
               .select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y"))
               .orderBy(F.xxhash64("id"), "id", "y").limit(max_train))
+    groups = max(1, -(-sample.count() // GROUP_ROWS))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
-    rows = rows.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(GROUPS)).alias("g"))
+    rows = rows.select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups)).alias("g"))
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("y", "ascending")])
@@ -139,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_train: int = 20_00
     parts = rows.groupBy("g").applyInArrow(fit, "place int, w double, n int")
     found = parts.groupBy("place").agg(F.sum("w").alias("w"), F.max("n").alias("n")).toPandas()
     weights = np.zeros((1 << bits) + 1)
-    weights[found["place"].to_numpy(int)] = found["w"].to_numpy(float) / GROUPS
+    weights[found["place"].to_numpy(int)] = found["w"].to_numpy(float) / groups
     return weights
 
 
@@ -147,8 +148,8 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = (), doc_
     """doc_id, score (probability of label 1) and the columns named in ``keep``, one row per row of ``docs``."""
     bits = int(len(weights) - 1).bit_length() - 1
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double" + "".join(
-        f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
+    schema = source.select("doc_id", "_keep").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value
@@ -161,7 +162,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = (), doc_
                 owner, place, value = features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], bits)
                 logit[lo:hi] += np.bincount(owner, w[place] * value, hi - lo)
                 lo = hi
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1.0 / (1.0 + np.exp(-logit))), *batch.columns[2:]],
-                                             names=["doc_id", "score", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(1.0 / (1.0 + np.exp(-logit)))],
+                                             names=["doc_id", "_keep", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select("doc_id", "score", *[F.col(f"_keep.{c}").alias(c) for c in keep])

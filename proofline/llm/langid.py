@@ -143,9 +143,9 @@ def predict(docs: DataFrame, names: list[str], logs: np.ndarray, doc_id: str = "
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((names, logs))
-    fields = [docs.schema[c] for c in keep]
-    schema = (f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double, shares map<string,double>"
-              + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
+    schema = (source.select("doc_id", "_keep").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
+              .withColumn("shares", F.create_map().cast("map<string,double>")).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = model.value
@@ -180,8 +180,7 @@ def predict(docs: DataFrame, names: list[str], logs: np.ndarray, doc_id: str = "
             if pieces:
                 rated(*_counted(pieces), pred, score, shares)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(shares, pa.map_(pa.string(), pa.float64())), *batch.columns[2:]],
-                names=["doc_id", "lang_pred", "score", "shares", *keep])
+                [batch.column(0), batch.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                 pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=["doc_id", "_keep", "lang_pred", "score", "shares"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select("doc_id", "lang_pred", "score", "shares", *[F.col(f"_keep.{c}").alias(c) for c in keep])

@@ -100,7 +100,7 @@ def shop_cards(spark, d):
     out = near.join(F.broadcast(side), "shop_id")
     return out.select("user_id", "shop_id", "distance_m",
                       F.concat_ws("、", F.slice("services", 1, 4)).alias("first_services"),
-                      F.length(geo.map_link(F.col("s_lat"), F.col("s_lng"), F.col("shop_name"))).alias("link_chars"))
+                      geo.map_link(F.col("s_lat"), F.col("s_lng"), F.col("shop_name")).alias("link"))
 
 
 def order_files(spark, d):
@@ -116,11 +116,12 @@ def order_files(spark, d):
 
 
 def order_tickets(spark, d):
-    """Text tickets; each order takes the measurements of the part with its number."""
+    """Text tickets for every order; images are dealt to the orders in turn by their numbers."""
     o = lookup.with_preset(derive.print_orders(spark, d)).withColumn("vendor_id", F.lit("gainhow"))
     stats = derive.image_stats(spark, d).withColumns(
         {"oog_ratio": F.lit(None).cast("double"), "has_overflow": F.col("max_tac") > 300}).drop("name", "category")
-    joined = commerce.quote(o).join(stats, o["order_id"] == stats["image_id"], "inner")
+    images = derive.images(spark, d).count()
+    joined = commerce.quote(o).join(stats, o["order_id"] % F.lit(images) == stats["image_id"], "left")
     scored = score.score_readiness(sizing.analyze_dpi(joined))
     return commerce.order_ticket(scored).select("order_id", "ticket", "ticket_sha256")
 
@@ -189,7 +190,7 @@ _FILES = f"""SELECT o.order_id, '['||short_name||']_'||{_ART.replace('order_id',
 
 def _ticket_sql() -> str:
     src = f"""SELECT q.*, st.* EXCLUDE (name, category), CAST(NULL AS DOUBLE) AS oog_ratio, max_tac>300 AS has_overflow
- FROM ({priced(S.with_preset(S.PRINT_ORDERS), _FIRST_VENDOR)}) q JOIN ({S.STATS}) st ON st.image_id=q.order_id"""
+ FROM ({priced(S.with_preset(S.PRINT_ORDERS), _FIRST_VENDOR)}) q LEFT JOIN ({S.STATS}) st ON st.image_id=q.order_id%(SELECT count(*) FROM part)"""
     scored = S.score(S.dpi(src))
     lines = ["format('order {} at {}',order_id,vendor_id)", "format('item {} on {}, {} pcs',preset_id,paper_id,qty)",
              "format('trim {:.1f} x {:.1f} mm, with bleed {:.1f} x {:.1f} mm',width_mm,height_mm,width_mm+2*bleed_mm,height_mm+2*bleed_mm)",
@@ -222,8 +223,8 @@ ENTRIES = {
  ORDER BY distance_m, s_ord) AS INTEGER) AS shop_rank FROM (SELECT *, {_WANTED} AS wanted FROM ({_DIST})) WHERE wanted='all' OR wanted=city""")),
     "shop_ranking": (shop_ranking, S.dbl(f"SELECT user_id, shop_id, distance_m, shop_rank FROM ({_RANKED})")),
     "shop_cards": (shop_cards, S.dbl(f"""SELECT user_id, shop_id, distance_m, first_services,
- CAST(length('https://www.google.com/maps/dir/?api=1&destination='||slat||','||slng||'&destination_place_id='||replace(replace(url_encode(shop_name),'%28','('),'%29',')')) AS INTEGER)
- AS link_chars FROM ({_RANKED}) JOIN {_SERVICES} USING (shop_id) WHERE shop_rank=1""")),
+ 'https://www.google.com/maps/dir/?api=1&destination='||slat||','||slng||'&destination_place_id='||replace(replace(url_encode(shop_name),'%28','('),'%29',')')
+ AS link FROM ({_RANKED}) JOIN {_SERVICES} USING (shop_id) WHERE shop_rank=1""")),
     "order_files": (order_files, S.dbl(_FILES)),
     "order_tickets": (order_tickets, S.dbl(_ticket_sql())),
 }

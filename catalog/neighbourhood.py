@@ -56,6 +56,12 @@ def text_bands(spark, d):
                       tx.is_blurry(F.col("edge_score")).alias("blurry"))
 
 
+def first_bands(spark, d):
+    """The first two bands of every image, the limit as a caller's wish."""
+    out = bands.text_bands(derive.scanlines(spark, d), max_bands=2)
+    return out.select("image_id", "band_no", "box_x", "box_y", "box_w", "box_h")
+
+
 def mask_runs(spark, d):
     out = masks.mask_runs(masks.mask_rows(derive.scanlines(spark, d)))
     return out.select("image_id", "y", "x0", "x1")
@@ -129,7 +135,7 @@ def named_steps(spark, d):
 
 
 _NEIGH = f"""SELECT *, lead(l) OVER (PARTITION BY image_id,y ORDER BY x) AS lr, lead(l) OVER (PARTITION BY image_id,x ORDER BY y) AS ld
- FROM (SELECT image_id,w,h,x,y,r*0.299+g*0.587+b*0.114 AS l, greatest(2,least(w,h)//250) AS step FROM ({_P}))"""
+ FROM (SELECT image_id,w,h,x,y,r*0.299+g*0.587+b*0.114 AS l, 1 AS step FROM ({_P}))"""
 _GRID = f"""SELECT image_id,w,h,step,w//step AS gw,h//step AS gh,x//step AS gx,y//step AS gy,
  x//step>=1 AND x//step<w//step-1 AND y//step>=1 AND y//step<h//step-1 AND abs(l-lr)+abs(l-ld)>38.0 AS c FROM ({_NEIGH})
  WHERE x%step=0 AND y%step=0 AND x//step<w//step AND y//step<h//step"""
@@ -148,7 +154,7 @@ _BANDS = f"""SELECT image_id,w,h,step,gh,band_start,
 _BOXES = f"""SELECT *, box_w0 AS box_w, box_h0 AS box_h, contrast_points/((box_w0/CAST(step AS DOUBLE))*(box_h0/CAST(step AS DOUBLE))) AS es
  FROM (SELECT *, greatest(0,min_x-2*step) AS box_x, band_start*step AS box_y, least(w-min_x,max_x-min_x+4*step) AS box_w0,
  least(h,band_end*step+2*step)-band_start*step AS box_h0 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY band_start)
- AS INTEGER) AS band_no FROM ({_BANDS})) WHERE band_no<=8 AND max_x>min_x AND max_x-min_x>w*0.08)"""
+ AS INTEGER) AS band_no FROM ({_BANDS})) WHERE max_x>min_x AND max_x-min_x>w*0.08)"""
 _RUNS = """SELECT image_id, y, min(x) AS x0, max(x) AS x1 FROM (SELECT image_id, y, x,
  x-row_number() OVER (PARTITION BY image_id,y ORDER BY x) AS isle FROM ({src})) GROUP BY image_id, y, isle"""
 _EDGE4 = """SELECT image_id, count(*) AS edge_pixels, CAST(sum(x*7+y*13) AS BIGINT) AS place FROM (SELECT *,
@@ -256,6 +262,7 @@ ENTRIES = {
     "hysteresis_state": (hysteresis_state, S.dbl(_WITH + f"SELECT image_id, gy, in_band FROM ({_HYST})")),
     "density_bands": (density_bands, S.dbl(
         _WITH + f"SELECT image_id, band_start, band_end, min_x, max_x, contrast_points FROM ({_BANDS})")),
+    "first_bands": (first_bands, S.dbl(_WITH + f"SELECT image_id, band_no, box_x, box_y, box_w, box_h FROM ({_BOXES}) WHERE band_no<=2")),
     "text_bands": (text_bands, S.dbl(_WITH + f"""SELECT image_id, band_no, box_x, box_y, box_w, box_h, contrast_points,
  {S.r6('es')} AS edge_score, {S.r6('least(0.99,greatest(0.65,es*0.2+0.75))')} AS confidence, es<0.15 AS blurry FROM ({_BOXES})""")),
     "mask_runs": (mask_runs, _WITH + _RUNS.format(src="SELECT image_id,x,y FROM px WHERE a>20")),

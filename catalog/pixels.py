@@ -178,7 +178,7 @@ def tac_severity(spark, d):
 
 
 def background_removal(spark, d):
-    p = transforms.remove_background(derive.pixels(spark, d))
+    p = transforms.remove_background(derive.scanlines(spark, d))
     return p.groupBy("image_id").agg(F.count_if("cleared").alias("cleared"),
                                      (F.count_if("cleared") > F.count("*") * 0.05).alias("has_transparency"),
                                      *checksum(p))
@@ -314,7 +314,7 @@ def clamp_sql(source: str, limit: int = 300) -> str:
 
 
 def edge_sql(source: str) -> str:
-    """Mean gradient of the sampled interior points, by brute-force neighbour joins."""
+    """Mean gradient of the interior points, by brute-force neighbour joins."""
     lag = ", ".join(f"lag(l,{1}) OVER (PARTITION BY image_id,y ORDER BY x) AS lw, lead(l,1) OVER (PARTITION BY image_id,y ORDER BY x) AS le"
                     for _ in (0,))
     a = f"SELECT image_id,w,h,x,y,(r+g+b)*0.0013071895 AS l FROM ({source})"
@@ -322,8 +322,7 @@ def edge_sql(source: str) -> str:
     cols = ", ".join(f"lag({c}) OVER v AS n_{c}, lead({c}) OVER v AS s_{c}" for c in ("lw", "l", "le"))
     c = f"SELECT *, {cols} FROM ({b}) WINDOW v AS (PARTITION BY image_id,x ORDER BY y)"
     pts = f"""SELECT image_id, -n_lw-2*lw-s_lw+n_le+2*le+s_le AS gx, -n_lw-2*n_l-n_le+s_lw+2*s_l+s_le AS gy,
- -n_l-2*n_le+lw+le-2*s_lw+s_l AS gd FROM ({c}) WHERE x>=1 AND x<w-1 AND y>=1 AND y<h-1
- AND (x-1)%greatest(2,w//220)=0 AND (y-1)%greatest(2,h//220)=0"""
+ -n_l-2*n_le+lw+le-2*s_lw+s_l AS gd FROM ({c}) WHERE x>=1 AND x<w-1 AND y>=1 AND y<h-1"""
     return (f"SELECT image_id, {S.fixed_avg('sqrt(gx*gx+gy*gy+0.5*gd*gd)*0.5')} AS edge_score, count(*) AS edge_points FROM ({pts})"
             " GROUP BY 1")
 
@@ -341,10 +340,10 @@ def background_sql(source: str, tol: float = 25.0) -> str:
 
 def measured_sql() -> str:
     """Images with measured columns, detected preset and DPI."""
-    m = f"""SELECT s.image_id, s.avg_lum, s.avg_sat, s.std_lum, i.max_tac, i.has_overflow, g.oog_ratio, e.edge_score
+    m = f"""SELECT s.image_id, s.avg_lum, s.avg_sat, s.std_lum, i.max_tac, i.has_overflow, g.oog_ratio, coalesce(e.edge_score,0.04) AS edge_score
  FROM ({stats_sql('SELECT * FROM px')}) s JOIN ({ink_sql('SELECT * FROM px')}) i USING (image_id)
  JOIN (SELECT image_id, count(*) FILTER (WHERE oog)/CAST(count(*) AS DOUBLE) AS oog_ratio FROM ({gamut_sql('SELECT * FROM px')}) GROUP BY 1) g
- USING (image_id) JOIN ({edge_sql('SELECT * FROM px')}) e USING (image_id)"""
+ USING (image_id) LEFT JOIN ({edge_sql('SELECT * FROM px')}) e USING (image_id)"""
     return S.dpi(S.with_preset(S.detected(f"SELECT * FROM ({S.IMAGES}) JOIN ({m}) USING (image_id)")))
 
 

@@ -12,6 +12,9 @@ from proofline.sources import derive, dims
 
 from . import sql as S
 
+#: The checks are run with the 500 most frequent words, and the 200 behind them as misspellings.
+VOCABULARY, MISSPELLINGS = 500, 200
+
 
 def _tokens(spark, d):
     return textcheck.tokenize(derive.read(spark, d, "documents"), ["doc_id"])
@@ -19,7 +22,7 @@ def _tokens(spark, d):
 
 def _lists(spark, d):
     counts = textcheck.word_counts(_tokens(spark, d))
-    return textcheck.corpus_vocabulary(counts), textcheck.corpus_typos(counts)
+    return textcheck.corpus_vocabulary(counts, VOCABULARY), textcheck.corpus_typos(counts, VOCABULARY, MISSPELLINGS)
 
 
 def _judged(spark, d, table="documents", ids=("doc_id",)):
@@ -65,12 +68,12 @@ def edit_distances(spark, d):
 
 def closest_words(spark, d):
     counts = textcheck.word_counts(_tokens(spark, d))
-    return textcheck.closest_words(counts, textcheck.corpus_vocabulary(counts))
+    return textcheck.closest_words(counts, textcheck.corpus_vocabulary(counts, VOCABULARY))
 
 
 def fuzzy_matches(spark, d):
     counts = textcheck.word_counts(_tokens(spark, d))
-    return textcheck.fuzzy_matches(counts, textcheck.corpus_vocabulary(counts))
+    return textcheck.fuzzy_matches(counts, textcheck.corpus_vocabulary(counts, VOCABULARY))
 
 
 def word_verdicts(spark, d):
@@ -95,15 +98,15 @@ def conversation_summary(spark, d):
 def text_suggestions(spark, d):
     issues = textcheck.first_issue(_judged(spark, d)[1], ["doc_id"])
     out = textcheck.suggest_text(derive.read(spark, d, "documents").select("doc_id", "text"), issues, ["doc_id"])
-    return out.select("doc_id", "pos", "reason", F.length("suggestion").alias("chars"),
-                      F.md5("suggestion").alias("suggestion_md5"))
+    return out.select("doc_id", "pos", "reason", "suggestion")
 
 
 def escaped_pages(spark, d):
     esc = tx.html_escape(F.col("html"))
-    return derive.read(spark, d, "pages").select("page_id", F.length(esc).alias("chars"), F.md5(esc).alias("digest"))
+    return derive.read(spark, d, "pages").select("page_id", esc.alias("escaped"))
 
 
+_TRIMMED = f"trim(text, '{tx.BLANKS}')"
 _CHARS = string.ascii_lowercase + string.digits
 _REPEAT = "|".join(f"{c}{{3,}}" for c in _CHARS)
 
@@ -118,7 +121,7 @@ def tokens_sql(table: str, ids: str) -> str:
     return f"""SELECT {ids}, CAST(pos AS INTEGER) AS pos, word, clean FROM (SELECT *,
  regexp_replace(lower(word),'[^a-z0-9]','','g') AS clean FROM (SELECT {ids}, pos, ws[pos+1] AS word FROM (
  SELECT {ids}, ws, unnest(range(len(ws))) AS pos FROM (SELECT {ids},
- regexp_split_to_array(regexp_replace(text,'^\\s+|\\s+$','','g'),'\\s+') AS ws FROM {table})))) WHERE length(clean)>=2"""
+ regexp_split_to_array({_TRIMMED},'[{tx.BLANKS}]+') AS ws FROM {table})))) WHERE length(clean)>=2"""
 
 
 _GIB = f"""CASE WHEN regexp_matches(clean,'{_REPEAT}') THEN 'repeat'
@@ -168,9 +171,9 @@ def _summary_sql(tok: str, ids: str) -> str:
 _FIRST = f"""SELECT doc_id, min(pos) AS pos, arg_min(word,pos) AS word, arg_min(clean,pos) AS clean, arg_min(reason,pos) AS reason,
  arg_min(fix,pos) AS fix FROM ({judged_sql()}) GROUP BY 1"""
 _ESC = "replace(replace(replace(replace(replace(html,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),chr(39),'&#39;')"
-_SUGGEST = f"""SELECT doc_id, pos, reason, CAST(length(s) AS INTEGER) AS chars, md5(s) AS suggestion_md5 FROM (SELECT *, CASE WHEN reason IN
- ('misspelling','near_vocabulary') THEN array_to_string(ws[1:pos]||[fix]||ws[pos+2:],' ') ELSE fix END AS s FROM (
- SELECT i.*, regexp_split_to_array(regexp_replace(text,'^\\s+|\\s+$','','g'),'\\s+') AS ws FROM ({_FIRST}) i
+_SUGGEST = f"""SELECT doc_id, pos, reason, s AS suggestion FROM (SELECT *, CASE WHEN reason IN
+ ('misspelling','near_vocabulary') THEN array_to_string([gaps[k]||CASE WHEN k=pos+1 THEN fix ELSE coalesce(ws[k],'') END FOR k IN range(1,len(gaps)+1)],'') ELSE fix END AS s FROM (
+ SELECT i.*, regexp_split_to_array({_TRIMMED},'[{tx.BLANKS}]+') AS ws, regexp_split_to_array({_TRIMMED},'[^{tx.BLANKS}]+') AS gaps FROM ({_FIRST}) i
  JOIN documents USING (doc_id)))"""
 _CONV = cte("SELECT clean FROM cnt UNION SELECT clean FROM ctok").replace(
     "WITH tok AS", f"WITH ctok AS MATERIALIZED ({tokens_sql('conversations', 'conv_id, turn')}), tok AS", 1)
@@ -196,5 +199,5 @@ ENTRIES = {
     "text_summary": (text_summary, cte() + " " + _summary_sql("tok", "doc_id")),
     "conversation_summary": (conversation_summary, _CONV + " " + _summary_sql("ctok", "conv_id, turn")),
     "text_suggestions": (text_suggestions, cte() + " " + _SUGGEST),
-    "escaped_pages": (escaped_pages, f"SELECT page_id, CAST(length({_ESC}) AS INTEGER) AS chars, md5({_ESC}) AS digest FROM pages"),
+    "escaped_pages": (escaped_pages, f"SELECT page_id, {_ESC} AS escaped FROM pages"),
 }

@@ -1,9 +1,8 @@
-"""SQL surface: temporary SQL functions (inlined by the optimizer) and a table function."""
+"""SQL surface: temporary SQL functions (inlined by the optimizer), one of them a table function."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 SQL_FUNCTIONS = {
     "mm_to_px(mm DOUBLE, dpi INT) RETURNS INT":
@@ -24,18 +23,14 @@ SQL_FUNCTIONS = {
 }
 
 
-@udtf(returnType="cell_index: int, cell_row: int, cell_col: int")
-class GridCells:
-    """Positions of a grid with the given columns and rows."""
-
-    def eval(self, cols: int, rows: int):
-        for i in range(cols * rows):
-            yield i, i // cols, i % cols
+GRID_CELLS = """CREATE OR REPLACE TEMPORARY FUNCTION grid_cells(cols INT, rows INT)
+RETURNS TABLE (cell_index INT, cell_row INT, cell_col INT) RETURN
+SELECT i, int(i div cols), i % cols FROM (SELECT explode(IF(cols * rows > 0, sequence(0, cols * rows - 1), array())) AS i)"""
 
 
 def register(spark: SparkSession) -> list[str]:
     """Creates the temporary functions; returns their names."""
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    spark.udtf.register("grid_cells", GridCells)
+    spark.sql(GRID_CELLS)
     return [h.split("(")[0] for h in SQL_FUNCTIONS] + ["grid_cells"]

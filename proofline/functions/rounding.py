@@ -39,5 +39,5 @@ def nano(c: Column) -> Column:
 
 
 def fixed_avg(c: Column) -> Column:
-    """Mean from an integer sum of billionths."""
-    return F.sum(nano(c)).cast("double") / F.lit(1e9) / F.count("*")
+    """Mean from an integer sum of billionths, wide enough for any number of pixels."""
+    return F.sum(nano(c).cast("decimal(28,0)")).cast("double") / F.lit(1e9) / F.count("*")

@@ -6,9 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters that count as blanks, as in ECMAScript.
+BLANKS = ("\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f"
+          "\u3000\ufeff")
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def tokens(text: Column) -> Column:
-    """Whitespace-separated words of the trimmed text."""
-    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
+    """Blank-separated words of the trimmed text."""
+    return F.split(trimmed(text), f"[{BLANKS}]+")
+
+
+def with_word(text: Column, at: Column, word: Column) -> Column:
+    """The trimmed text with word number ``at`` (from 0) replaced; all blanks stay as they are."""
+    gaps = F.split(trimmed(text), f"[^{BLANKS}]+")
+    words = F.transform(tokens(text), lambda w, i: F.when(i == at, word).otherwise(w))
+    return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
 
 def clean_token(word: Column) -> Column:

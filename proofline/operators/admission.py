@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import dims
+from .fence import fenced
 
 MAX_FILE_BYTES = 100 * 1024 * 1024
 UPLOAD_CAP = 20
@@ -60,26 +61,35 @@ def quota_variable(df: DataFrame, quota: str, largest: int, keys=("user_id", "mo
     The remaining quota never grows, so the accepted uses of one cost are the
     first ones of that cost: at most ``quota / cost`` per key. Keeping that many
     candidates per (key, cost) bounds the ordered fold of a key by
-    ``quota * (1 + 1/2 + ...)`` entries, with nothing left out. The verdict
-    returns to the full rows by the unique event id, which cannot be skewed.
-    Costs are whole numbers of one or more.
+    ``quota * (1 + 1/2 + ...)`` entries, with nothing left out. The fold writes
+    one mark per candidate, and the verdicts return to the full rows by key and
+    event. Costs are whole numbers; a use that costs nothing is always accepted.
+    Rows that repeat an event of a key are one use and share its verdict.
     """
+    ids = [*keys, event]
+    once = df.groupBy(*ids).agg(F.min(F.struct(*[c for c in (*order, cost, quota) if c != event])).alias("_u")).select(*ids, "_u.*")
     w = Window.partitionBy(*keys, cost).orderBy(*order)
-    cand = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= largest)
-    cand = cand.filter(F.col("_rn") * F.col(cost) <= F.col(quota))
+    paid = once.filter(F.col(cost) > 0).withColumn("_rn", F.row_number().over(w))
+    cand = paid.filter((F.col("_rn") <= largest) & (F.col("_rn") * F.col(cost) <= F.col(quota)))
     entry = F.struct(*order, F.col(cost).cast("bigint").alias("_c"), F.col(event).alias("_e"))
     per_key = cand.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_uses"),
                                       F.max(F.col(quota).cast("bigint")).alias("_q"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit("").alias("marks"))
 
     def step(acc, use):
         fits = acc["used"] + use["_c"] <= F.col("_q")
-        return F.when(fits, F.struct((acc["used"] + use["_c"]).alias("used"),
-                                     F.concat(acc["ids"], F.array(use["_e"])).alias("ids"))).otherwise(acc)
-
-    folded = per_key.select(F.explode(F.aggregate("_uses", start, step)["ids"]).alias(event))
-    accepted = folded.withColumn("accepted", F.lit(True))
-    return df.join(accepted, event, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+        return F.struct(F.when(fits, acc["used"] + use["_c"]).otherwise(acc["used"]).alias("used"),
+                        F.concat(acc["marks"], F.when(fits, "1").otherwise("0")).alias("marks"))
+
+    marked = fenced(per_key.withColumn("_marks", F.aggregate("_uses", start, step)["marks"]), ["_uses", "_marks"])
+    fits = F.filter("_uses", lambda use, i: F.substring(F.col("_marks"), i + 1, F.lit(1)) == "1")
+    folded = marked.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(fits).alias("_u"))
+    folded = folded.select(*[f"_k{i}" for i in range(len(keys))], F.col("_u._e").alias("_event"), F.lit(True).alias("_paid"))
+    on = F.col(event) == F.col("_event")
+    for i, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"_k{i}"))
+    out = df.join(folded, on, "left").select(*df.columns, "_paid")
+    return out.withColumn("accepted", F.coalesce("_paid", F.col(cost) == 0, F.lit(False))).drop("_paid")
 
 
 def quota_state(df: DataFrame, quota: Column, keys=("user_id", "month"), cost: str = "cost") -> DataFrame:

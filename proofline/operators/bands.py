@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stencil import with_neighbour_rows
 
 CONTRAST = 38.0
 ENTER, LEAVE = 0.08, 0.04
-MAX_BANDS = 8
 
 
-def _grid_step() -> Column:
-    return F.greatest(F.lit(2), F.floor(F.least("w", "h") / 250).cast("int"))
+def contrast_grid(scanlines: DataFrame, step: int = 1) -> DataFrame:
+    """Grid points ``(gx, gy)`` with their contrast flag; border rows carry a null ``gx``.
 
-
-def contrast_grid(scanlines: DataFrame) -> DataFrame:
-    """Grid points ``(gx, gy)`` with their contrast flag; border rows carry a null ``gx``."""
+    Every pixel is a grid point unless the caller asks for a coarser ``step``,
+    which may miss thin strokes.
+    """
     rg = F.zip_with("r", "g", lambda a, b: a * 0.299 + b * 0.587)
     lum = scanlines.select("image_id", "w", "h", "y", F.zip_with(rg, F.col("b"), lambda a, b: a + b * 0.114).alias("l"))
-    near = with_neighbour_rows(lum, ["l"]).withColumn("step", _grid_step())
+    near = with_neighbour_rows(lum, ["l"]).withColumn("step", F.lit(step))
     near = near.withColumns({"grid_w": F.floor(F.col("w") / F.col("step")).cast("int"),
                              "grid_h": F.floor(F.col("h") / F.col("step")).cast("int"),
                              "gy": F.floor(F.col("y") / F.col("step")).cast("int")})
@@ -73,11 +72,13 @@ def density_bands(density: DataFrame) -> DataFrame:
     return agg.filter(keep).drop("_last")
 
 
-def text_bands(scanlines: DataFrame, max_bands: int = MAX_BANDS) -> DataFrame:
-    """Boxes of the first ``max_bands`` text-like bands of every image."""
-    bands = density_bands(row_density(contrast_grid(scanlines)))
+def text_bands(scanlines: DataFrame, max_bands: int | None = None, step: int = 1) -> DataFrame:
+    """Boxes of the text-like bands of every image; only the first ``max_bands`` where the caller asks for that."""
+    bands = density_bands(row_density(contrast_grid(scanlines, step)))
     w = Window.partitionBy("image_id").orderBy("start")
-    first = bands.withColumn("band_no", F.row_number().over(w)).filter(F.col("band_no") <= max_bands)
+    first = bands.withColumn("band_no", F.row_number().over(w))
+    if max_bands is not None:
+        first = first.filter(F.col("band_no") <= max_bands)
     span = F.col("max_x") - F.col("min_x")
     boxed = first.filter((span > 0) & (span > F.col("w") * 0.08))
     step = F.col("step")

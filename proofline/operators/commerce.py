@@ -52,8 +52,8 @@ def quote_total(fee, curve, preset: Column, paper: Column, qty: Column) -> Colum
 
 
 def unit_price(total: Column, qty: Column) -> Column:
-    """Half-up tenths."""
-    return (F.floor((total.cast("bigint") * 20 + qty) / (qty * 2)) / 10.0).cast("decimal(12,1)")
+    """Half-up tenths; null for a quantity of zero."""
+    return (F.floor(F.try_divide(total.cast("bigint") * 20 + qty, qty * 2)) / 10.0).cast("decimal(12,1)")
 
 
 def quote(df: DataFrame) -> DataFrame:

@@ -56,8 +56,10 @@ def lum_bin() -> Column:
     return F.shiftright(s, 1)
 
 
-def strided(pixels: DataFrame, limit: int) -> DataFrame:
-    """Every second pixel (in row-major order) of images larger than ``limit``."""
+def strided(pixels: DataFrame, limit: int | None) -> DataFrame:
+    """Every second pixel (in row-major order) of images larger than ``limit``; all of them without a limit."""
+    if limit is None:
+        return pixels
     big = F.col("w").cast("bigint") * F.col("h") > limit
     odd = (F.col("y").cast("bigint") * F.col("w") + F.col("x")) % 2 == 1
     return pixels.filter(~(big & odd))
@@ -99,11 +101,13 @@ def _stat_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("raw_std", raw).drop("_lum2")
 
 
-def pixel_stats(pixels: DataFrame, stride_above: int = 1000000) -> DataFrame:
+def pixel_stats(pixels: DataFrame, stride_above: int | None = None) -> DataFrame:
     """Luminance, saturation, contrast and transparency per image.
 
     One pass over the pixels: sums are kept per (image, bin), so the histogram
-    percentiles come from the same aggregate instead of a second scan.
+    percentiles come from the same aggregate instead of a second scan. Every
+    pixel counts; ``stride_above`` asks for every second pixel of images with
+    more pixels than that.
     """
     by_bin = (strided(pixels, stride_above).groupBy("image_id", lum_bin().alias("bin")).agg(*_stat_sums()))
     return _finish_stats(by_bin, [])
@@ -136,7 +140,7 @@ def gamut_severity(ratio: Column) -> Column:
     return F.when(ratio > 0.15, "high").when(ratio > 0.05, "moderate").otherwise("low")
 
 
-def analyze_gamut(pixels: DataFrame, stride_above: int = 500000) -> DataFrame:
+def analyze_gamut(pixels: DataFrame, stride_above: int | None = None) -> DataFrame:
     flagged = with_gamut_flag(strided(pixels, stride_above))
     out = flagged.groupBy("image_id", "w", "h").agg(F.count("*").alias("n"), F.count_if("oog").alias("hits"))
     ratio = F.col("hits") / F.col("n")
@@ -212,10 +216,11 @@ def ink_hot_spots(pixels: DataFrame, tile: int = 8, threshold: int = 300) -> Dat
                  F.count_if(F.col("_s") > 0).alias("hot_pixels")))
 
 
-def colour_clusters(pixels: DataFrame) -> DataFrame:
-    """Pixels per quantised colour on the sampling grid, with the first position seen."""
-    step = F.greatest(F.lit(1), F.floor(F.greatest("w", "h") / 320).cast("int"))
-    grid = pixels.filter((F.col("a") >= 50) & (F.col("x") % step == 0) & (F.col("y") % step == 0))
+def colour_clusters(pixels: DataFrame, step: int = 1) -> DataFrame:
+    """Pixels per quantised colour, with the first position seen; ``step`` above 1 asks for a sampling grid."""
+    grid = pixels.filter(F.col("a") >= 50)
+    if step > 1:
+        grid = grid.filter((F.col("x") % step == 0) & (F.col("y") % step == 0))
     return (grid.withColumn("hex", color.quantise_hex(*_rgb()))
             .groupBy("image_id", "hex")
             .agg(F.count("*").alias("pixels"),

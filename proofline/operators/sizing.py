@@ -36,11 +36,13 @@ def is_digital() -> Column:
     return F.expr(DIGITAL_SQL)
 
 
-def analyze_dpi(df: DataFrame) -> DataFrame:
+def analyze_dpi(df: DataFrame, max_px: int = MAX_SAFE_PX) -> DataFrame:
     """Adds current DPI, tier, scale factor, upscale flag and target pixels.
 
     Needs ``width_px, height_px`` and the preset columns ``preset_id, width_mm,
-    height_mm, target_dpi``. Map-side only.
+    height_mm, target_dpi``. Images of ``max_px`` and more on the long side are
+    not enlarged, and no enlargement goes beyond it. An image without a size has
+    no scale factor and needs no upscale. Map-side only.
     """
     fit = "least(_long / greatest(width_mm, height_mm), _short / least(width_mm, height_mm)) * 25.4D"
     tier = (f"CASE WHEN _dig THEN CASE WHEN _short >= {DIGITAL_PX} THEN 'excellent' ELSE 'warning' END "
@@ -48,9 +50,9 @@ def analyze_dpi(df: DataFrame) -> DataFrame:
             "WHEN current_dpi >= 140 THEN 'warning' ELSE 'critical' END")
     # at most eightfold, at least twofold, and the result must fit the pixel ceiling
     wanted = "least(8, greatest(2, int(ceil(target_dpi / greatest(1, current_dpi)))))"
-    scale = (f"CASE WHEN _dig AND _short < {DIGITAL_PX} THEN int(ceil({DIGITAL_PX} / _short)) "
-             f"WHEN NOT _dig AND current_dpi < target_dpi AND _long < {MAX_SAFE_PX} THEN "
-             f"greatest(1, least({wanted}, int(floor({MAX_SAFE_PX} / _long)))) ELSE 1 END")
+    scale = (f"CASE WHEN coalesce(_short, 0) <= 0 THEN NULL WHEN _dig AND _short < {DIGITAL_PX} THEN int(ceil(try_divide({DIGITAL_PX}, _short))) "
+             f"WHEN NOT _dig AND current_dpi < target_dpi AND _long < {max_px} THEN "
+             f"greatest(1, least({wanted}, int(floor(try_divide({max_px}, _long))))) ELSE 1 END")
 
     def target(side: str) -> str:
         return f"CASE WHEN _dig THEN {DIGITAL_PX} ELSE int(floor({side} / 25.4D * target_dpi + 0.5D)) END"
@@ -58,7 +60,7 @@ def analyze_dpi(df: DataFrame) -> DataFrame:
     out = stage(df, _dig=DIGITAL_SQL, _long="greatest(width_px, height_px)", _short="least(width_px, height_px)",
                 current_dpi=f"CASE WHEN _dig THEN 72 ELSE int(floor({fit} + 0.5D)) END", quality_tier=tier,
                 scale_factor=scale, target_width_px=target("width_mm"), target_height_px=target("height_mm"),
-                needs_upscale="scale_factor > 1 AND (_dig OR current_dpi < target_dpi)")
+                needs_upscale="coalesce(scale_factor, 1) > 1 AND (_dig OR current_dpi < target_dpi)")
     return fenced(out.drop("_dig", "_long", "_short"), DPI_COLUMNS)
 
 

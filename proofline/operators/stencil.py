@@ -8,11 +8,14 @@ whatever the height of the image, and one hot image spreads over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import fixed_avg
-
 BAND = 64
 CHANNELS = ("r", "g", "b", "a")
 
@@ -51,22 +54,20 @@ def explode_x(df: DataFrame, start: Column, stop: Column, step: Column) -> DataF
     return df.withColumn("x", F.explode(xs))
 
 
-def sample_step(side: str) -> Column:
-    return F.greatest(F.lit(2), F.floor(F.col(side) / 220).cast("int"))
-
-
 def _brightness(scanlines: DataFrame) -> DataFrame:
     """Adds ``l``, the channel sum 0..765 per pixel."""
     rg = F.zip_with("r", "g", lambda a, b: a + b)
     return scanlines.select("image_id", "w", "h", "y", F.zip_with(rg, F.col("b"), lambda a, b: a + b).alias("l"))
 
 
-def sobel(scanlines: DataFrame) -> DataFrame:
-    """Gradient magnitude at the sampled interior points of every image."""
+def _interior(scanlines: DataFrame, step: int) -> DataFrame:
     near = with_neighbour_rows(_brightness(scanlines), ["l"])
-    sy = sample_step("h")
-    rows = near.filter((F.col("y") >= 1) & (F.col("y") < F.col("h") - 1) & ((F.col("y") - 1) % sy == 0))
-    pts = explode_x(rows, F.lit(1), F.col("w") - 2, sample_step("w"))
+    return near.filter((F.col("y") >= 1) & (F.col("y") < F.col("h") - 1) & ((F.col("y") - 1) % step == 0))
+
+
+def sobel(scanlines: DataFrame, step: int = 1) -> DataFrame:
+    """Gradient magnitude at the interior points of every image, or at every ``step``-th of them."""
+    pts = explode_x(_interior(scanlines, step), F.lit(1), F.col("w") - 2, F.lit(step))
 
     def at(col: str, dx: int) -> Column:
         return F.get(F.col(col), F.col("x") + dx)
@@ -87,6 +88,39 @@ def sobel(scanlines: DataFrame) -> DataFrame:
     return pts.select("image_id", "x", "y", (F.sqrt(twice / 2.0) * (0.5 * 0.0013071895)).alias("magnitude"))
 
 
-def edge_score(scanlines: DataFrame) -> DataFrame:
-    return sobel(scanlines).groupBy("image_id").agg(
-        fixed_avg(F.col("magnitude")).alias("edge_score"), F.count("*").alias("edge_points"))
+def edge_score(scanlines: DataFrame, step: int = 1) -> DataFrame:
+    """Mean gradient per image, with no row for images below three pixels a side.
+
+    The same numbers as the mean of :func:`sobel`, added up a line at a time on
+    Arrow buffers, so no row per pixel is made.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = pc.greater_equal(batch.column("w"), 3)
+            part = batch.filter(wide)
+            if not part.num_rows:
+                continue
+            up, here, down = (part.column(c) for c in ("l_up1", "l", "l_dn1"))
+            ends = np.cumsum(np.diff(here.offsets.to_numpy()))
+            starts = np.concatenate(([0], ends[:-1]))
+            n, c, s = (x.flatten().to_numpy().astype(np.int64) for x in (up, here, down))
+            gx = n[2:] + c[2:] * 2 + s[2:] - n[:-2] - c[:-2] * 2 - s[:-2]
+            gy = s[:-2] + s[1:-1] * 2 + s[2:] - n[:-2] - n[1:-1] * 2 - n[2:]
+            gd = c[:-2] + c[2:] + s[1:-1] - n[1:-1] - n[2:] * 2 - s[:-2] * 2
+            magnitude = np.sqrt((2 * gx * gx + 2 * gy * gy + gd * gd) / 2.0) * (0.5 * 0.0013071895)
+            nano = np.floor(magnitude * 1e9 + 0.5).astype(np.int64)
+            # position p of the arrays is column p + 1; the columns of a line that count are 1, 1 + step, ...
+            line = np.repeat(np.arange(len(starts)), ends - starts)[1:-1]
+            column = np.arange(1, len(c) - 1) - starts[line]
+            use = (column >= 1) & (column < (ends - starts)[line] - 1) & ((column - 1) % step == 0)
+            sums = np.zeros(len(starts), np.int64)
+            np.add.at(sums, line[use], nano[use])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("image_id"), pa.array(sums), pa.array(np.bincount(line[use], minlength=len(starts)).astype(np.int64))],
+                names=["image_id", "total", "points"])
+
+    rows = _interior(scanlines, step).select("image_id", "w", "l_up1", "l", "l_dn1")
+    out = rows.mapInArrow(lines, "image_id bigint, total bigint, points bigint").groupBy("image_id").agg(
+        F.sum("total").alias("total"), F.sum("points").alias("edge_points"))
+    return out.select("image_id", (F.col("total").cast("double") / F.lit(1e9) / F.col("edge_points")).alias("edge_score"), "edge_points")

@@ -1,10 +1,9 @@
 """Spelling and gibberish checks over whole texts.
 
 Texts become one row per word; every rule that depends only on the cleaned word
-is evaluated once per distinct word. Vocabulary and misspelling lists are bounded
-(built-in words plus a top-k of the corpus) and are broadcast; everything that
-grows with the corpus is joined by hash on the word, with the word side salted
-so that one very frequent word is spread over several tasks.
+is evaluated once per distinct word. Vocabulary and misspelling lists may have
+any size: the joins carry no hints, so the planner broadcasts what is small and
+splits frequent words where it is not.
 """
 
 from __future__ import annotations
@@ -13,17 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import spread, task_parallelism
+from ..session import task_parallelism
 from ..sources import dims
 from .fence import fenced
 
-VOCAB_LIMIT = 500
-WORD_SALTS = 8
-
-
 def tokenize(texts: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
     """``(ids, pos, word, clean)`` for every word whose cleaned form has two characters or more."""
-    words = spread(texts.select(*id_cols, text)).select(*id_cols, F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
+    words = texts.select(*id_cols, F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
     # fenced, so that length filters do not repeat the cleaning expression
     cleaned = fenced(words.withColumn("clean", tx.clean_token(F.col("word"))), ["clean"])
     return cleaned.filter(F.length("clean") >= 2)
@@ -40,10 +35,11 @@ def ranked_words(counts: DataFrame, limit: int) -> DataFrame:
     return top.select("clean", (rank - 1).alias("rank"))
 
 
-def corpus_vocabulary(counts: DataFrame, limit: int = VOCAB_LIMIT) -> DataFrame:
+def corpus_vocabulary(counts: DataFrame, limit: int) -> DataFrame:
     """Built-in words first, then the corpus words not among them.
 
-    ``vocab(word, ordinal)`` holds at most ``118 + limit`` rows.
+    The ``limit`` most frequent words are taken, as the caller asks; the checks
+    below take a vocabulary of any size.
     """
     builtin = dims.table(counts.sparkSession, "vocab")
     base = len(dims.VOCABULARY)
@@ -51,13 +47,13 @@ def corpus_vocabulary(counts: DataFrame, limit: int = VOCAB_LIMIT) -> DataFrame:
     return builtin.unionByName(top.select(F.col("clean").alias("word"), (F.col("rank") + base).alias("ordinal")))
 
 
-def corpus_typos(counts: DataFrame, limit: int = VOCAB_LIMIT, extra: int = 200) -> DataFrame:
+def corpus_typos(counts: DataFrame, limit: int, extra: int) -> DataFrame:
     """Misspelling list: the built-in pairs plus the words ranked just behind the
     vocabulary, each mapped to the vocabulary word as many places ahead."""
     ranked = ranked_words(counts, limit + extra)
     bad = ranked.filter(F.col("rank") >= limit).select(
         F.col("clean").alias("bad"), (F.col("rank") - limit).alias("_to"))
-    good = F.broadcast(ranked.select(F.col("clean").alias("good"), F.col("rank").alias("_to")))
+    good = ranked.select(F.col("clean").alias("good"), F.col("rank").alias("_to"))
     pairs = bad.filter(~F.col("bad").isin(list(dims.TYPOS))).join(good, "_to").select("bad", "good")
     return dims.table(counts.sparkSession, "typos").unionByName(pairs)
 
@@ -88,12 +84,12 @@ def closest_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     lengths = (vocab.select(F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)).alias("_len"))
                .distinct())
     near = words.select("clean").distinct().withColumn("_len", F.length("clean"))
-    near = near.join(F.broadcast(lengths), "_len", "left_semi")
+    near = near.join(F.broadcast(lengths), "_len", "left_semi")  # one row per word length
     # a fixed partition count: these few bytes grow about fiftyfold in the next step
     near = near.select("clean").repartition(task_parallelism(words.sparkSession), "clean")
     probe = deletion_keys(near, "clean")
     index = deletion_keys(vocab.select("word", "ordinal"), "word").distinct()
-    pairs = probe.join(F.broadcast(index), "_key").select(
+    pairs = probe.join(index, "_key").select(
         "clean", "word", "ordinal", F.levenshtein(F.col("clean"), F.col("word"), 2).alias("distance"))
     best = F.min(F.when(F.col("distance") >= 0, F.struct("distance", "ordinal", "word"))).alias("_best")
     out = pairs.groupBy("clean").agg(best).filter(F.col("_best").isNotNull())
@@ -103,20 +99,11 @@ def closest_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
 def fuzzy_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Words outside the vocabulary that are one edit (two from seven characters on) from it."""
     hits = closest_words(words.filter(F.length("clean") >= 4), vocab)
-    known = F.broadcast(vocab.select(F.col("word").alias("clean")))
+    known = vocab.select(F.col("word").alias("clean"))
     allowed = F.when(F.length("clean") >= 7, 2).otherwise(1)
     return hits.join(known, "clean", "left_anti").filter(F.col("distance") <= allowed)
 
 
-def _join_on_word(tokens: DataFrame, per_word: DataFrame, salts: int = WORD_SALTS) -> DataFrame:
-    """Left join on ``clean`` with the token side salted against frequent words."""
-    if salts <= 1:
-        return tokens.join(per_word, "clean", "left")
-    salted = tokens.withColumn("_salt", F.pmod(F.xxhash64("pos", "word", *_ids(tokens)), F.lit(salts)).cast("int"))
-    copies = per_word.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["clean", "_salt"], "left").drop("_salt")
-
-
 def _ids(tokens: DataFrame) -> list[str]:
     return [c for c in tokens.columns if c not in ("pos", "word", "clean")]
 
@@ -127,8 +114,8 @@ def judge_vocabulary(counts: DataFrame, vocab: DataFrame, typos: DataFrame, voca
     Everything that depends on the cleaned word alone is settled here, once per
     distinct word instead of once per occurrence.
     """
-    typo_side = F.broadcast(typos.select(F.col("bad").alias("clean"), "good"))
-    vocab_side = F.broadcast(vocab.select(F.col("word").alias("clean"), F.lit(True).alias("_known")))
+    typo_side = typos.select(F.col("bad").alias("clean"), "good")
+    vocab_side = vocab.select(F.col("word").alias("clean"), F.lit(True).alias("_known"))
     words = counts.select("clean").join(typo_side, "clean", "left").join(vocab_side, "clean", "left")
     gib = tx.gibberish_reason(F.col("clean"), F.col("clean"))  # cleaned words have no capitals
     if vocab_first:
@@ -152,10 +139,11 @@ def judge_words(tokens: DataFrame, vocab: DataFrame, typos: DataFrame, vocab_fir
     from the letter-pattern rules.
     """
     verdicts = judge_vocabulary(word_counts(tokens), vocab, typos, vocab_first)
-    df = _join_on_word(tokens, verdicts)
+    # the adaptive join splits a frequent word, or broadcasts the verdicts while they are small
+    df = tokens.join(verdicts, "clean", "left")
     mixed = (F.length("word") >= 4) & F.col("word").rlike("[a-z][A-Z][a-z]")
     if vocab_first:
-        known = F.broadcast(vocab.select(F.col("word").alias("clean"), F.lit(True).alias("_known")))
+        known = vocab.select(F.col("word").alias("clean"), F.lit(True).alias("_known"))
         df = df.join(known, "clean", "left")
         mixed = mixed & F.col("_known").isNull()
     reason = (F.when(F.col("word_reason").isin("misspelling", "repeat", "consonants"), F.col("word_reason"))
@@ -180,15 +168,10 @@ def first_issue(judged: DataFrame, id_cols: list[str]) -> DataFrame:
 def suggest_text(texts: DataFrame, issues: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
     """Suggested wording: the failing word replaced in place, or the fix alone for gibberish."""
     joined = texts.join(issues, id_cols, "inner")
-    trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
-    words = tx.tokens(F.col(text))
-    n, at = F.size(words), F.col("pos")
-    head = F.slice(words, F.lit(1), at)
-    tail = F.slice(words, at + 2, F.greatest(n - at - 1, F.lit(0)))
-    replaced = F.concat_ws(" ", head, F.col("fix"), tail)
+    replaced = tx.with_word(F.col(text), F.col("pos"), F.col("fix"))
     in_place = F.col("reason").isin("misspelling", "near_vocabulary")
     suggestion = F.when(in_place, replaced).otherwise(F.col("fix"))
-    return joined.select(*id_cols, trimmed.alias("raw_text"), "pos", "word", "reason", suggestion.alias("suggestion"))
+    return joined.select(*id_cols, tx.trimmed(F.col(text)).alias("raw_text"), "pos", "word", "reason", suggestion.alias("suggestion"))
 
 
 def text_summary(tokens: DataFrame, judged: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -200,7 +183,7 @@ def text_summary(tokens: DataFrame, judged: DataFrame, id_cols: list[str]) -> Da
 
 
 def match_typos(tokens: DataFrame, typos: DataFrame) -> DataFrame:
-    side = F.broadcast(typos.select(F.col("bad").alias("clean"), "good"))
+    side = typos.select(F.col("bad").alias("clean"), "good")
     hits = tokens.join(side, "clean", "inner")
     return hits.select(*_ids(tokens), "pos", "word", "clean",
                        tx.match_case(F.col("word"), F.col("good")).alias("fix"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Colour formulas generate long methods. Above 8000 bytes the JVM would run them
 # interpreted; this limit makes Spark compile such steps one by one instead.
@@ -38,11 +38,14 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only where the setting is absent (single-machine tests) a temporary folder
-    is chosen and stored in the session.
+    Only on a single machine, as in tests, an absent setting is made up for by a
+    temporary folder; on a cluster its absence is an error, since each executor
+    would write to its own disk.
     """
     path = spark.conf.get(SHARED_DIR_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {SHARED_DIR_KEY} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="proofline-")
         spark.conf.set(SHARED_DIR_KEY, path)
     return path
@@ -55,14 +58,3 @@ def task_parallelism(spark: SparkSession) -> int:
     partitions that are about to grow a thousandfold.
     """
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Redistributes a scan that has fewer partitions than the session has cores.
-
-    One unsplittable file would otherwise feed every later map step from a
-    single task. A table of many files already has enough partitions and is
-    returned as it is, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

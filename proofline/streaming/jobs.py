@@ -89,8 +89,14 @@ def quota_meter(events: DataFrame, root: str, quotas: dict[str, int]) -> Streami
             .trigger(availableNow=True).start())
 
 
-def newest_version(spark: SparkSession, root: str, schema: str, query: StreamingQuery) -> DataFrame:
-    """State after the last micro-batch of a finished query."""
-    progress = query.lastProgress
-    batch = progress["batchId"] if progress else 0
-    return spark.read.schema(schema).parquet(f"{root}/v={batch}")
+def newest_version(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """State after the last finished micro-batch: the highest version in the folder, empty before the first one.
+
+    A run without new data writes no version and so returns the state it found.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    # Spark's commit marker tells a finished version from one that a lost driver left half written
+    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    return spark.read.schema(schema).parquet(f"{root}/v={max(done)}") if done else spark.createDataFrame([], schema)

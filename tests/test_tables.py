@@ -111,7 +111,7 @@ def test_streams_over_several_batches_equal_batch(spark, sf, tmp_path):
     src = jobs.source(spark, str(tmp_path / "in"), schemas.EVENTS, files_per_trigger=1)
     q = jobs.queue_upserts(src, str(tmp_path / "q"))
     q.awaitTermination()
-    got = jobs.newest_version(spark, str(tmp_path / "q" / "queue"), jobs.QUEUE_SCHEMA, q)
+    got = jobs.newest_version(spark, str(tmp_path / "q" / "queue"), jobs.QUEUE_SCHEMA)
     want = queue.latest(derive.queue_events(spark, sf)).select(*got.columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     quotas = {"free": 0, "pro": 3, "vip": 8}

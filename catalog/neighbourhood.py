@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from proofline.functions import text as tx
 from proofline.functions.rounding import fixed_avg, r6
 from proofline.operators import bands, bleed, masks, separable, stencil
-from proofline.plans import optimise
+from proofline.plans import optimise, readiness
+from proofline.session import shared_dir
 from proofline.sources import derive
 
 from . import sql as S
@@ -129,6 +132,12 @@ def optimise_chain(spark, d):
     return _scan_digest(optimise.optimise(scan, scales))
 
 
+def optimised_report(spark, d):
+    """Optimise, measure and score again, per category."""
+    work = f"{shared_dir(spark)}/optimised-{uuid.uuid4().hex}"
+    return readiness.optimised_report(derive.images(spark, d), derive.scanlines(spark, d), work)
+
+
 def named_steps(spark, d):
     out = optimise.run_steps(derive.scanlines(spark, d), ["limit_ink"]).transform(optimise.ANALYSES["ink"])
     return out.select("image_id", "max_tac", "avg_tac", "exceeded_count")
@@ -277,5 +286,6 @@ ENTRIES = {
     "resample_3x": (resample_3x, None),
     "sharpening": (sharpening, None),
     "optimise_chain": (optimise_chain, None),
+    "optimised_report": (optimised_report, None),
     "named_steps": (named_steps, S.dbl(_named_sql())),
 }

@@ -46,10 +46,10 @@ TERMS = {
     "_a": "try_divide(double(width_px), height_px)", "_over": "coalesce(has_overflow, false) AND NOT _dig",
     "_t": "CASE WHEN NOT _dig THEN width_mm / height_mm END",
     "_f": "CASE WHEN NOT _dig THEN height_mm / width_mm END",
-    "_dn": "abs(_a - _t) / greatest(_a, _t)",
-    "_df": "CASE WHEN _f IS NOT NULL THEN abs(_a - _f) / greatest(_a, _f) END",
+    "_dn": "try_divide(abs(_a - _t), greatest(_a, _t))",
+    "_df": "CASE WHEN _f IS NOT NULL THEN try_divide(abs(_a - _f), greatest(_a, _f)) END",
     "_ai": "greatest(_a, try_divide(1D, _a))", "_ti": "greatest(_t, 1D / _t)",
-    "_gap": "greatest(_ai, _ti) / least(_ai, _ti)", "_opt": "least(_dn, _df)",
+    "_gap": "try_divide(greatest(_ai, _ti), least(_ai, _ti))", "_opt": "least(_dn, _df)",
 }
 
 
@@ -64,7 +64,7 @@ def score_readiness(df: DataFrame, issues: bool = False) -> DataFrame:
     df = stage(df, **TERMS, **{f"s_{n}": f"int(floor({FORMULAS[n]} + 0.5D))" for n in FACTORS})
     df = fenced(df if issues else df.drop(*TERMS), [f"s_{n}" for n in FACTORS])
     total = " + ".join(f"s_{n} * {WEIGHTS[n]!r}D" for n in FACTORS)
-    df = stage(df, score=f"CASE WHEN least(width_px, height_px) > 0 AND {total} IS NOT NULL THEN greatest(0, least(100, int(floor({total} + 0.5D)))) END",
+    df = stage(df, score=f"CASE WHEN width_px > 0 AND height_px > 0 AND {total} IS NOT NULL THEN greatest(0, least(100, int(floor({total} + 0.5D)))) END",
                level="CASE WHEN score IS NULL THEN NULL WHEN score >= 88 THEN 'high' WHEN score >= 75 THEN 'mid' ELSE 'low' END")
     return _with_codes(df).drop(*TERMS) if issues else df
 

@@ -50,7 +50,7 @@ def analyze_dpi(df: DataFrame, max_px: int = MAX_SAFE_PX) -> DataFrame:
             "WHEN current_dpi >= 140 THEN 'warning' ELSE 'critical' END")
     # at most eightfold, at least twofold, and the result must fit the pixel ceiling
     wanted = "least(8, greatest(2, int(ceil(target_dpi / greatest(1, current_dpi)))))"
-    scale = (f"CASE WHEN coalesce(_short, 0) <= 0 THEN NULL WHEN _dig AND _short < {DIGITAL_PX} THEN int(ceil(try_divide({DIGITAL_PX}, _short))) "
+    scale = (f"CASE WHEN NOT (coalesce(width_px, 0) > 0 AND coalesce(height_px, 0) > 0) THEN NULL WHEN _dig AND _short < {DIGITAL_PX} THEN int(ceil(try_divide({DIGITAL_PX}, _short))) "
              f"WHEN NOT _dig AND current_dpi < target_dpi AND _long < {max_px} THEN "
              f"greatest(1, least({wanted}, int(floor(try_divide({max_px}, _long))))) ELSE 1 END")
 

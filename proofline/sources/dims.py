@@ -138,23 +138,32 @@ PLAN_FEATURES = ["doubleSided", "dieline", "imposition", "pdfx", "vipAi", "bleed
 PLAN_SCHEMA = ("plan_id string, price_monthly int, max_batch int, monthly_quota int, gates map<string,boolean>, "
                "ordinal int")
 PLANS = [
-    ("free", 0, 1, 0, dict.fromkeys(PLAN_FEATURES, False), 0),
+    ("free", 0, 1, 0,
+     {"doubleSided": False, "dieline": False, "imposition": False, "pdfx": False, "vipAi": False, "bleedExpander":
+     False, "aiMatting": False, "aiVectorizer": False, "pipelineCustomizer": False, "batch": False}, 0),
     ("pro", 399, 20, 500,
-     {f: f not in ("vipAi", "bleedExpander", "aiVectorizer") for f in PLAN_FEATURES}, 1),
-    ("vip", 699, 100, 1000, dict.fromkeys(PLAN_FEATURES, True), 2),
+     {"doubleSided": True, "dieline": True, "imposition": True, "pdfx": True, "vipAi": False, "bleedExpander":
+     False, "aiMatting": True, "aiVectorizer": False, "pipelineCustomizer": True, "batch": True}, 1),
+    ("vip", 699, 100, 1000,
+     {"doubleSided": True, "dieline": True, "imposition": True, "pdfx": True, "vipAi": True, "bleedExpander": True,
+     "aiMatting": True, "aiVectorizer": True, "pipelineCustomizer": True, "batch": True}, 2),
 ]
 
 # Built-in vocabulary, in lookup order.
-VOCABULARY = """
-coffee cafe espresso latte cappuccino special edition exhibition summer sale premium cyberpunk tokyo design
-limited studio print creative art collection autumn winter spring fashion music festival grand opening classic
-vintage delicious fresh menu happy birthday congratulations typography poster gallery modern future night neon
-city magic quality nature organic handcraft vector artisan original authentic official welcome discount super
-mega flash world dream space cosmic universe retro glitch synthwave anime manga club party lounge restaurant
-bakery tea matcha dessert sweet best choice number one exclusive style boutique brand logo market store shop
-travel guide adventure explore holiday vacation peace love hope life story memory golden silver black white
-sunset sunrise star moon ocean forest flower bloom garden green clean pure
-""".split()
+VOCABULARY = [
+    "coffee", "cafe", "espresso", "latte", "cappuccino", "special", "edition", "exhibition", "summer", "sale",
+    "premium", "cyberpunk", "tokyo", "design", "limited", "studio", "print", "creative", "art", "collection",
+    "autumn", "winter", "spring", "fashion", "music", "festival", "grand", "opening", "classic", "vintage",
+    "delicious", "fresh", "menu", "happy", "birthday", "congratulations", "typography", "poster", "gallery",
+    "modern", "future", "night", "neon", "city", "magic", "quality", "nature", "organic", "handcraft", "vector",
+    "artisan", "original", "authentic", "official", "welcome", "discount", "super", "mega", "flash", "world",
+    "dream", "space", "cosmic", "universe", "retro", "glitch", "synthwave", "anime", "manga", "club", "party",
+    "lounge", "restaurant", "bakery", "tea", "matcha", "dessert", "sweet", "best", "choice", "number", "one",
+    "exclusive", "style", "boutique", "brand", "logo", "market", "store", "shop", "travel", "guide",
+    "adventure", "explore", "holiday", "vacation", "peace", "love", "hope", "life", "story", "memory", "golden",
+    "silver", "black", "white", "sunset", "sunrise", "star", "moon", "ocean", "forest", "flower", "bloom",
+    "garden", "green", "clean", "pure",
+]
 
 # Known misspellings.
 TYPOS = {

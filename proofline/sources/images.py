@@ -81,8 +81,9 @@ def unpack_lines(lines: DataFrame) -> DataFrame:
     return lines.mapInPandas(decode, schemas.SCANLINES)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.MANIFEST).json(path, multiLine=True)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A manifest as one JSON array per file, or with ``lines`` as one object per line."""
+    return spark.read.schema(schemas.MANIFEST).json(path, multiLine=not lines)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,

@@ -21,14 +21,15 @@ def noise(w, h, seed, alpha=None):
               255 if alpha is None else alpha(x, y, rnd)) for x in range(w)] for y in range(h)]
 
 
-def test_edges_across_bands(spark):
+@pytest.mark.parametrize("step", [1, 2])
+def test_edges_across_bands(spark, step):
     """A tall image crosses band borders; every row must still see both neighbours."""
     img = noise(9, 150, 1)
-    got = stencil.edge_score(scan_frame(spark, {1: img})).first()
+    got = stencil.edge_score(scan_frame(spark, {1: img}), step).first()
     lum = [[sum(p[:3]) / 765 for p in row] for row in img]
     total, n = 0.0, 0
-    for y in range(1, 149, 2):
-        for x in range(1, 8, 2):
+    for y in range(1, 149, step):
+        for x in range(1, 8, step):
             p = [[lum[y + j][x + i] for i in (-1, 0, 1)] for j in (-1, 0, 1)]
             gx = sum(k * (p[j][2] - p[j][0]) for j, k in enumerate((1, 2, 1)))
             gy = sum(k * (p[2][i] - p[0][i]) for i, k in enumerate((1, 2, 1)))
@@ -206,5 +207,5 @@ def test_scanlines_equal_pixels(spark, sf):
 
 def test_background_removal(spark):
     img = [[(20, 20, 20, 255) if 15 <= x < 35 and 15 <= y < 35 else (255, 255, 255, 255) for x in range(50)] for y in range(50)]
-    out = transforms.remove_background(stencil.to_pixels(scan_frame(spark, {1: img})))
+    out = transforms.remove_background(scan_frame(spark, {1: img}))
     assert out.filter("cleared").count() == 2100 and out.filter("a = 255").count() == 400

@@ -94,7 +94,7 @@ def test_text_suggestions(spark):
     assert 1 not in got
     assert (got[2].reason, got[2].suggestion) == ("repeat", "aab")
     assert got[3].reason == "consonants" and got[3].suggestion == "birthday"
-    assert (got[4].reason, got[4].suggestion) == ("near_vocabulary", "Exhibition now")
+    assert (got[4].reason, got[4].suggestion) == ("near_vocabulary", "Exhibition  now")
     assert got[5].suggestion == "modern cLean"
     assert (got[6].reason, got[6].suggestion) == ("consonants", "")
 

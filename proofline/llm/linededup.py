@@ -18,9 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.operators.fence import fenced
+
 from .common import staged
 
-_BLANKS = "[ \\t\\r]+"
+
+def _line(masked: Column) -> Column:
+    """A line without blanks at its ends; its tokens are what stands between single blanks."""
+    return F.btrim(F.replace(F.replace(masked, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), F.lit(" "))
 
 
 def _masked(text: Column) -> Column:
@@ -34,21 +39,22 @@ def _around(before: Column, after: Column) -> Column:
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """id, line (digits generalised), before, after for every line with at least one token."""
-    arrays = docs.select(F.col(doc_id).alias("id"), F.split(_masked(F.col(text)), "\n").alias("lines"))
+    # fenced: the array is used three times and every line several times, and neither is to be made again
+    arrays = fenced(docs.select(F.col(doc_id).alias("id"), F.split(_masked(F.col(text)), "\n").alias("lines")), ["lines"])
     none = F.array(F.lit(""))
     zipped = F.arrays_zip(F.col("lines").alias("line"),
                           F.concat(none, F.col("lines")).alias("before"),
                           F.concat(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), none).alias("after"))
     rows = arrays.filter("lines IS NOT NULL").select("id", F.explode(zipped).alias("r"))
     rows = rows.select("id", F.col("r.line").alias("raw"), _around(F.col("r.before"), F.col("r.after")).alias("around"))
-    rows = rows.withColumn("line", F.btrim(F.col("raw"), F.lit(" \t\r")))
+    rows = fenced(rows.withColumn("line", _line(F.col("raw"))), ["line"])
     return rows.filter(F.col("raw").isNotNull() & (F.col("line") != ""))
 
 
 def _with_leaf(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    tokens = lines.withColumn("tokens", F.split("line", _BLANKS)).filter(F.size("tokens") >= min_tokens)
-    return tokens.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.concat_ws(" ", F.slice("tokens", 1, depth))),
-                               "h": F.xxhash64("line")})
+    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    return lines.filter(blanks >= min_tokens - 1).withColumns({
+        "leaf": F.xxhash64(blanks, F.substring_index("line", " ", depth)), "h": F.xxhash64("line")})
 
 
 def templates(docs: DataFrame, depth: int = 2, min_contexts: int = 10, context_share: float = 0.25, agreement: float = 0.7,
@@ -60,7 +66,8 @@ def templates(docs: DataFrame, depth: int = 2, min_contexts: int = 10, context_s
     leaves = staged(leaves.filter(F.col("contexts") >= min_contexts).select("leaf"), "leaves")
     # the distinct lines of busy leaves, with the number of documents
     busy = seen.join(leaves, "leaf").groupBy("leaf", "h").agg(F.count("*").alias("n"))
-    wording = (lines.select("leaf", "h", "tokens").join(leaves, "leaf").groupBy("leaf", "h").agg(F.first("tokens").alias("tokens")))
+    wording = (lines.select("leaf", "h", "line").join(leaves, "leaf").groupBy("leaf", "h").agg(F.max("line").alias("line"))
+               .select("leaf", "h", F.split("line", " ").alias("tokens")))
     distinct = staged(busy.join(wording, ["leaf", "h"]), "wording")
     votes = distinct.select("leaf", "n", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.sum("n").alias("n"))
     winners = votes.groupBy("leaf", "i").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
@@ -92,7 +99,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     plain = docs.drop("n_lines", "n_dropped")
     joined = plain.join(drops, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("_drop", F.xxhash64(F.btrim(_masked(x), F.lit(" \t\r")))))
+    kept = F.filter(lines, lambda x: ~F.array_contains("_drop", F.xxhash64(_line(_masked(x)))))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
     out = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull() & F.col(text).isNotNull(), kept))
     return out.select(*[F.coalesce(F.array_join("_kept", "\n"), F.col(c)).alias(c) if c == text else F.col(c) for c in plain.columns],
@@ -105,13 +112,13 @@ def oracle(min_contexts: int = 10, context_share: float = 0.25, agreement: float
     lead = " || ' ' || ".join(f"tokens[{i + 1}]" for i in range(depth))
     return f"""WITH split AS (SELECT doc_id, text, string_split(regexp_replace(text, '[0-9]+', '0', 'g'), chr(10)) AS ls,
   string_split(text, chr(10)) AS raws FROM documents),
- flat AS (SELECT doc_id, i, trim(ls[i], ' ' || chr(9) || chr(13)) AS line, coalesce(ls[i - 1], '') AS b, coalesce(ls[i + 1], '') AS a
+ flat AS (SELECT doc_id, i, trim(translate(ls[i], chr(9) || chr(13), '  '), ' ') AS line, coalesce(ls[i - 1], '') AS b, coalesce(ls[i + 1], '') AS a
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
- toks AS (SELECT *, regexp_split_to_array(line, '[ \\t\\r]+') AS tokens FROM flat WHERE line <> ''),
+ toks AS (SELECT *, string_split(line, ' ') AS tokens FROM flat WHERE line <> ''),
  leafed AS MATERIALIZED (SELECT *, len(tokens) || ' ' || {lead} AS leaf FROM toks WHERE len(tokens) >= {min_tokens}),
  seen0 AS MATERIALIZED (SELECT line, leaf, doc_id, min(CAST('0x' || substr(md5(b || chr(10) || a), 1, 15) AS BIGINT)) AS around FROM leafed GROUP BY ALL),
  busy AS (SELECT leaf FROM seen0 GROUP BY 1 HAVING count(DISTINCT around) >= {min_contexts}),
- wording AS MATERIALIZED (SELECT leaf, line, count(*) AS n, regexp_split_to_array(line, '[ \\t\\r]+') AS tokens FROM seen0 JOIN busy USING (leaf) GROUP BY leaf, line),
+ wording AS MATERIALIZED (SELECT leaf, line, count(*) AS n, string_split(line, ' ') AS tokens FROM seen0 JOIN busy USING (leaf) GROUP BY leaf, line),
  votes AS (SELECT leaf, i, tokens[i] AS token, sum(n) AS n FROM (SELECT leaf, n, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM wording) GROUP BY 1, 2, 3),
  win AS (SELECT leaf, i, max({{'n': n, 'token': token}}) AS top, sum(n) AS total FROM votes GROUP BY 1, 2),
  tpl AS (SELECT leaf, list(CASE WHEN top.n * 2 > total THEN top.token ELSE '' END ORDER BY i) AS template FROM win GROUP BY 1),
@@ -123,6 +130,6 @@ def oracle(min_contexts: int = 10, context_share: float = 0.25, agreement: float
   AND count(DISTINCT around) >= {context_share} * count(*)),
  drops AS (SELECT doc_id, list(DISTINCT line) AS d FROM seen JOIN rec USING (t) WHERE doc_id <> keeper GROUP BY 1),
  kept AS (SELECT s.doc_id, s.text, s.raws, CASE WHEN d IS NOT NULL THEN list_filter(range(1, len(ls) + 1),
-  lambda k: NOT list_contains(d, trim(ls[k], ' ' || chr(9) || chr(13)))) END AS ks FROM split s LEFT JOIN drops USING (doc_id))
+  lambda k: NOT list_contains(d, trim(translate(ls[k], chr(9) || chr(13), '  '), ' '))) END AS ks FROM split s LEFT JOIN drops USING (doc_id))
  SELECT doc_id, CAST(coalesce(len(raws), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN ks IS NULL THEN 0 ELSE len(raws) - len(ks) END AS BIGINT) AS n_dropped,
  CASE WHEN ks IS NULL THEN text ELSE coalesce(array_to_string([raws[k] FOR k IN ks], chr(10)), '') END AS text FROM kept"""

@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.operators.fence import fenced
+
+from .common import staged
+
 #: Public licence texts and notices. Names are SPDX-like.
 KNOWN = {
     "CC-BY-NC-4.0 notice": ["Licensed under CC BY-NC 4.0."],
@@ -85,7 +89,7 @@ def canonical(text: Column) -> Column:
 
 def digest(canonical_text: Column) -> Column:
     """SHA-256 of a canonical form as one line; null for an empty one."""
-    flat = F.btrim(F.regexp_replace(canonical_text, "[ \n]+", " "))
+    flat = F.btrim(F.regexp_replace(canonical_text, " *\n[ \n]*", " "))
     return F.when(flat != "", F.sha2(flat, 256))
 
 
@@ -104,10 +108,13 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     A null id is kept. Other columns are not read.
     """
     known = known.select("digest", "license")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(canonical(F.col(text)))).alias("c"))
-    whole = base.select("doc_id", digest(F.col("c")).alias("digest")).distinct().join(known, "digest", "left")
-    lines = base.select("doc_id", digest(F.col("c")).alias("whole"), F.explode(F.array_distinct(F.split("c", "\n"))).alias("line"))
-    lines = lines.filter(F.length("line") > 2).select("doc_id", "whole", digest(F.col("line")).alias("digest")).join(known, "digest")
+    base = fenced(docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias("c")), ["c"])
+    lines = F.filter(F.transform(F.array_distinct(F.split("c", "\n")), lambda x: F.unhex(digest(x))), lambda x: x.isNotNull())
+    # the texts are read once; what stays is one digest per text and line
+    base = staged(base.select("doc_id", digest(F.col("c")).alias("whole"), lines.alias("lines")), "digests")
+    whole = base.select("doc_id", F.col("whole").alias("digest")).distinct().join(known, "digest", "left")
+    by_line = base.select("doc_id", "whole", F.explode("lines").alias("line"))
+    lines = by_line.join(known.select(F.unhex("digest").alias("line"), "license"), "line")
     notices = lines.groupBy(F.col("doc_id").alias("id"), "whole").agg(F.array_join(F.array_sort(F.collect_set("license")), "|").alias("notices"))
     joined = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("digest").eqNullSafe(F.col("whole")), "left")
     return joined.select("doc_id", "digest", "license", "notices")
@@ -126,7 +133,7 @@ def _canonical_sql(text: str) -> str:
 
 
 def _digest_sql(c: str) -> str:
-    flat = f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'))"
+    flat = f"trim(regexp_replace({c}, ' *\\n[ \\n]*', ' ', 'g'))"
     return f"CASE WHEN {flat} <> '' THEN sha256({flat}) END"
 
 

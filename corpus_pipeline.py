@@ -42,10 +42,12 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of similar ones (five words, 0.8); of repeated rows one."""
     named = staged(jaccard.similar_documents(docs, k=5, num=80, den=100), "named")
-    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
-    kept = staged(kept, "kept")
-    out = docs.join(kept.select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    if kept.filter("rows > 1").isEmpty():
+    ids = named.groupBy(F.col("doc_id").alias("id")).agg(
+        F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("rows"))
+    # the ids that go are far fewer than those that stay
+    gone = staged(ids.filter("NOT kept").select("id"), "gone")
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    if ids.filter("kept AND rows > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id", "text"])  # ids that stand for several rows
 

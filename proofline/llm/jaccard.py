@@ -1,9 +1,9 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams, by T-occurrence search with DivideSkip.
 
 1. Sets. Every text becomes its set of shingle hashes. Texts of equal sets are one node; exact copies need no search.
-2. Frequencies. Shingles are dealt by hash range, in compact blobs (six bytes a shingle), and counted over nodes.
+2. Frequencies. Shingles are dealt by hash range, in compact blobs (eight bytes a shingle), and counted over sets.
    Shingles in more than ``1 / HOT_SHARE`` of the documents are found in the first pass, a number that only depends on
-   the mean set size; they are sent past the counting, so no range holds a hot one. A shingle of one node is dropped: it
+   the mean set size; they are sent past the counting, so no range holds a hot one. A shingle that occurs once is dropped: it
    never adds to an overlap, only to a set's size.
 3. Lists. Two sets of the required similarity share a shingle among the rarest ``n - ceil(t n) + 1`` of both. Nodes that
    meet in such a list are joined to candidate groups (connected components), and each node's shingles are sent once,
@@ -108,106 +108,114 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_BLOB = pa.schema([("r", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("dfs", pa.binary())])
-_BLOB_DDL = "r int, nodes binary, sizes binary, counts binary, keys binary, dfs binary"
+#: ``slice`` numbers a run of documents of one map task; ``at`` are positions in its list of nodes. The head row of a
+#: slice (r < 0) has that list and the set sizes; the other rows have shingles of one range.
+_BLOB = pa.schema([("r", pa.int32()), ("slice", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("at", pa.binary()),
+                   ("keys", pa.binary()), ("dfs", pa.binary())])
+_BLOB_DDL = "r int, slice bigint, nodes binary, sizes binary, at binary, keys binary, dfs binary"
 
 
-def _blobs(r: np.ndarray, node: np.ndarray, size: np.ndarray, key: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``_BLOB``: the entries of each ``r``, by node."""
-    order = np.lexsort((key, node, r))
-    r, node, size, key, df = r[order], node[order], size[order], key[order], df[order]
-    starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
-    cols: list[list] = [[], [], [], [], [], []]
-    for lo, hi in zip(starts, np.append(starts[1:], len(r))):
-        head = np.flatnonzero(np.concatenate(([True], node[lo + 1:hi] != node[lo:hi - 1]))) + lo
-        counts = np.diff(np.append(head, hi))
-        for c, v in zip(cols, (int(r[lo]), node[head].tobytes(), size[head].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(),
-                               _six(key[lo:hi]), df[lo:hi].astype(np.int32).tobytes() if df[lo:hi].any() else b"")):
-            c.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BLOB)], schema=_BLOB)
+def _positions(at: np.ndarray) -> bytes:
+    """Two bytes each where they suffice, else four."""
+    return at.astype("<u2" if not len(at) or at.max() < 1 << 16 else "<u4").tobytes()
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """node, size, key and df of all entries of a group."""
-    node, size, key, df = [], [], [], []
-    for row in zip(*(table[c].to_pylist() for c in ("nodes", "sizes", "counts", "keys", "dfs"))):
-        counts = np.frombuffer(row[2], np.int32)
-        node.append(np.repeat(np.frombuffer(row[0], np.int64), counts))
-        size.append(np.repeat(np.frombuffer(row[1], np.int32), counts))
-        key.append(_from_six(row[3]))
-        df.append(np.frombuffer(row[4], np.int32) if row[4] else np.zeros(len(key[-1]), np.int32))
-    return np.concatenate(node), np.concatenate(size), np.concatenate(key), np.concatenate(df)
-
-
-def _distinct_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries by (key, node), each once."""
-    node, size, key, df = _entries(table)
-    order = np.lexsort((node, key))
-    node, size, key, df = node[order], size[order], key[order], df[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    return node[first], size[first], key[first], df[first]
+def _from_positions(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
 
 
 def candidate_sets(docs: DataFrame, hot: np.ndarray, ranges: int, k: int, num: int, den: int, text: str = "text") -> DataFrame:
     """(node, n, keys array<bigint>, n_prefix, typical) for nodes that can have a partner at all.
 
-    ``keys`` are the shingles of at least two nodes, rarest first; ``n_prefix`` of them lie in the prefix.
+    ``keys`` are the shingles that occur more than once, rarest first; ``n_prefix`` of them lie in the prefix. A set
+    counts once per slice, so copies of a text may count several times; the order is the same for all sets, which is
+    all that the prefix needs.
     """
     model = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
     width = np.uint64(ranges)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         frequent = model.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             sent = np.zeros(0, np.int64)
             for _, h, bounds in _sets(batch.column(0), k):
                 node = _signatures(h, bounds)
-                own, at = np.unique(node, return_index=True)
-                at = at[(np.diff(bounds)[at] > 0) & ~np.isin(own, sent)]
-                sent = np.union1d(sent, node[at])
-                if not len(at):
+                own, first = np.unique(node, return_index=True)
+                first = first[(np.diff(bounds)[first] > 0) & ~np.isin(own, sent)]
+                sent = np.union1d(sent, node[first])
+                if not len(first):
                     continue
-                n = np.diff(bounds)[at]
-                h = np.concatenate([h[bounds[i]:bounds[i + 1]] for i in at])
-                owner, size = np.repeat(node[at], n), np.repeat(n, n)
+                n = np.diff(bounds)[first]
+                h = np.concatenate([h[bounds[i]:bounds[i + 1]] for i in first])
+                at = np.repeat(np.arange(len(first)), n)
                 where = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
                 is_hot = frequent[where] == h if len(frequent) else np.zeros(len(h), bool)
+                # hot shingles pass by the counting, with the head of their slice
+                rows: list[tuple] = [(-1 - number % ranges, number, node[first].tobytes(), n.astype(np.int32).tobytes(),
+                                      _positions(at[is_hot]), _six(h[is_hot] & _LOW), np.full(is_hot.sum(), _INFINITE).tobytes())]
+                h, at = h[~is_hot], at[~is_hot]
                 r = ((h >> np.uint64(48)) % width).astype(np.int32)
-                # hot shingles pass by the counting, dealt by their node; key 0 stands for "this node exists"
-                r = np.where(is_hot, -1 - (owner % ranges).astype(np.int32), r)
-                yield _blobs(r, owner, size, h & _LOW, np.where(is_hot, _INFINITE, 0).astype(np.int32))
+                order = np.argsort(r, kind="stable")  # within a range still by node
+                r, h, at = r[order], h[order] & _LOW, at[order]
+                starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else []
+                for lo, hi in zip(starts, np.append(starts[1:], len(r))):
+                    rows.append((int(r[lo]), number, None, None, _positions(at[lo:hi]), _six(h[lo:hi]), None))
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOB)], schema=_BLOB)
 
     def count(table: pa.Table) -> pa.Table:
-        r = table["r"][0].as_py()
-        node, size, key, df = _distinct_entries(table)
-        if r >= 0:
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            group = np.cumsum(first) - 1
-            df = np.bincount(group)[group].astype(np.int32)
-            keep = df >= 2
-            node, size, key, df = node[keep], size[keep], key[keep], df[keep]
-        return pa.Table.from_batches([_blobs((node % ranges).astype(np.int32), node, size, key, df)], _BLOB)
+        if table["r"][0].as_py() < 0:
+            return table.select(_BLOB.names).cast(_BLOB)
+        keys = [_from_six(x) for x in table["keys"].to_pylist()]
+        at = np.concatenate([_from_positions(x, len(y)) for x, y in zip(table["at"].to_pylist(), keys)])
+        row = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        first = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+        group = np.cumsum(first) - 1
+        df = np.empty(len(keys), np.int32)
+        df[order] = np.bincount(group)[group]
+        keep = np.flatnonzero(df >= 2)
+        row, at, keys, df = row[keep], at[keep], keys[keep], df[keep]
+        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+        number, r = table["slice"].to_numpy(), table["r"][0].as_py()
+        rows = [(r, int(number[row[lo]]), None, None, _positions(at[lo:hi]), _six(keys[lo:hi]), df[lo:hi].tobytes())
+                for lo, hi in zip(starts, np.append(starts[1:], len(row)))]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_BLOB), _BLOB)], schema=_BLOB)
 
     def rank(table: pa.Table) -> pa.Table:
-        node, size, key, df = _entries(table)
-        order = np.lexsort((key, df, node))
-        node, size, key, df = node[order], size[order], key[order], df[order]
-        head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        ends = np.append(head[1:], len(node))
-        n, shared = size[head].astype(np.int64), ends - head
-        prefix = n - (num * n + den - 1) // den + 1 - (n - shared)  # the shingles of this node alone come first
+        node = size = None
+        at, keys, df = [], [], []
+        for row in zip(*(table[c].to_pylist() for c in ("r", "nodes", "sizes", "at", "keys", "dfs"))):
+            if row[0] < 0:
+                node, size = np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int32).astype(np.int64)
+            keys.append(_from_six(row[4]))
+            if row[0] >= 0:  # a shingle is known by its range and 48 bits
+                keys[-1] = keys[-1] | np.uint64(row[0] + 1) << np.uint64(48)
+            at.append(_from_positions(row[3], len(keys[-1])))
+            df.append(np.frombuffer(row[5], np.int32))
+        at, keys, df = np.concatenate(at), np.concatenate(keys), np.concatenate(df)
+        order = np.lexsort((keys, df, at))
+        at, keys, df = at[order], keys[order], df[order]
+        bounds = np.searchsorted(at, np.arange(len(node) + 1))
+        shared = np.diff(bounds)
+        prefix = size - (num * size + den - 1) // den + 1 - (size - shared)  # the shingles of this node alone come first
         prefix = np.minimum(prefix, shared)
         use = np.flatnonzero(prefix > 0)
         weight = np.concatenate(([0.0], np.cumsum(np.minimum(df, 1 << 20).astype(float))))
-        typical = (weight[ends] - weight[head]) / n
-        at = np.concatenate([np.arange(head[i], ends[i]) for i in use] or [np.zeros(0, np.int64)])
-        bounds = np.concatenate(([0], np.cumsum(shared[use])))
-        keys = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(key[at].view(np.int64)))
-        return pa.table({"node": node[head][use], "n": n[use], "keys": keys, "n_prefix": pa.array(prefix[use], pa.int32()), "typical": typical[use]})
+        typical = (weight[bounds[1:]] - weight[bounds[:-1]]) / size
+        pick = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in use] or [np.zeros(0, np.int64)])
+        ends = np.concatenate(([0], np.cumsum(shared[use])))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[pick].view(np.int64)))
+        return pa.table({"node": node[use], "n": size[use], "keys": lists, "n_prefix": pa.array(prefix[use], pa.int32()), "typical": typical[use]})
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(deal, _BLOB_DDL).groupBy("r").applyInArrow(count, _BLOB_DDL)
-    return counted.groupBy("r").applyInArrow(rank, "node bigint, n bigint, keys array<bigint>, n_prefix int, typical double")
+    ranked = counted.groupBy("slice").applyInArrow(rank, "node bigint, n bigint, keys array<bigint>, n_prefix int, typical double")
+    # a set that several slices hold has the same shingles and frequencies in each
+    return ranked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "keys", "n_prefix", "typical")])
 
 
 class Forest:

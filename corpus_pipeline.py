@@ -34,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring lines out of the texts; documents that consisted of nothing else go."""
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_repeated(docs)
     out = out.filter((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 

@@ -9,6 +9,8 @@ surroundings, and at least ``context_share`` of its documents, are asked for. Co
 surroundings too, so they do not make their lines boilerplate. Recurring templates are dropped from every document but
 the one with the smallest id.
 
+:func:`dedup_repeated` goes by the number of distinct documents alone and keeps nothing because of its surroundings.
+
 DataFrame functions only. Rows between the stages are hashes; the text is shuffled once, by document id, to meet its
 drop list. Hot templates are pre-aggregated by (template, surroundings) first.
 """
@@ -57,13 +59,8 @@ def _with_leaf(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
         "leaf": F.xxhash64(blanks, F.substring_index("line", " ", depth)), "h": F.xxhash64("line")})
 
 
-def templates(docs: DataFrame, depth: int = 2, min_contexts: int = 10, context_share: float = 0.25, agreement: float = 0.7,
-              min_tokens: int = 3, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two staged tables: ``seen`` (id, h, t, around), one row per document and line, and ``recurring`` (t, keeper)."""
-    lines = _with_leaf(_lines(docs, doc_id, text), depth, min_tokens)
-    seen = staged(lines.groupBy("h", "leaf", "id").agg(F.min("around").alias("around")), "lines")
-    leaves = seen.groupBy("leaf", "around").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("contexts"))
-    leaves = staged(leaves.filter(F.col("contexts") >= min_contexts).select("leaf"), "leaves")
+def _members(seen: DataFrame, lines: DataFrame, leaves: DataFrame, agreement: float) -> DataFrame:
+    """h, member_of (the leaf) of the lines that agree with their leaf's template."""
     # the distinct lines of busy leaves, with the number of documents
     busy = seen.join(leaves, "leaf").groupBy("leaf", "h").agg(F.count("*").alias("n"))
     wording = (lines.select("leaf", "h", "line").join(leaves, "leaf").groupBy("leaf", "h").agg(F.max("line").alias("line"))
@@ -76,7 +73,17 @@ def templates(docs: DataFrame, depth: int = 2, min_contexts: int = 10, context_s
         F.sort_array(F.collect_list("f")).alias("f")).select("leaf", F.col("f.token").alias("template"))
     same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     members = distinct.join(staged(template, "templates"), "leaf").filter(same >= F.ceil(F.lit(agreement) * F.size("tokens")))
-    members = staged(members.select("h", F.col("leaf").alias("member_of")), "members")
+    return staged(members.select("h", F.col("leaf").alias("member_of")), "members")
+
+
+def templates(docs: DataFrame, depth: int = 2, min_contexts: int = 10, context_share: float = 0.25, agreement: float = 0.7,
+              min_tokens: int = 3, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two staged tables: ``seen`` (id, h, t, around), one row per document and line, and ``recurring`` (t, keeper)."""
+    lines = _with_leaf(_lines(docs, doc_id, text), depth, min_tokens)
+    seen = staged(lines.groupBy("h", "leaf", "id").agg(F.min("around").alias("around")), "lines")
+    leaves = seen.groupBy("leaf", "around").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("contexts"))
+    leaves = staged(leaves.filter(F.col("contexts") >= min_contexts).select("leaf"), "leaves")
+    members = _members(seen, lines, leaves, agreement)
     seen = seen.join(members, "h", "left").select("id", "h", F.coalesce("member_of", "h").alias("t"), "around")
     once = seen.groupBy("t", "id").agg(F.min("around").alias("around"))
     by_around = once.groupBy("t", "around").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
@@ -85,6 +92,31 @@ def templates(docs: DataFrame, depth: int = 2, min_contexts: int = 10, context_s
     return seen, staged(recurring.select("t", "keeper"), "recurring")
 
 
+def _counted(seen: DataFrame, key: str, least: int) -> DataFrame:
+    """key, keeper of what stands in at least ``least`` documents; a group of copies is one document."""
+    groups = seen.groupBy(key, "copies").agg(F.min("id").alias("keeper"))
+    return groups.groupBy(key).agg(F.count("*").alias("n"), F.min("keeper").alias("keeper")).filter(F.col("n") >= least).select(key, "keeper")
+
+
+def repeated(docs: DataFrame, depth: int = 2, min_documents: int = 2, min_variants: int = 10, agreement: float = 0.7,
+             min_tokens: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, h of the lines to drop: the number of documents decides alone, wherever in a document a line stands.
+
+    Documents with the same set of lines are copies and count once. A line (digits generalised) recurs in
+    ``min_documents`` documents, a template with variable fields in ``min_variants``.
+    """
+    lines = _with_leaf(_lines(docs, doc_id, text), depth, min_tokens)
+    sets = lines.groupBy("id").agg(F.collect_set(F.struct("h", "leaf")).alias("lines"))
+    sets = sets.select("id", F.xxhash64(F.sort_array(F.col("lines.h"))).alias("copies"), F.explode("lines").alias("l"))
+    seen = staged(sets.select("id", "copies", "l.h", "l.leaf"), "lines")
+    leaves = seen.select("leaf", "copies").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
+    leaves = staged(leaves.filter(F.col("n") >= min_variants).select("leaf"), "leaves")
+    varied = seen.join(_members(seen, lines, leaves, agreement), "h").select("id", "copies", "h", F.col("member_of").alias("t"))
+    same = seen.join(staged(_counted(seen, "h", min_documents), "same"), "h").select("id", "h", "keeper")
+    alike = varied.join(staged(_counted(varied, "t", min_variants), "alike"), "t").select("id", "h", "keeper")
+    return same.unionByName(alike).filter(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "h")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
 
@@ -94,8 +126,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     pass through; existing columns ``n_lines`` and ``n_dropped`` are replaced.
     """
     seen, recurring = templates(docs, doc_id=doc_id, text=text, **options)
-    drops = (seen.join(recurring, "t").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("id")
-             .agg(F.collect_set("h").alias("_drop")).withColumnRenamed("id", "_id"))
+    return _without(docs, seen.join(recurring, "t").filter(~F.col("id").eqNullSafe(F.col("keeper"))), doc_id, text)
+
+
+def dedup_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """As :func:`dedup_lines`, with the lines of :func:`repeated`, so inner and rarely repeated lines too."""
+    return _without(docs, repeated(docs, doc_id=doc_id, text=text, **options), doc_id, text)
+
+
+def _without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str) -> DataFrame:
+    drops = dropped.groupBy("id").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("id", "_id")
     plain = docs.drop("n_lines", "n_dropped")
     joined = plain.join(drops, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.col(text), "\n")

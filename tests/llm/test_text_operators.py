@@ -195,6 +195,20 @@ def test_template_lines_odd_rows(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_repeated_lines_by_documents(spark):
+    """Shared blocks, rare repeats and a line that also stands in a large group of copies."""
+    own = lambda i: " ".join(f"{c}{zlib.crc32(str(i).encode()):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for c in "qrst")
+    block = "first of the block\nsecond of the block\nthird of the block\nfourth of the block"
+    rows = [(i, f"{own(i)}\n{block}") for i in range(30)]
+    rows += [(100 + i, f"{own(100 + i)}\nan ordinary line in two documents") for i in range(2)]
+    rows += [(200 + i, f"{own(200 + i)}\na hot line of copies") for i in range(60)] + [(1000 + i, "copied\na hot line of copies\nonly in the copies") for i in range(400)]
+    got = {r.doc_id: r.text for r in linededup.dedup_repeated(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == own(i) for i in range(1, 30))
+    assert got[100] == rows[30][1] and got[101] == own(101)
+    assert got[200] == rows[32][1] and all(got[i] == own(i) for i in range(201, 260))
+    assert all(got[1000 + i] == "copied\nonly in the copies" for i in range(400))
+
+
 def test_held_out(spark):
     got = spark.range(50).withColumn("h", held_out("id")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)

@@ -17,6 +17,8 @@ drop list. Hot templates are pre-aggregated by (template, surroundings) first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,22 +101,28 @@ def _counted(seen: DataFrame, key: str, least: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, depth: int = 2, min_documents: int = 2, min_variants: int = 10, agreement: float = 0.7,
-             min_tokens: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, h of the lines to drop: the number of documents decides alone, wherever in a document a line stands.
 
-    Documents with the same set of lines are copies and count once. A line (digits generalised) recurs in
-    ``min_documents`` documents, a template with variable fields in ``min_variants``.
+    Documents with the same set of lines (digits generalised) are copies and count once. A line recurs if it stands
+    word for word in ``min_documents`` documents, however many tokens it has. A template, with digits and other fields
+    that vary, takes ``min_variants`` documents; a line of at most ``depth`` tokens is its own template, digits and all.
     """
-    lines = _with_leaf(_lines(docs, doc_id, text), depth, min_tokens)
-    sets = lines.groupBy("id").agg(F.collect_set(F.struct("h", "leaf")).alias("lines"))
-    sets = sets.select("id", F.xxhash64(F.sort_array(F.col("lines.h"))).alias("copies"), F.explode("lines").alias("l"))
-    seen = staged(sets.select("id", "copies", "l.h", "l.leaf"), "lines")
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.explode(F.split(text, "\n")).alias("raw"))
+    rows = fenced(rows.withColumn("exact", _line(F.col("raw"))), ["exact"]).filter("exact != ''")
+    short = F.length("exact") - F.length(F.replace("exact", F.lit(" "), F.lit(""))) < depth
+    rows = rows.select("id", F.xxhash64("exact").alias("e"), F.when(short, F.col("exact")).otherwise(_masked(F.col("exact"))).alias("line"))
+    lines = _with_leaf(fenced(rows, ["line"]), depth, 1)
+    sets = lines.groupBy("id").agg(F.collect_set(F.struct("e", "h", "leaf")).alias("lines"))
+    sets = sets.select("id", F.xxhash64(F.array_sort(F.array_distinct("lines.h"))).alias("copies"), F.explode("lines").alias("l"))
+    seen = staged(sets.select("id", "copies", "l.*"), "lines")
     leaves = seen.select("leaf", "copies").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = staged(leaves.filter(F.col("n") >= min_variants).select("leaf"), "leaves")
-    varied = seen.join(_members(seen, lines, leaves, agreement), "h").select("id", "copies", "h", F.col("member_of").alias("t"))
-    same = seen.join(staged(_counted(seen, "h", min_documents), "same"), "h").select("id", "h", "keeper")
-    alike = varied.join(staged(_counted(varied, "t", min_variants), "alike"), "t").select("id", "h", "keeper")
-    return same.unionByName(alike).filter(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "h")
+    members = _members(seen, lines, leaves, agreement)
+    varied = seen.join(members, "h", "left").withColumn("t", F.coalesce("member_of", "h"))
+    same = seen.join(staged(_counted(seen, "e", min_documents), "same"), "e").select("id", "e", "keeper")
+    alike = varied.join(staged(_counted(varied, "t", min_variants), "alike"), "t").select("id", "e", "keeper")
+    return same.unionByName(alike).filter(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", F.col("e").alias("h"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -130,16 +138,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 
 
 def dedup_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """As :func:`dedup_lines`, with the lines of :func:`repeated`, so inner and rarely repeated lines too."""
-    return _without(docs, repeated(docs, doc_id=doc_id, text=text, **options), doc_id, text)
+    """As :func:`dedup_lines`, with the lines of :func:`repeated`, so short, inner and rarely repeated lines too."""
+    return _without(docs, repeated(docs, doc_id=doc_id, text=text, **options), doc_id, text, lambda x: x)
 
 
-def _without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str, masked: Callable[[Column], Column] = _masked) -> DataFrame:
     drops = dropped.groupBy("id").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("id", "_id")
     plain = docs.drop("n_lines", "n_dropped")
     joined = plain.join(drops, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("_drop", F.xxhash64(_line(_masked(x)))))
+    kept = F.filter(lines, lambda x: ~F.array_contains("_drop", F.xxhash64(_line(masked(x)))))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
     out = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull() & F.col(text).isNotNull(), kept))
     return out.select(*[F.coalesce(F.array_join("_kept", "\n"), F.col(c)).alias(c) if c == text else F.col(c) for c in plain.columns],

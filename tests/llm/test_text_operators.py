@@ -209,6 +209,18 @@ def test_repeated_lines_by_documents(spark):
     assert all(got[1000 + i] == "copied\nonly in the copies" for i in range(400))
 
 
+def test_repeated_lines_of_one_or_two_tokens(spark):
+    own = lambda i: "".join("qrstuvwxyz"[int(c)] for c in str(i)) + " alone"
+    passage = "这是一段没有空格的很长的文字" * 5
+    rows = [(i, f"{own(i)}\nAnd ornd.\nLes.\n{passage}") for i in range(12)]
+    got = {r.doc_id: r for r in linededup.dedup_repeated(docs(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and all(got[i].text == own(i) and got[i].n_dropped == 3 for i in range(1, 12))
+    numbers = [(i, f"{7 * i}\npage {i}\nShown {i} times to you") for i in range(12)] + [(50 + i, f"room 12\n{own(i)}\nborn in 1850 or in 1851") for i in range(2)]
+    got = {r.doc_id: r.text for r in linededup.dedup_repeated(docs(spark, numbers)).collect()}
+    assert got[0] == numbers[0][1] and all(got[i] == f"{7 * i}\npage {i}" for i in range(1, 12))
+    assert got[50] == numbers[12][1] and got[51] == own(1)
+
+
 def test_held_out(spark):
     got = spark.range(50).withColumn("h", held_out("id")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)

@@ -1,12 +1,14 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming search, exact check.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text; a shingle is ``k`` words. Every
-window of every text, as many shingles long as an item (sizes are merged to at most ``MAX_SIZES`` of them, each item
-keeping the nearest), gets a 64-bit SimHash: per bit, the majority over the window's shingles, counted with repetition.
-All windows are computed from running sums with several counters packed in one 64-bit word.
+window of every text, as many shingles long as an item (every length of an item is a window size), gets a 64-bit
+SimHash: per bit, the majority over the window's shingles, counted with repetition. Windows are computed from running
+sums with several counters packed in one 64-bit word. A window with too few shingles of any item cannot be similar, nor
+can its neighbours, and gets none; that costs a running sum of a bitmap per size and loses nothing.
 
 Fingerprints are cut into four blocks of 16 bits. A fingerprint within ``radius`` of an item's agrees with it in some
-block up to ``radius // 4`` bits, so four tables from block values to items find every fingerprint within the radius.
+block up to ``radius // 4`` bits, so four tables from block values to items find every fingerprint within the radius; the
+items of a size are compared one by one instead where they are at most ``DIRECT``.
 Candidates are checked with the weighted similarity of the shingles, sum of minima over sum of maxima of the
 multiplicities, at the item's own length and at the neighbouring starts.
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import WORDLIKE, shingle_hashes, text_buffers, word_hashes
 
 BLOCK_ITEMS = 20_000
-MAX_SIZES = 16
+DIRECT = 128
 _SLICE = 1 << 18
 _DDL = "item_id bigint, similarity double, start_word bigint, n_words bigint"
 
@@ -59,17 +61,20 @@ class Lanes:
             self.sums[field] = lanes
         return self.sums[field]
 
-    def fingerprints(self, size: int) -> np.ndarray:
-        """SimHash of every ``size`` consecutive hashes."""
+    def fingerprints(self, size: int, starts: np.ndarray | None = None) -> np.ndarray:
+        """SimHash of every ``size`` consecutive hashes, or of those that begin at ``starts``."""
         field = 8 if size < 256 else 16 if size < 65536 else 32
         ones = np.uint64(sum(1 << i for i in range(0, 64, field)))
         add = ones * np.uint64((1 << (field - 1)) - 1 - size // 2)
         high = ones << np.uint64(field - 1)
-        out = np.zeros(len(self.h) - size + 1, np.uint64)
+        out = np.zeros(len(self.h) - size + 1 if starts is None else len(starts), np.uint64)
         x = self.buffer[:len(out)]
         with np.errstate(over="ignore"):
             for j, lane in enumerate(self._fields(field, ones)):
-                np.subtract(lane[size:], lane[:-size], out=x)
+                if starts is None:
+                    np.subtract(lane[size:], lane[:-size], out=x)
+                else:
+                    np.subtract(lane[starts + size], lane[starts], out=x)
                 np.add(x, add, out=x)
                 np.bitwise_and(x, high, out=x)
                 np.right_shift(x, np.uint64(field - 1 - j), out=x)
@@ -101,27 +106,33 @@ class Items:
         self.prints = np.array([_fingerprints(x, len(x))[0] for x in self.hashes], np.uint64)
         lengths = np.array([len(x) for x in self.hashes], np.int64)
         sizes = np.unique(lengths[self.words >= k]) if len(keep) else np.zeros(0, np.int64)
-        if len(sizes) > MAX_SIZES:
-            sizes = np.unique(np.array([g[len(g) // 2] for g in np.array_split(sizes, MAX_SIZES)]))
+        # marks the shingles of the items; a mark that another shingle shares lets a window through, no more
+        marks = np.concatenate([np.zeros(0, np.uint64), *(x for x, w in zip(self.hashes, self.words) if w >= k)])
+        self.marked = np.zeros(1 << min(27, max(16, int(len(marks) * 16).bit_length())), bool)
+        self.marked[marks & np.uint64(len(self.marked) - 1)] = True
         masks = _neighbours(radius // 4)
         self.classes = []
         for size in sizes:
-            members = np.flatnonzero((np.abs(lengths[:, None] - sizes).argmin(axis=1) == np.searchsorted(sizes, size)) & (self.words >= k))
+            members = np.flatnonzero((lengths == size) & (self.words >= k))
             tables = []
-            for b in range(4):
+            for b in range(4 if len(members) > DIRECT else 0):
                 block = ((self.prints[members] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
                 value = (block[:, None] ^ masks).ravel()
                 order = np.argsort(value, kind="stable")
                 first = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
                 tables.append((np.diff(first) > 0, first, np.repeat(members, len(masks))[order].astype(np.int32)))
-            self.classes.append((int(size), tables, int(lengths[members].min()), int(lengths[members].max())))
+            self.classes.append((int(size), tables, members))
         # an item below k words is one hash; its windows are looked up exactly
         self.short: dict[int, dict[int, list[int]]] = {}
         for i in np.flatnonzero(self.words < k):
             self.short.setdefault(int(self.words[i]), {}).setdefault(int(self.hashes[i][0]), []).append(int(i))
 
-    def _candidates(self, fp: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, fp: np.ndarray, tables: list, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at_all, item_all = [], []
+        if not tables:
+            for item in members:
+                at_all.append(np.flatnonzero(np.bitwise_count(fp ^ self.prints[item]) <= self.radius))
+                item_all.append(np.full(len(at_all[-1]), item))
         blocks = fp.astype("<u8", copy=False).view("<u2").reshape(-1, 4)
         for b, (occupied, first, lists) in enumerate(tables):
             v = np.ascontiguousarray(blocks[:, b])
@@ -150,25 +161,31 @@ class Items:
     def search(self, h: np.ndarray, bounds: np.ndarray, words: np.ndarray, threshold: float) -> dict[int, dict[int, tuple[float, int]]]:
         """row -> item -> (similarity, start) for a slice of texts; ``words`` is the number of words per text."""
         found: dict[int, dict[int, tuple[float, int]]] = {}
+        if not self.classes or not len(h):
+            return found
         length = np.diff(bounds)
         row_of = np.repeat(np.arange(len(length)), length)
-        full = words[row_of] >= self.k if len(row_of) else np.zeros(0, bool)
+        marked = self.marked[h & np.uint64(len(self.marked) - 1)] & (words[row_of] >= self.k)
+        sums = np.concatenate(([0], np.cumsum(marked, dtype=np.int64)))
+        marks = sums[bounds[1:]] - sums[bounds[:-1]]
         lanes = Lanes(h)
-        for size, tables, least, most in self.classes:
+        for size, tables, members in self.classes:
+            rows = np.flatnonzero(marks >= threshold * size)
+            # the best window of an item may be up to two starts from the one whose fingerprint is near
+            starts = [np.arange(bounds[r], bounds[r + 1] - size + 1) for r in rows if length[r] >= size]
             pairs = []
-            if len(h) >= size:
-                fp = lanes.fingerprints(size)
-                valid = (row_of[:len(fp)] == row_of[size - 1:]) & full[:len(fp)]
-                where, item = self._candidates(fp, tables)
-                inside = valid[where]
-                pairs.append(np.stack((where[inside], item[inside])))
+            if starts:
+                at = np.concatenate(starts)
+                at = at[sums[at + size] - sums[at] >= threshold * size - 2]
+                where, item = self._candidates(lanes.fingerprints(size, at), tables, members)
+                pairs.append(np.stack((at[where], item)))
             # a text shorter than the window is one window
-            for r in np.flatnonzero((length < size) & (length >= threshold * least) & (words >= self.k)):
-                where, item = self._candidates(_fingerprints(h[bounds[r]:bounds[r + 1]], int(length[r])), tables)
+            for r in rows[length[rows] < size]:
+                where, item = self._candidates(_fingerprints(h[bounds[r]:bounds[r + 1]], int(length[r])), tables, members)
                 pairs.append(np.stack((where + bounds[r], item)))
             if not pairs:
                 continue
-            slack = max(size - least, most - size) + 2
+            slack = 2
             todo: dict[tuple[int, int], set[int]] = {}
             for p, i in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
                 r = int(row_of[p])
@@ -180,10 +197,10 @@ class Items:
                 inside = np.isin(span, self.sets[i][0])
                 if inside.sum() < threshold * m:
                     continue
-                sums = np.concatenate(([0], np.cumsum(inside)))
+                own = np.concatenate(([0], np.cumsum(inside)))
                 for s in sorted(starts):
                     end = min(s + m, int(bounds[r + 1]))
-                    if sums[end - lo] - sums[s - lo] >= threshold * m:
+                    if own[end - lo] - own[s - lo] >= threshold * m:
                         value = self.similarity(i, h[s:end])
                         if value >= threshold and value > found.setdefault(r, {}).get(i, (0.0, 0))[0]:
                             found[r][i] = (value, s - int(bounds[r]))

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from compare import check, duck
@@ -157,6 +158,18 @@ def test_leaks_match_brute_force(spark):
     assert got == want and (202, 7) in got and (203, 7) in got
 
 
+def test_leaks_of_items_of_all_lengths():
+    """Every item has windows of its own length, whichever other items there are."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    texts = [" ".join(word() for _ in range(n)) for n in [*[15] * 80, *range(15, 400, 6), 500, 750, 1200, 2500, 5000]]
+    rows = [" ".join([*(word() for _ in range(30)), t, *(word() for _ in range(30))]) for t in texts]
+    items = decontam.Items(list(range(len(texts))), texts, 5, 15)
+    assert items.leaks(pa.array(rows), 0.8) == [[(i, 1.0, 30, len(t.split()))] for i, t in enumerate(texts)]
+    alone = decontam.Items([3], texts[3:4], 5, 15)
+    assert alone.leaks(pa.array(rows[3:4]), 0.8) == items.leaks(pa.array(rows[3:4]), 0.8)
+
+
 def test_fingerprints():
     import numpy as np
 

@@ -25,6 +25,10 @@ figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend
 section select summary table tbody td textarea tfoot th thead title tr ul""".split())
 #: Elements whose content is never text of the page.
 RAW_TAGS = {"script", "style", "template", "noscript", "iframe", "svg", "object", "canvas", "math", "head", "title"}
+#: Those whose content is not markup: without an end tag they reach to the end of the page.
+TEXT_ONLY_TAGS = {"script", "style", "title"}
+#: What may stand in a head; anything else ends it.
+HEAD_TAGS = {"head", "html", "meta", "link", "base", "basefont", "bgsound", "noframes", "script", "style", "title", "noscript", "template"}
 VOID_TAGS = {"hr", "br", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 SECTIONS = {"article", "main", "nav", "aside", "header", "footer", "form", "section", "figure", "dialog", "menu"}
 #: An opening tag of the key closes an open element of the values that has nothing else above it.
@@ -52,11 +56,70 @@ def attribute_words(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(words))
 
 
+def _text_end(page: str, at: int, tag: str) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _head_end(page: str, at: int, endless: set[str]) -> int:
+    """Where a head whose start tag ends at ``at`` ends: after its end tag, or before the first thing of the body."""
+    while at < len(page) and (m := _TOKEN.match(page, at)):
+        if m[2] is None:
+            if not m[0].startswith("<") and m[0].strip() or m[0] == "<":
+                return at
+            at = m.end()
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if tag == "head":
+                return m.end()
+            if tag in ("body", "html"):
+                return at
+            at = m.end()
+        elif tag not in HEAD_TAGS:
+            return at
+        elif tag in TEXT_ONLY_TAGS:
+            at = _text_end(page, m.end(), tag)
+        elif tag in RAW_TAGS and tag != "head":
+            at = _element_end(page, m.end(), tag, {"head"}, endless)
+        else:
+            at = m.end()
+    return at
+
+
+def _element_end(page: str, at: int, tag: str, around: set[str], endless: set[str]) -> int:
+    """Where the element whose start tag ends at ``at`` ends: after its end tag, or before that of an element around it.
+
+    Without either, the start tag stands alone, and so do later ones of that name (``endless``).
+    """
+    begin, foreign = at, tag in ("svg", "math")
+    inner: dict[str, int] = {}
+    while tag not in endless and at < len(page) and (m := _TOKEN.match(page, at)):
+        at = m.end()
+        if m[2] is None:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if inner.get(name):
+                inner[name] -= 1
+            elif name == tag:
+                return at
+            elif name in around:
+                return m.start()
+        elif name in TEXT_ONLY_TAGS and not foreign:
+            at = _text_end(page, at, name)
+        elif name not in VOID_TAGS and not (foreign and m[3].endswith("/")) and (name != tag or name not in ("iframe", "noscript")):
+            inner[name] = inner.get(name, 0) + 1
+    endless.add(tag)
+    return begin
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order; white space inside is one blank, character references are decoded."""
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    endless: set[str] = set()
     linked, in_link, at, size = 0, 0, 0, len(page)
 
     def close() -> None:
@@ -82,8 +145,12 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW_TAGS and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if tag in TEXT_ONLY_TAGS:
+                at = _text_end(page, at, tag)
+            elif tag == "head":
+                at = _head_end(page, at, endless)
+            elif not (tag in ("svg", "math") and m[3].endswith("/")):
+                at = _element_end(page, at, tag, {name for name, _ in stack} | {"body", "html"}, endless)
             if tag != "svg":
                 close()
             continue

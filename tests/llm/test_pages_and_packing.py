@@ -124,6 +124,21 @@ def test_leaf_blocks():
     assert htmlcrf.leaf_blocks("") == [] and htmlcrf.leaf_blocks("<p") == [] and [b.text for b in htmlcrf.leaf_blocks("<!-- x <p>y")] == []
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>t</title><body><article><p>a</p><p>b</p></article>", ["a", "b"]),  # the end tag of a head may be left out
+    ("<head><meta charset=x><link rel=y><noscript><style>p</style></noscript><p>a", ["a"]),
+    ("<head><title>t</title></head><p>a", ["a"]),
+    ("<p>a</p><svg width='1'/><p>b</p><math/><p>c", ["a", "b", "c"]),
+    ("<p>a<svg><title>t</title><svg><path/></svg><text>x</text></svg>b</p><p>c", ["ab", "c"]),
+    ("<div><iframe src=x></div><p>a</p><iframe>no</iframe><p>b", ["a", "b"]),
+    ("<p>a</p><iframe src=x><p>b</p><canvas><p>c", ["a", "b", "c"]),
+    ("<object><object>no</object>no<div>no</div></object><p>a</p><template><p>no</p></template><noscript>no</noscript>b", ["a", "b"]),
+    ("<p>a</p><script>if (a < b) '<p>no'", ["a"]),
+])
+def test_skipped_elements_end(page, want):
+    assert [b.text for b in htmlcrf.leaf_blocks(page)] == want
+
+
 def test_extraction_odd_rows(spark, crf):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav><a href=x>x</a></nav>"), (None, "u", "<article><p>Some words here.</p></article>"), (4, "u", "<article>" + "<p>Long text here." * 20_000), (4, "u", "<b")]
     table = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS text", "2 AS n_chars")

@@ -221,6 +221,13 @@ def test_repeated_lines_of_one_or_two_tokens(spark):
     assert got[50] == numbers[12][1] and got[51] == own(1)
 
 
+def test_repeated_lines_odd_rows(spark):
+    clash = odd(spark).selectExpr("*", "1 AS n_lines", "2 AS _drop2", "3 AS h", "4 AS t", "5 AS id")
+    got = linededup.dedup_repeated(clash).collect()
+    assert len(got) == 9 and sum(r.text is None for r in got) == odd(spark).filter("text IS NULL").count()
+    assert linededup.dedup_repeated(docs(spark, [])).count() == 0
+
+
 def test_held_out(spark):
     got = spark.range(50).withColumn("h", held_out("id")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, ftrl, htmlcrf, jaccard, langid, licences, linededup, packing, rules, warc
+from . import decontam, ftrl, htmlcrf, jaccard, langid, licences, linededup, packing, rules, topk, warc
 from .common import held_out, work_dir
 
 
@@ -67,6 +67,10 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op13_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -91,6 +95,7 @@ ENTRIES = {
     "op8_simhash_windows": (op8_simhash_windows, None),
     "op9_template_lines": (op9_template_lines, linededup.oracle()),
     "op10_binary_packing": (op10_binary_packing, None),
+    "op13_voronoi_topk": (op13_voronoi_topk, topk.oracle()),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
 

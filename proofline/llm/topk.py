@@ -269,7 +269,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id"
     span: dict[tuple[int, int], list[float]] = {}
     for i, _, g in groups:
         for j in nearest_rows:
-            lo, hi = interval[i, j]
+            lo, hi = interval[i, j] if dtype is not object else (-np.inf, np.inf)  # clipped scores tie: nothing is ruled out
             old = span.get((j, g), (np.inf, -np.inf))
             span[j, g] = (min(lo, old[0]), max(hi, old[1]))
 

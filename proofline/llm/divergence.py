@@ -124,7 +124,7 @@ def _counter(length: int, before: int, bit_map: Broadcast | None, bits: int):
         hasher = Hasher()
         for batch in batches:
             salts = batch.column("salt").to_numpy().view(np.uint64)
-            packed, held, low = [], 0, 0
+            packed, held, low, last = [], 0, 0, -1
             for raw, row, starts, ends in _terms(batch):
                 at = 0
                 while at < len(row):  # at most FLUSH_DOCS documents before a tally

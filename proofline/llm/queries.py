@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, ftrl, htmlcrf, jaccard, langid, licences, linededup, packing, repair, rules, topk, warc
+from . import decontam, divergence, ftrl, htmlcrf, jaccard, langid, licences, linededup, packing, repair, rules, topk, warc
 from .common import held_out, work_dir
 
 
@@ -67,6 +67,10 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op11_prefix_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, copies = repair.damaged(table(spark, sf_dir, "conversations"))
     return repair.digested(repair.repair(rows, copies))
@@ -100,6 +104,7 @@ ENTRIES = {
     "op8_simhash_windows": (op8_simhash_windows, None),
     "op9_template_lines": (op9_template_lines, linededup.oracle()),
     "op10_binary_packing": (op10_binary_packing, None),
+    "op11_prefix_divergence": (op11_prefix_divergence, divergence.oracle()),
     "op12_lightest_repair": (op12_lightest_repair, repair.oracle()),
     "op13_voronoi_topk": (op13_voronoi_topk, topk.oracle()),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),

@@ -6,7 +6,7 @@ A term is a run of letters A-Z, lower-cased, and of characters outside ASCII. A
 1. Each level counts, per language, the distinct documents of every term prefix of a fixed number of bytes, over all
    documents. A term that is shorter counts as it is. Prefixes below the threshold go, and with them every term they
    begin, so the long tail of rare terms is never counted or shuffled as whole terms.
-2. The next level doubles the length and counts only terms whose shorter prefix is left. The refinement ends when no
+2. The next level takes four times the length and counts only terms whose shorter prefix is left. The refinement ends when no
    prefix that is left begins a longer term: complete terms remain.
 3. Only those are counted as strings, by language and source, and held against the threshold once more.
 
@@ -33,10 +33,11 @@ from pyspark.sql.window import Window
 from .common import _BASE, _INVERSE, LOWER, SLICE_BYTES, mix, slices, staged, text_buffers
 
 FILTER_BITS = 26
-FIRST_LENGTH = 6
+FIRST_LENGTH = 4
+GROWTH = 4
 BLOCK_TERMS = 4096
 CHUNK_SOURCES = 64
-FLUSH_TERMS = 2_000_000
+FLUSH_TERMS = 1_000_000
 FLUSH_DOCS = 1 << 15
 UNIT = 1_000_000_000
 #: Bytes of a term: letters and every byte of a character outside ASCII.
@@ -79,30 +80,27 @@ class Hasher:
         """48-bit keys of the first ``length`` bytes of each range, or of all of it."""
         stops = np.minimum(starts + length, ends)
         with np.errstate(over="ignore"):
-            return mix(mix((sums[stops] - sums[starts]) * self.back[starts] + (stops - starts).astype(np.uint64)) ^ salt) >> np.uint64(16)
+            h = (sums[stops] - sums[starts]) * self.back[starts] + (stops - starts).view(np.uint64) ^ salt
+            return ((h ^ (h >> np.uint64(32))) * _BASE) >> np.uint64(16)
 
-
-def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a key."""
-    low = np.uint64((1 << bits) - 1)
-    return keys & low, (keys >> np.uint64(48 - bits)) & low
+    def whole(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the ranges."""
+        with np.errstate(over="ignore"):
+            return mix((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).view(np.uint64))
 
 
 def passes(keys: np.ndarray, bit_map: np.ndarray, bits: int) -> np.ndarray:
-    def on(at: np.ndarray) -> np.ndarray:
-        return (bit_map[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-    one, two = places(keys, bits)
-    return on(one) & on(two)
+    """True where the bit of a 48-bit key is set."""
+    at = keys >> np.uint64(48 - bits)
+    return (bit_map[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _terms(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, row, start, end) of all terms, a slice at a time."""
-    data, offsets = text_buffers(batch.column("text"))
+def _terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first byte, bytes, row, start, end) of all terms, a slice at a time."""
     for lo, hi in slices(data, offsets, ~TERM):
         raw = data[lo:hi]
         starts, ends = spans(raw, offsets[(offsets > lo) & (offsets < hi)] - lo)
-        yield raw, np.searchsorted(offsets, starts + lo, "right") - 1, starts, ends
+        yield lo, raw, np.searchsorted(offsets, starts + lo, "right") - 1, starts, ends
 
 
 def _tally(packed: list[np.ndarray]) -> pa.RecordBatch:
@@ -125,7 +123,7 @@ def _counter(length: int, before: int, bit_map: Broadcast | None, bits: int):
         for batch in batches:
             salts = batch.column("salt").to_numpy().view(np.uint64)
             packed, held, low, last = [], 0, 0, -1
-            for raw, row, starts, ends in _terms(batch):
+            for _, raw, row, starts, ends in _terms(*text_buffers(batch.column("text"))):
                 at = 0
                 while at < len(row):  # at most FLUSH_DOCS documents before a tally
                     stop = int(np.searchsorted(row, low + FLUSH_DOCS))
@@ -141,7 +139,7 @@ def _counter(length: int, before: int, bit_map: Broadcast | None, bits: int):
                         left = passes(hasher.prefixes(sums, s, e, before, salts[r]), bit_map.value, bits)
                         r, s, e = r[left], s[left], e[left]
                     key = hasher.prefixes(sums, s, e, length, salts[r])
-                    packed.append(np.unique(key << np.uint64(16) | (r - low).astype(np.uint64) << np.uint64(1) | (e - s > length).astype(np.uint64)))
+                    packed.append(key << np.uint64(16) | (r - low).view(np.uint64) << np.uint64(1) | (e - s > length).astype(np.uint64))
                     held += len(packed[-1])
                     if len(packed) > 1 and held > 4 * FLUSH_TERMS:  # one very long document
                         packed = [np.unique(np.concatenate(packed))]
@@ -155,54 +153,99 @@ def _counter(length: int, before: int, bit_map: Broadcast | None, bits: int):
 
 def _bit_map(alive: DataFrame, bits: int) -> np.ndarray:
     """The keys as a bit map, put together in Spark; at most ``2 ** bits / 64`` numbers arrive."""
-    low = (1 << bits) - 1
-    at = alive.select(F.explode(F.array(F.expr(f"key & {low}L"), F.expr(f"shiftright(key, {48 - bits}) & {low}L"))).alias("at"))
+    at = alive.select(F.shiftright("key", 48 - bits).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("ones")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("ones").to_numpy().view(np.uint64)
     return out
 
 
-def _strings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def _strings(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     sizes = ends - starts
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(LOWER[raw[at]]))
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(lowered[at]))
+
+
+class Held:
+    """Occurrences of terms: group and row, hash, place in the bytes of the batch, how often."""
+
+    def __init__(self):
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.n, self.last = 0, -1
+
+    def add(self, group: np.ndarray, row: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray) -> None:
+        self.columns.append((group, row, h, start, size, n))
+        self.n, self.last = self.n + len(row), int(row[-1])
+
+    def runs(self, by_row: bool) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        """All columns sorted by group and term (and row), the first of each run, and rows per run of a term."""
+        group, row, h, start, size, n = map(np.concatenate, zip(*self.columns))
+        with np.errstate(over="ignore"):
+            order = np.argsort(mix(h + group.astype(np.uint64) * _BASE))
+        group, row, h, start, size, n = (c[order] for c in (group, row, h, start, size, n))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (group[1:] != group[:-1])
+        run = np.cumsum(new) - 1
+        if by_row:
+            order = np.lexsort((row, run))
+            group, row, h, start, size, n, run = (c[order] for c in (group, row, h, start, size, n, run))
+            new[1:] = (run[1:] != run[:-1]) | (row[1:] != row[:-1])
+        pairs = np.sort(run.astype(np.uint64) << np.uint64(32) | row.astype(np.uint64))
+        distinct = np.ones(len(pairs), bool)
+        distinct[1:] = pairs[1:] != pairs[:-1]
+        docs = np.bincount((pairs[distinct] >> np.uint64(32)).astype(np.int64), minlength=int(run[-1]) + 1)
+        return (group, row, h, start, size, n), np.flatnonzero(new), docs
+
+    def shrink(self) -> None:
+        """Sums repeats within a document, for one that is very long."""
+        columns, first, _ = self.runs(by_row=True)
+        self.columns = [(*(c[first] for c in columns[:5]), np.add.reduceat(columns[5], first))]
+        self.n = len(first)
 
 
 def _counted(length: int, bit_map: Broadcast, bits: int):
-    """Rows (lang, source, salt, text) to (lang, source, term, count, docs) of the terms that are left."""
+    """Rows (lang, source, salt, text) to (lang, source, term, count, docs) of the terms that are left.
+
+    Within a batch a term is named by its 64-bit hash; its length and its first eight bytes are compared too.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             salts = batch.column("salt").to_numpy().view(np.uint64)
-            pairs = pa.table({"lang": batch.column("lang"), "source": batch.column("source"), "row": np.arange(batch.num_rows, dtype=np.int32)})
-
-            def flush() -> pa.RecordBatch:
-                per_row = pa.concat_tables(parts).group_by(["row", "term"]).aggregate([("n", "sum")])
-                placed = per_row.append_column("lang", pairs.column("lang").take(per_row.column("row"))).append_column("source", pairs.column("source").take(per_row.column("row")))
-                out = placed.group_by(["lang", "source", "term"]).aggregate([("n_sum", "sum"), ("n_sum", "count")])
-                return pa.RecordBatch.from_arrays([pc.cast(out.column(c), t).combine_chunks() for c, t in (
-                    ("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n_sum_sum", pa.int64()), ("n_sum_count", pa.int64()))],
+            lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+            codes = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            data, offsets = text_buffers(batch.column("text"))
+            padded = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+            heads = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+            def flush(held: Held) -> pa.RecordBatch:
+                (group, _, _, start, size, n), first, docs = held.runs(by_row=False)
+                run_of = np.repeat(first, np.diff(first, append=len(group)))
+                shift = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+                if ((size != size[run_of]) | ((heads[start] ^ heads[start[run_of]]) << shift != 0)).any():
+                    raise ArithmeticError("two terms of a batch have one hash")
+                group = group[first]
+                return pa.RecordBatch.from_arrays(
+                    [lang.dictionary.take(pa.array(group // len(source.dictionary))), source.dictionary.take(pa.array(group % len(source.dictionary))),
+                     _strings(padded, start[first], start[first] + size[first]).cast(pa.string()), pa.array(np.add.reduceat(n, first)), pa.array(docs)],
                     ["lang", "source", "term", "count", "docs"])
 
-            parts, held, last = [], 0, -1
-            for raw, row, starts, ends in _terms(batch):
-                left = passes(hasher.prefixes(hasher.sums(raw), starts, ends, length, salts[row]), bit_map.value, bits)
+            held = Held()
+            for lo, raw, row, starts, ends in _terms(data, offsets):
+                sums = hasher.sums(raw)
+                left = passes(hasher.prefixes(sums, starts, ends, length, salts[row]), bit_map.value, bits)
                 row, starts, ends = row[left], starts[left], ends[left]
                 if not len(row):
                     continue
-                if held > FLUSH_TERMS and row[0] > last:
-                    yield flush()
-                    parts, held = [], 0
-                part = pa.table({"row": row.astype(np.int32), "term": _strings(raw, starts, ends)}).group_by(["row", "term"]).aggregate([([], "count_all")])
-                parts.append(part.rename_columns(["row", "term", "n"]))
-                held, last = held + part.num_rows, int(row[-1])
-                if len(parts) > 1 and held > 4 * FLUSH_TERMS:  # one very long document
-                    parts = [pa.concat_tables(parts).group_by(["row", "term"]).aggregate([("n", "sum")]).rename_columns(["row", "term", "n"])]
-                    held = parts[0].num_rows
-            if parts:
-                yield flush()
+                if held.n > FLUSH_TERMS and row[0] > held.last:
+                    yield flush(held)
+                    held = Held()
+                held.add(codes[row], row.astype(np.int64), hasher.whole(sums, starts, ends), starts + lo, ends - starts, np.ones(len(row), np.int64))
+                if held.n > 2 * FLUSH_TERMS and len(held.columns) > 1:
+                    held.shrink()
+            if held.n:
+                yield flush(held)
 
     return run
 
@@ -223,7 +266,7 @@ def frequent_terms(docs: DataFrame, least: int = 3, first_length: int = FIRST_LE
         bit_map = spark.sparkContext.broadcast(_bit_map(alive, bits))
         if alive.filter("longer").isEmpty():
             break
-        before, length = length, 2 * length
+        before, length = length, GROWTH * length
     found = rows.mapInArrow(_counted(length, bit_map, bits), "lang string, source string, term string, count bigint, docs bigint")
     return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 

@@ -6,11 +6,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from compare import check, duck
-from proofline.llm import divergence
+from proofline.llm import common, divergence
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -64,8 +65,6 @@ def test_matches_plain_version(spark, options):
 
 def test_small_slices_and_tallies(spark, monkeypatch):
     """Documents cut into slices, many tallies a batch, a document longer than a tally."""
-    import proofline.llm.common as common
-
     rows = corpus(90, 2) + [(1000 + i, " ".join(r[1] or "" for r in corpus(60, 3)), "en", "s1", 0) for i in range(3)]
     frame = [dict(zip(("salt", "text"), (5, r[1]))) for r in rows]
     import pyarrow as pa
@@ -85,6 +84,37 @@ def test_small_slices_and_tallies(spark, monkeypatch):
     monkeypatch.setattr(divergence, "FLUSH_TERMS", 20)
     monkeypatch.setattr(divergence, "slices", lambda d, o, b: common.slices(d, o, b, 50))
     assert counts() == want
+    monkeypatch.setattr(divergence, "GROWTH", 2)
+    assert got(spark, rows) == plain(rows)  # the workers have their own constants; the plan and levels are the same
+
+
+def test_terms_of_a_batch_in_small_tallies(monkeypatch):
+    import pyarrow as pa
+
+    class Full:
+        value = np.full(1 << 20, (1 << 64) - 1, np.uint64)
+
+    rows = corpus(90, 4) + [(1000 + i, " ".join(r[1] or "" for r in corpus(60, 3)), "en", "s1", 0) for i in range(3)]
+    batch = pa.RecordBatch.from_pylist([{"lang": r[2] or "", "source": r[3] or "", "salt": 7, "text": r[1] or ""} for r in rows])
+
+    def counts():
+        out = Counter()
+        for b in divergence._counted(4, Full, 26)(iter([batch])):
+            for r in b.to_pylist():
+                out[r["lang"], r["source"], r["term"], "count"] += r["count"]
+                out[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        return out
+
+    want = Counter()
+    for _, text, lang, source, _ in rows:
+        words = re.findall("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        for w, n in Counter(words).items():
+            want[lang or "", source or "", w, "count"] += n
+            want[lang or "", source or "", w, "docs"] += 1
+    assert counts() == want
+    monkeypatch.setattr(divergence, "FLUSH_TERMS", 20)
+    monkeypatch.setattr(divergence, "slices", lambda d, o, b: common.slices(d, o, b, 50))
+    assert counts() == want
 
 
 def test_only_prefixes_of_frequent_terms_reach_the_next_level(spark, monkeypatch):
@@ -99,7 +129,7 @@ def test_only_prefixes_of_frequent_terms_reach_the_next_level(spark, monkeypatch
 
     monkeypatch.setattr(divergence, "staged", spy)
     assert got(spark, rows, first_length=4) == plain(rows)
-    assert sizes == [2, 2, 2]  # comm and rare; common and commonpl, no rare word; common and commonplace
+    assert sizes == [2, 2]  # comm and rare; common and commonplace, no rare word
 
 
 def test_odd_tables(spark):

@@ -1,10 +1,4 @@
-"""Streaming forms: continuous pre-flight, quota meter, queue upsert.
-
-The stateful jobs keep their state as one table version per micro-batch
-(``v=<batch id>``). A repeated batch reads the same previous version and writes
-the same next one, so a retry after a lost executor or driver changes nothing.
-State and output live below a folder every node can reach.
-"""
+"""Streaming sources and the continuous pre-flight; quotas are in ``quota``, the queue is in ``queue_table``."""
 
 from __future__ import annotations
 
@@ -12,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import admission, queue, report, sizing
+from ..operators import report, sizing
 from ..operators.lookup import with_preset
-from ..sources import derive
 
 
 def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,70 +26,3 @@ def preflight(images: DataFrame) -> DataFrame:
 def write_parquet(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def _previous(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v={batch_id - 1}")
-
-
-QUEUE_SCHEMA = "image_id bigint, status string, ts timestamp, event_id bigint, value double"
-
-
-def queue_upserts(events: DataFrame, root: str) -> StreamingQuery:
-    """Latest status per image; version ``v=<batch>`` is the queue after that batch."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _previous(spark, f"{root}/queue", batch_id, QUEUE_SCHEMA)
-        changes = queue.latest(derive.queue_event_columns(batch))
-        merged = queue.latest(before.unionByName(changes.select(*before.columns)))
-        merged.write.mode("overwrite").parquet(f"{root}/queue/v={batch_id}")
-
-    return (events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True).start())
-
-
-USED_SCHEMA = "user_id bigint, month string, used bigint"
-QUOTA_OUT = "event_id bigint, user_id bigint, month string, cost int, accepted boolean"
-
-
-def quota_meter(events: DataFrame, root: str, quotas: dict[str, int]) -> StreamingQuery:
-    """Accepts uses while the plan's monthly quota lasts.
-
-    Per micro-batch the remaining quota comes from the stored use and the batch
-    rule does the rest, so a hot user is bounded in the same way as in batch.
-    """
-    largest = max(quotas.values())
-    limit = "CASE plan_id " + " ".join(f"WHEN '{p}' THEN {n}" for p, n in quotas.items()) + " ELSE 0 END"
-
-    def meter(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _previous(spark, f"{root}/used", batch_id, USED_SCHEMA)
-        uses = derive.quota_event_columns(batch).join(before, ["user_id", "month"], "left")
-        uses = uses.withColumn("left_over", F.expr(f"{limit} - coalesce(used, 0)")).drop("used")
-        judged = admission.quota_variable(uses, "left_over", largest)
-        judged.select("event_id", "user_id", "month", "cost", "accepted").write.mode("overwrite").parquet(
-            f"{root}/verdicts/v={batch_id}")
-        # the stored verdicts feed the counters, so they are not computed twice
-        done = spark.read.schema(QUOTA_OUT).parquet(f"{root}/verdicts/v={batch_id}").filter("accepted")
-        fresh = done.select("user_id", "month", F.col("cost").cast("bigint").alias("used"))
-        total = before.unionByName(fresh).groupBy("user_id", "month").agg(F.sum("used").alias("used"))
-        total.write.mode("overwrite").parquet(f"{root}/used/v={batch_id}")
-
-    return (events.writeStream.foreachBatch(meter).option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True).start())
-
-
-def newest_version(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """State after the last finished micro-batch: the highest version in the folder, empty before the first one.
-
-    A run without new data writes no version and so returns the state it found.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    # Spark's commit marker tells a finished version from one that a lost driver left half written
-    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    return spark.read.schema(schema).parquet(f"{root}/v={max(done)}") if done else spark.createDataFrame([], schema)

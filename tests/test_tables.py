@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import compare
-from proofline import schemas
 from proofline.operators import admission, queue, score, stencil
 from proofline.plans import readiness
 from proofline.sources import derive, images
-from proofline.streaming import jobs
 
 
 def test_variable_quota_matches_loop(spark):
@@ -97,31 +95,6 @@ def test_packed_lines_round_trip(spark, sf):
     assert back.exceptAll(stencil.to_pixels(scan)).count() == 0
 
 
-def _event_files(spark, sf, folder, parts=3):
-    """Events in arrival order, one file per third of the stream."""
-    ev = spark.read.parquet(f"{sf}/events.parquet")
-    n = ev.count()
-    for i in range(parts):
-        lo, hi = n * i // parts, n * (i + 1) // parts
-        ev.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(str(folder))
-
-
-def test_streams_over_several_batches_equal_batch(spark, sf, tmp_path):
-    _event_files(spark, sf, tmp_path / "in")
-    src = jobs.source(spark, str(tmp_path / "in"), schemas.EVENTS, files_per_trigger=1)
-    q = jobs.queue_upserts(src, str(tmp_path / "q"))
-    q.awaitTermination()
-    got = jobs.newest_version(spark, str(tmp_path / "q" / "queue"), jobs.QUEUE_SCHEMA)
-    want = queue.latest(derive.queue_events(spark, sf)).select(*got.columns)
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
-    quotas = {"free": 0, "pro": 3, "vip": 8}
-    jobs.quota_meter(src, str(tmp_path / "m"), quotas).awaitTermination()
-    verdicts = spark.read.schema(jobs.QUOTA_OUT).parquet(str(tmp_path / "m" / "verdicts" / "*"))
-    assert verdicts.count() == derive.quota_events(spark, sf).count()
-    used = verdicts.filter("accepted").groupBy("user_id", "month").agg(F.sum("cost").alias("u"))
-    assert used.filter("u > 8").count() == 0 and used.count() > 0
-
-
 NO_CROSS = ["preset_matrix", "nearest_shop", "quote_matrix", "preflight", "fuzzy_matches", "measured_scores"]
 
 

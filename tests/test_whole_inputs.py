@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import scan_frame
-from proofline import schemas
 from proofline.functions import text as tx
 from proofline.operators import admission, bands, commerce, measure, score, separable, sizing, stencil, textcheck
 from proofline.operators.lookup import with_preset
 from proofline.plans import optimise, readiness
 from proofline.sources import derive
-from proofline.streaming import jobs
 
 
 def striped(spark, w, h):
@@ -162,16 +160,6 @@ def test_quota_with_free_and_repeated_uses(spark):
     assert sorted((r.user_id, r.event_id, r.accepted) for r in got.collect()) == plain_quota(rows)
 
 
-def test_restart_without_new_data(spark, sf, tmp_path):
-    spark.read.parquet(f"{sf}/events.parquet").limit(300).coalesce(1).write.parquet(str(tmp_path / "in"))
-    root = str(tmp_path / "q")
-    assert jobs.newest_version(spark, f"{root}/queue", jobs.QUEUE_SCHEMA).count() == 0
-    for _ in range(2):
-        jobs.queue_upserts(jobs.source(spark, str(tmp_path / "in"), schemas.EVENTS), root).awaitTermination()
-        got = jobs.newest_version(spark, f"{root}/queue", jobs.QUEUE_SCHEMA).count()
-        assert got > 0
-
-
 def test_shared_folder_is_required_on_a_cluster():
     from types import SimpleNamespace
 

@@ -249,6 +249,52 @@ def _resample_sql(scale: int = 2) -> str:
     return (f"WITH px AS ({S.PIXELS}), tp AS ({taps}) SELECT image_id, count(*) AS n, {checksum_sql()} FROM ({out}) GROUP BY 1")
 
 
+def _blur_kernels(lengths: str, sigmas: dict[str, float]) -> str:
+    """``kern(n, i, j, <name>...)``: weight of entry j in output i after both sweeps over n entries.
+
+    The answer of the recurrence to a single one comes from a recursive query; a backward sweep is the same in reverse.
+    """
+    steps, sums = [], []
+    for name, sigma in sigmas.items():
+        gain, b1, b2, b3 = separable._recursive_coefficients(sigma)
+        steps.append((f"{gain!r}::DOUBLE AS {name}0, 0::DOUBLE AS {name}1, 0::DOUBLE AS {name}2",
+                      f"{b1!r}::DOUBLE*{name}0+{b2!r}::DOUBLE*{name}1+{b3!r}::DOUBLE*{name}2,{name}0,{name}1"))
+        sums.append(f"sum(a.{name}0*b.{name}0) AS {name}")
+    return (f"imp AS (SELECT 0 AS k, {','.join(s[0] for s in steps)} UNION ALL SELECT k+1, {','.join(s[1] for s in steps)} FROM imp"
+            f" WHERE k+1<(SELECT max(n) FROM ({lengths}))),"
+            f" kern AS MATERIALIZED (SELECT n, i, j, {','.join(sums)} FROM (SELECT n, unnest(range(n)) AS i FROM ({lengths})) li,"
+            f" LATERAL (SELECT unnest(range(n)) AS j) lj, LATERAL (SELECT unnest(range(greatest(i,j),n)) AS m) lm"
+            f" JOIN imp a ON a.k=m-i JOIN imp b ON b.k=m-j GROUP BY n, i, j)")
+
+
+def _sharpen_ctes(src: str) -> str:
+    """``sharp(image_id, w, h, x, y, r, g, b, a)`` after the relation ``src``, for the default strengths."""
+    y = f"(({_lin32('r')})*0.2126+({_lin32('g')})*0.7152+({_lin32('b')})*0.0722)"
+    light = "CAST(CAST(116*(CASE WHEN yy>0.008856 THEN cbrt(yy) ELSE 7.787*yy+16/116.0 END)-16 AS FLOAT) AS DOUBLE)"
+    kernels = _blur_kernels(f"SELECT DISTINCT w AS n FROM {src} UNION SELECT DISTINCT h FROM {src}", {"f": 0.8, "c": 2.5})
+    return f"""{kernels},
+ lt AS MATERIALIZED (SELECT *, {light} AS l FROM (SELECT *, {y} AS yy FROM {src})),
+ bx AS (SELECT image_id,y,i AS x,sum(l*k.f) AS f,sum(l*k.c) AS c FROM lt JOIN kern k ON k.n=w AND k.j=x GROUP BY ALL),
+ hs AS (SELECT DISTINCT image_id,h FROM {src}),
+ by_ AS (SELECT image_id,x,i AS y,sum(b.f*k.f) AS f,sum(b.c*k.c) AS c FROM bx b JOIN hs USING (image_id) JOIN kern k ON k.n=h AND k.j=y GROUP BY ALL),
+ vr AS (SELECT image_id,x,y,sum(v) OVER w AS s, sum(v*v) OVER w AS q, count(*) OVER w AS n FROM (SELECT *, l/100 AS v FROM lt)
+  WINDOW w AS (PARTITION BY image_id,y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+ vc AS (SELECT image_id,x,y,sum(s) OVER w AS s,sum(q) OVER w AS q,sum(n) OVER w AS n FROM vr
+  WINDOW w AS (PARTITION BY image_id,x ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+ va AS (SELECT image_id,x,y,CAST(CAST(greatest(0.0,q/n-(s/n)*(s/n)) AS FLOAT) AS DOUBLE) AS v FROM vc),
+ dd AS (SELECT lt.*, v, l-f AS df, l-c AS ds FROM lt JOIN by_ USING (image_id,x,y) JOIN va USING (image_id,x,y)),
+ de AS (SELECT *, CASE WHEN df*ds>0 THEN df*0.65+ds*0.35 ELSE df*0.4+ds*0.6 END AS d FROM dd),
+ dg AS (SELECT *, d*1.5*(0.8+0.4*least(1.2,abs(d)/15.0))*CASE WHEN v<0.0003 THEN 0.05 WHEN v<0.004 THEN 0.05+0.95*pow((v-0.0003)/(0.004-0.0003),2) ELSE 1.0 END AS g0 FROM de),
+ dh AS (SELECT *, CASE WHEN abs(d)<3.0 THEN 0.0 WHEN abs(g0)<=15 THEN g0
+  ELSE sign(g0)*least(15+7.5*(1-1/(1+(abs(g0)-15)/15.0)),22.5) END AS g1 FROM dg),
+ sharp AS (SELECT image_id,w,h,x,y,{','.join(f"CAST(least(255,greatest(0,floor({c}+g1+0.5))) AS INTEGER) AS {c}" for c in "rgb")},a FROM dh)"""
+
+
+def _sharpening_sql() -> str:
+    return (f"WITH RECURSIVE px AS MATERIALIZED ({S.PIXELS}), {_sharpen_ctes('px')}"
+            f" SELECT image_id,w,h,count(*) AS n,{checksum_sql()} FROM sharp GROUP BY 1,2,3")
+
+
 def _sobel_sql() -> str:
     return edge_sql(_P).replace(f"{S.fixed_avg('sqrt(gx*gx+gy*gy+0.5*gd*gd)*0.5')} AS edge_score, count(*) AS edge_points",
                                 f"{S.r6('max(sqrt(gx*gx+gy*gy+0.5*gd*gd)*0.5)')} AS peak,"
@@ -284,7 +330,7 @@ ENTRIES = {
     "local_variance": (local_variance, S.dbl(_WITH + _variance_sql())),
     "resample_2x": (resample_2x, S.dbl(_resample_sql(2))),
     "resample_3x": (resample_3x, None),
-    "sharpening": (sharpening, None),
+    "sharpening": (sharpening, S.dbl(_sharpening_sql())),
     "optimise_chain": (optimise_chain, None),
     "optimised_report": (optimised_report, None),
     "named_steps": (named_steps, S.dbl(_named_sql())),

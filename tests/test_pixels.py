@@ -158,8 +158,22 @@ def _blur(rows, sigma):
     return [list(r) for r in zip(*cols)]
 
 
-def test_sharpening_matches_loops(spark):
-    w, h = 67, 23
+def test_bands_hand_on_the_recurrence():
+    """Any cut into bands, also of one row, gives the blur of the whole column."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(41, 3))
+    for sigma in (0.8, 2.5, 9.0):
+        want = separable.recursive_blur(v, sigma)
+        for cuts in ([41], [20, 21], [1, 1, 2, 30, 5, 2], [8] * 5 + [1]):
+            parts = np.split(v, np.cumsum(cuts)[:-1])
+            states = separable._band_states(cuts, [separable._band_carries(p, sigma) for p in parts], sigma)
+            got = np.concatenate([separable._band_blur(p, s, sigma) for p, s in zip(parts, states)])
+            assert np.abs(got - want).max() < 1e-12
+
+
+# the second image has several bands, the third several strips
+@pytest.mark.parametrize("w,h", [(67, 23), (9, 197), (530, 66)])
+def test_sharpening_matches_loops(spark, w, h):
     img = noise(w, h, 9, lambda x, y, rnd: (x * 3) % 256)
 
     def lightness(p):

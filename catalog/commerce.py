@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import geo
 from proofline.functions.rounding import r6
-from proofline.operators import commerce, lookup, score, sizing
+from proofline.operators import commerce, lookup, nearest, score, sizing
 from proofline.sources import derive, dims
 
 from . import sql as S
@@ -92,6 +92,16 @@ def shop_ranking(spark, d):
     return commerce.rank_shops(derive.users_geo(spark, d)).select("user_id", "shop_id", "distance_m", "shop_rank")
 
 
+def nearest_places(spark, d):
+    """Three nearest suppliers of every customer, both spread over the whole globe."""
+    def globe(key, name):
+        return (F.col(key).alias(name), ((F.col(key) * 7919) % 18001 / 100.0 - 90).alias("lat"), ((F.col(key) * 104729) % 36001 / 100.0 - 180).alias("lng"))
+
+    users = derive.read(spark, d, "customer").select(*globe("c_custkey", "user_id"))
+    places = derive.read(spark, d, "supplier").select(*globe("s_suppkey", "place_id"))
+    return nearest.nearest_places(users, places, k=3)
+
+
 def shop_cards(spark, d):
     """Nearest shop of each user with its first services and a map link."""
     near = commerce.nearest_shop(derive.users_geo(spark, d)).select("user_id", "shop_id", "distance_m")
@@ -202,7 +212,13 @@ def _ticket_sql() -> str:
             f" AS ticket FROM ({scored}))")
 
 
+_GLOBE = "SELECT {k} AS {n}, ({k}*7919)%18001/100.0-90 AS {a}lat, ({k}*104729)%36001/100.0-180 AS {a}lng FROM {t}"
+
 ENTRIES = {
+    "nearest_places": (nearest_places, S.dbl(f"""SELECT user_id, place_id, distance_m, place_rank FROM (SELECT *, CAST(row_number() OVER
+ (PARTITION BY user_id ORDER BY distance_m, place_id) AS INTEGER) AS place_rank FROM (SELECT user_id, place_id, {_HAV} AS distance_m FROM (
+ SELECT *, sin(radians(slat-lat)/2)*sin(radians(slat-lat)/2)+cos(radians(lat))*cos(radians(slat))*sin(radians(slng-lng)/2)*sin(radians(slng-lng)/2) AS ha
+ FROM ({_GLOBE.format(k='c_custkey', n='user_id', a='', t='customer')}), ({_GLOBE.format(k='s_suppkey', n='place_id', a='s', t='supplier')})))) WHERE place_rank<=3""")),
     "vendor_quotes": (vendor_quotes, S.dbl(f"""SELECT order_id, vendor_id, total_price, CAST({_UNIT} AS DOUBLE) AS unit_price, lead_days,
  lead_days=1 AS rush, qty IN (100,500) AS best_value, concat_ws(',',CASE WHEN qty>=100 THEN 'volume_rate' END,
  CASE WHEN vendor_id='classic' AND qty<=50 THEN 'same_day_pickup' END, CASE WHEN paper_id='250g-matte' THEN 'matte_lamination' END) AS notes

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Colour formulas generate long methods. Above 8000 bytes the JVM would run them
 # interpreted; this limit makes Spark compile such steps one by one instead.
@@ -51,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: it is computed once, and the planner sees its real size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def task_parallelism(spark: SparkSession) -> int:
     """Partition count for map-side row explosion: small rows that become big data.
 

@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 
 from proofline.functions import text as tx
 from proofline.operators import textcheck
+from proofline.session import stage
 from proofline.sources import derive, dims
 
 from . import sql as S
 
-#: The checks are run with the 500 most frequent words, and the 200 behind them as misspellings.
-VOCABULARY, MISSPELLINGS = 500, 200
+#: Words that make up one in so many words of the corpus are vocabulary; those behind them, to the second share, misspellings.
+VOCABULARY_ONE_IN, TYPO_ONE_IN = 4000, 5000
+#: The report of the most frequent words.
+TOP_WORDS = 500
 
 
 def _tokens(spark, d):
     return textcheck.tokenize(derive.read(spark, d, "documents"), ["doc_id"])
 
 
+def _counts(spark, d):
+    return stage(textcheck.word_counts(_tokens(spark, d)), "words")
+
+
 def _lists(spark, d):
-    counts = textcheck.word_counts(_tokens(spark, d))
-    return textcheck.corpus_vocabulary(counts, VOCABULARY), textcheck.corpus_typos(counts, VOCABULARY, MISSPELLINGS)
+    return textcheck.corpus_lists(_counts(spark, d), VOCABULARY_ONE_IN, TYPO_ONE_IN)
 
 
 def _judged(spark, d, table="documents", ids=("doc_id",)):
@@ -43,7 +49,8 @@ def word_frequencies(spark, d):
 
 
 def corpus_vocabulary(spark, d):
-    return _lists(spark, d)[0]
+    """The ``TOP_WORDS`` most frequent words behind the built-in ones."""
+    return textcheck.corpus_vocabulary(textcheck.word_counts(_tokens(spark, d)), TOP_WORDS)
 
 
 def typo_hits(spark, d):
@@ -67,13 +74,13 @@ def edit_distances(spark, d):
 
 
 def closest_words(spark, d):
-    counts = textcheck.word_counts(_tokens(spark, d))
-    return textcheck.closest_words(counts, textcheck.corpus_vocabulary(counts, VOCABULARY))
+    counts = _counts(spark, d)
+    return textcheck.closest_words(counts, textcheck.corpus_lists(counts, VOCABULARY_ONE_IN, TYPO_ONE_IN)[0])
 
 
 def fuzzy_matches(spark, d):
-    counts = textcheck.word_counts(_tokens(spark, d))
-    return textcheck.fuzzy_matches(counts, textcheck.corpus_vocabulary(counts, VOCABULARY))
+    counts = _counts(spark, d)
+    return textcheck.fuzzy_matches(counts, textcheck.corpus_lists(counts, VOCABULARY_ONE_IN, TYPO_ONE_IN)[0])
 
 
 def word_verdicts(spark, d):
@@ -129,13 +136,16 @@ _GIB = f"""CASE WHEN regexp_matches(clean,'{_REPEAT}') THEN 'repeat'
  WHEN length(word)>=4 AND regexp_matches(word,'[a-z][A-Z][a-z]') THEN 'mixed_case' END"""
 _BUILTIN = S.values([(w, i) for i, w in enumerate(dims.VOCABULARY)], "word,ordinal")
 _TYPOS = S.values(list(dims.TYPOS.items()), "bad,good")
+_TOP = f"""SELECT word, CAST(ordinal AS INTEGER) AS ordinal FROM {_BUILTIN} UNION ALL SELECT clean, CAST(rank+118 AS INTEGER)
+  FROM rk WHERE rank<{TOP_WORDS} AND clean NOT IN (SELECT word FROM {_BUILTIN})"""
 _CTE = f"""WITH tok AS MATERIALIZED ({tokens_sql('documents', 'doc_id')}),
  cnt AS MATERIALIZED (SELECT clean, count(*) AS n FROM tok GROUP BY 1),
- rk AS MATERIALIZED (SELECT clean, row_number() OVER (ORDER BY n DESC, clean)-1 AS rank FROM cnt WHERE length(clean)>=4),
+ rk AS MATERIALIZED (SELECT clean, n, row_number() OVER (ORDER BY n DESC, clean)-1 AS rank, sum(n) OVER () AS total FROM cnt WHERE length(clean)>=4),
+ kn AS MATERIALIZED (SELECT count(*) AS known FROM rk WHERE n*{VOCABULARY_ONE_IN}>=total),
  voc AS MATERIALIZED (SELECT word, CAST(ordinal AS INTEGER) AS ordinal FROM {_BUILTIN} UNION ALL SELECT clean, CAST(rank+118 AS INTEGER)
-  FROM rk WHERE rank<500 AND clean NOT IN (SELECT word FROM {_BUILTIN})),
- typ AS MATERIALIZED (SELECT bad, good FROM {_TYPOS} UNION ALL SELECT a.clean, b.clean FROM rk a JOIN rk b ON b.rank=a.rank-500
-  WHERE a.rank>=500 AND a.rank<700 AND a.clean NOT IN (SELECT bad FROM {_TYPOS})),
+  FROM rk WHERE n*{VOCABULARY_ONE_IN}>=total AND clean NOT IN (SELECT word FROM {_BUILTIN})),
+ typ AS MATERIALIZED (SELECT bad, good FROM {_TYPOS} UNION ALL SELECT a.clean, b.clean FROM rk a, kn, rk b WHERE b.rank=a.rank-known
+  AND a.rank>=known AND a.n*{TYPO_ONE_IN}>=a.total AND a.clean NOT IN (SELECT bad FROM {_TYPOS})),
  near AS MATERIALIZED (SELECT clean, arg_min(word, dist*100000+ordinal) AS closest, CAST(min(dist) AS INTEGER) AS distance FROM (
   SELECT c.clean, v.word, v.ordinal, levenshtein(c.clean,v.word) AS dist FROM words c JOIN voc v
   ON length(c.clean) BETWEEN length(v.word)-2 AND length(v.word)+2) WHERE dist<=2 GROUP BY 1)"""
@@ -182,7 +192,7 @@ ENTRIES = {
     "token_statistics": (token_statistics, f"""SELECT doc_id, count(*) AS words, CAST(sum(length(clean)) AS BIGINT) AS clean_chars,
  CAST(sum(pos) AS BIGINT) AS pos_sum FROM ({tokens_sql('documents', 'doc_id')}) GROUP BY 1"""),
     "word_frequencies": (word_frequencies, f"SELECT clean, count(*) AS n FROM ({tokens_sql('documents', 'doc_id')}) GROUP BY 1"),
-    "corpus_vocabulary": (corpus_vocabulary, cte() + " SELECT word, ordinal FROM voc"),
+    "corpus_vocabulary": (corpus_vocabulary, cte() + " " + _TOP),
     "typo_hits": (typo_hits, cte() + f" SELECT doc_id, pos, word, clean, {_case('good')} AS fix FROM tok JOIN typ ON bad=clean"),
     "gibberish_words": (gibberish_words, f"""SELECT doc_id, reason, count(*) AS words FROM (SELECT doc_id, {_GIB} AS reason
  FROM ({tokens_sql('documents', 'doc_id')})) WHERE reason IS NOT NULL GROUP BY 1,2"""),

@@ -2,8 +2,8 @@
 
 Texts become one row per word; every rule that depends only on the cleaned word
 is evaluated once per distinct word. Vocabulary and misspelling lists may have
-any size: the joins carry no hints, so the planner broadcasts what is small and
-splits frequent words where it is not.
+any size: the planner broadcasts what is small and splits frequent words where it
+is not; keys for fuzzy matching are broadcast after a count.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import task_parallelism
+from ..session import stage, task_parallelism
 from ..sources import dims
 from .fence import fenced
 
+BROADCAST_KEYS = 1_000_000
+
+
 def tokenize(texts: DataFrame, id_cols: list[str], text: str = "text") -> DataFrame:
     """``(ids, pos, word, clean)`` for every word whose cleaned form has two characters or more."""
     words = texts.select(*id_cols, F.posexplode(tx.tokens(F.col(text))).alias("pos", "word"))
@@ -47,15 +50,33 @@ def corpus_vocabulary(counts: DataFrame, limit: int) -> DataFrame:
     return builtin.unionByName(top.select(F.col("clean").alias("word"), (F.col("rank") + base).alias("ordinal")))
 
 
-def corpus_typos(counts: DataFrame, limit: int, extra: int) -> DataFrame:
-    """Misspelling list: the built-in pairs plus the words ranked just behind the
-    vocabulary, each mapped to the vocabulary word as many places ahead."""
-    ranked = ranked_words(counts, limit + extra)
-    bad = ranked.filter(F.col("rank") >= limit).select(
-        F.col("clean").alias("bad"), (F.col("rank") - limit).alias("_to"))
+def frequent_words(counts: DataFrame, one_in: int) -> DataFrame:
+    """``clean, n, rank`` of the words of four characters or more that make up at least ``1 / one_in`` of all such words.
+
+    There are at most ``one_in`` of them, whatever the corpus, so ranking them in one task is bounded.
+    """
+    long = counts.filter(F.length("clean") >= 4)
+    total = long.agg(F.sum("n")).first()[0] or 0
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("clean")))
+    return long.filter(F.col("n") * one_in >= total).select("clean", "n", (rank - 1).alias("rank"))
+
+
+def corpus_lists(counts: DataFrame, vocabulary_one_in: int, typo_one_in: int) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary and misspellings of a corpus by relative frequency, built-in entries first.
+
+    Words that make up ``1 / vocabulary_one_in`` of the corpus are vocabulary. Those below that but above
+    ``1 / typo_one_in`` count as misspellings, each of the word as many ranks ahead as there are vocabulary words. The
+    counts are read several times: hand them over staged.
+    """
+    ranked = stage(frequent_words(counts, typo_one_in), "ranked")
+    known = frequent_words(counts, vocabulary_one_in).count()
+    base = len(dims.VOCABULARY)
+    top = ranked.filter((F.col("rank") < known) & ~F.col("clean").isin(dims.VOCABULARY))
+    vocab = dims.table(counts.sparkSession, "vocab").unionByName(top.select(F.col("clean").alias("word"), (F.col("rank") + base).alias("ordinal")))
+    bad = ranked.filter(F.col("rank") >= known).select(F.col("clean").alias("bad"), (F.col("rank") - known).alias("_to"))
     good = ranked.select(F.col("clean").alias("good"), F.col("rank").alias("_to"))
     pairs = bad.filter(~F.col("bad").isin(list(dims.TYPOS))).join(good, "_to").select("bad", "good")
-    return dims.table(counts.sparkSession, "typos").unionByName(pairs)
+    return stage(vocab, "vocabulary"), stage(dims.table(counts.sparkSession, "typos").unionByName(pairs), "typos")
 
 
 def deletion_keys(words: DataFrame, word: str) -> DataFrame:
@@ -77,9 +98,10 @@ def closest_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(clean, closest, distance)`` for words within two edits of the vocabulary.
 
     Two words at edit distance d share a string reachable from both by at most d
-    deletions, so candidates come from an equi-join on deletion keys. The
-    vocabulary's keys are bounded and broadcast; words whose length rules out a
-    match never get expanded. Ties go to the earlier vocabulary word.
+    deletions, so candidates come from an equi-join on deletion keys. Up to
+    ``BROADCAST_KEYS`` keys of the vocabulary are broadcast, which is counted
+    first; more are joined by shuffling. Words whose length rules out a match
+    never get expanded. Ties go to the earlier vocabulary word.
     """
     lengths = (vocab.select(F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)).alias("_len"))
                .distinct())
@@ -89,6 +111,9 @@ def closest_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
     near = near.select("clean").repartition(task_parallelism(words.sparkSession), "clean")
     probe = deletion_keys(near, "clean")
     index = deletion_keys(vocab.select("word", "ordinal"), "word").distinct()
+    size = vocab.agg(F.sum((F.length("word") + 1) * (F.length("word") + 2) / 2)).first()[0] or 0
+    if size <= BROADCAST_KEYS:
+        index = F.broadcast(index)
     pairs = probe.join(index, "_key").select(
         "clean", "word", "ordinal", F.levenshtein(F.col("clean"), F.col("word"), 2).alias("distance"))
     best = F.min(F.when(F.col("distance") >= 0, F.struct("distance", "ordinal", "word"))).alias("_best")
@@ -98,10 +123,10 @@ def closest_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fuzzy_matches(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Words outside the vocabulary that are one edit (two from seven characters on) from it."""
-    hits = closest_words(words.filter(F.length("clean") >= 4), vocab)
     known = vocab.select(F.col("word").alias("clean"))
+    hits = closest_words(words.filter(F.length("clean") >= 4).join(known, "clean", "left_anti"), vocab)
     allowed = F.when(F.length("clean") >= 7, 2).otherwise(1)
-    return hits.join(known, "clean", "left_anti").filter(F.col("distance") <= allowed)
+    return hits.filter(F.col("distance") <= allowed)
 
 
 def _ids(tokens: DataFrame) -> list[str]:

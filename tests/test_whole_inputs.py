@@ -13,7 +13,7 @@ from proofline.functions import text as tx
 from proofline.operators import admission, bands, commerce, measure, score, separable, sizing, stencil, textcheck
 from proofline.operators.lookup import with_preset
 from proofline.plans import optimise, readiness
-from proofline.sources import derive
+from proofline.sources import derive, dims
 
 
 def striped(spark, w, h):
@@ -128,7 +128,7 @@ def test_unicode_blanks_and_layout(spark):
     assert words == ["hello", "coffee", "cofee", "next", "line"]
     assert rows.select(tx.with_word(F.col("text"), F.lit(2), F.lit("COFFEE"))).first()[0] == "hello　coffee COFFEE\n\n  next\tline"
     counts = textcheck.word_counts(textcheck.tokenize(rows, ["doc_id"]))
-    vocab, typos = textcheck.corpus_vocabulary(counts, 0), textcheck.corpus_typos(counts, 0, 0)
+    vocab, typos = dims.table(spark, "vocab"), dims.table(spark, "typos")
     issues = textcheck.first_issue(textcheck.judge_words(textcheck.tokenize(rows, ["doc_id"]), vocab, typos), ["doc_id"])
     out = textcheck.suggest_text(rows, issues, ["doc_id"]).first()
     assert out.word == "cofee" and out.suggestion == "hello　coffee coffee\n\n  next\tline"
@@ -189,3 +189,24 @@ def test_optimised_images_are_measured_again(spark, sf, tmp_path):
                 size = int(size * step + 0.5)
             assert sizes[i][k] == size
     assert any(r.applied_scale > 1 and r.post_dpi > r.pre_dpi for r in got.values())
+
+
+def test_word_lists_grow_with_the_corpus(spark):
+    """A word's share decides, not its rank: a thousand frequent words are all vocabulary."""
+    rows = [(f"word{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{i // 676}", 50) for i in range(1000)] + [("wordx", 12), ("wordy", 9), ("abc", 10**6)]
+    counts = spark.createDataFrame(rows, "clean string, n bigint")
+    vocab, typos = textcheck.corpus_lists(counts, 4000, 5000)
+    words = {r.word for r in vocab.collect()}
+    assert {w for w, n in rows if n == 50} <= words and "wordx" not in words and "abc" not in words
+    assert {r.bad for r in typos.collect()} - set(dims.TYPOS) == {"wordx"}  # 12 of 50,021 is one in 4168; 9 is one in 5558
+    assert typos.filter("bad = 'wordx'").first().good == "wordaa0"
+
+
+@pytest.mark.parametrize("keys", [0, 10**6])
+def test_closest_words_with_and_without_broadcast(spark, monkeypatch, keys):
+    monkeypatch.setattr(textcheck, "BROADCAST_KEYS", keys)
+    vocab = spark.createDataFrame([("coffee", 0), ("office", 1), ("edition", 2)], "word string, ordinal int")
+    words = spark.createDataFrame([("cofee",), ("offce",), ("edition",), ("coffeeee",), ("tea",)], "clean string")
+    got = {r.clean: (r.closest, r.distance) for r in textcheck.closest_words(words, vocab).collect()}
+    assert got == {"cofee": ("coffee", 1), "offce": ("office", 1), "edition": ("edition", 0), "coffeeee": ("coffee", 2)}
+    assert {r.clean for r in textcheck.fuzzy_matches(words, vocab).collect()} == {"cofee", "offce", "coffeeee"}

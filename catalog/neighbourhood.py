@@ -228,25 +228,50 @@ def _kernel(d: str) -> str:
     return f"CAST(CAST({k} AS FLOAT) AS DOUBLE)"
 
 
-def _resample_sql(scale: int = 2) -> str:
-    """Two separable passes as joins with tap tables built per image side."""
-    taps = f"""SELECT side, o, t, {_kernel(f'((o+0.5)/{scale}.0-0.5-t)')} AS wt FROM (SELECT side, o, unnest(range(
- greatest(0,CAST(floor((o+0.5)/{scale}.0-0.5-3) AS BIGINT)), least(side-1,CAST(ceil((o+0.5)/{scale}.0-0.5+3) AS BIGINT))+1)) AS t
- FROM (SELECT side, unnest(range(side*{scale})) AS o FROM (SELECT DISTINCT w AS side FROM px UNION SELECT DISTINCT h FROM px)))"""
+def _resample_ctes(src: str, scale: float, out: str) -> str:
+    """``out``, the relation ``src`` of pixels enlarged once: two separable passes as joins with tap tables by image side."""
+    from .pixels import _code, _lin
+
+    sc, size = f"CAST({scale!r} AS DOUBLE)", f"CAST(floor(side*{scale!r}+0.5) AS BIGINT)"
+    taps = f"""SELECT side, o, t, {_kernel(f'((o+0.5)/{sc}-0.5-t)')} AS wt FROM (SELECT side, o, unnest(range(
+ greatest(0,CAST(floor((o+0.5)/{sc}-0.5-3) AS BIGINT)), least(side-1,CAST(ceil((o+0.5)/{sc}-0.5+3) AS BIGINT))+1)) AS t
+ FROM (SELECT side, unnest(range({size})) AS o FROM (SELECT DISTINCT w AS side FROM {src} UNION SELECT DISTINCT h FROM {src})))"""
 
     def blend(v: str) -> str:
         return f"least(max({v}),greatest(min({v}),sum({v}*wt)/sum(wt)))"
 
-    from .pixels import _code, _lin
-    src = f"SELECT image_id,w,h,x,y,{_lin('r')} AS lr,{_lin('g')} AS lg,{_lin('b')} AS lb,a/255.0 AS la FROM px"
+    lin = f"SELECT image_id,w,h,x,y,{_lin('r')} AS lr,{_lin('g')} AS lg,{_lin('b')} AS lb,a/255.0 AS la FROM {src}"
     f32 = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
-    row = (f"SELECT image_id,h,y,o AS x," + ",".join(f"{f32.format(blend(c))} AS {c}" for c in ("lr", "lg", "lb"))
-           + f",{f32.format('sum(la*wt)/sum(wt)')} AS la FROM ({src}) s JOIN tp ON tp.side=s.w AND tp.t=s.x AND wt<>0 GROUP BY 1,2,3,4")
-    col = ("SELECT image_id,x,o AS y," + ",".join(f"{blend(c)} AS {c}" for c in ("lr", "lg", "lb"))
-           + f",sum(la*wt)/sum(wt) AS la FROM ({row}) s JOIN tp ON tp.side=s.h AND tp.t=s.y AND wt<>0 GROUP BY 1,2,3")
-    out = (f"SELECT image_id,x,y,{_code('lr')} AS r,{_code('lg')} AS g,{_code('lb')} AS b,"
-           f"CAST(least(255,greatest(0,floor(la*255+0.5))) AS INTEGER) AS a FROM ({col})")
-    return (f"WITH px AS ({S.PIXELS}), tp AS ({taps}) SELECT image_id, count(*) AS n, {checksum_sql()} FROM ({out}) GROUP BY 1")
+    row = ("SELECT image_id,w,h,y,o AS x," + ",".join(f"{f32.format(blend(c))} AS {c}" for c in ("lr", "lg", "lb"))
+           + f",{f32.format('sum(la*wt)/sum(wt)')} AS la FROM ({lin}) s JOIN tp_{out} tp ON tp.side=s.w AND tp.t=s.x AND wt<>0 GROUP BY 1,2,3,4,5")
+    col = ("SELECT image_id,w,h,x,o AS y," + ",".join(f"{blend(c)} AS {c}" for c in ("lr", "lg", "lb"))
+           + f",sum(la*wt)/sum(wt) AS la FROM ({row}) s JOIN tp_{out} tp ON tp.side=s.h AND tp.t=s.y AND wt<>0 GROUP BY 1,2,3,4,5")
+    grown = "CAST(floor({}*" + repr(scale) + "+0.5) AS INTEGER)"
+    return (f"tp_{out} AS ({taps}), {out} AS MATERIALIZED (SELECT image_id,{grown.format('w')} AS w,{grown.format('h')} AS h,CAST(x AS INTEGER) AS x,CAST(y AS INTEGER) AS y,"
+            f"{_code('lr')} AS r,{_code('lg')} AS g,{_code('lb')} AS b,CAST(least(255,greatest(0,floor(la*255+0.5))) AS INTEGER) AS a FROM ({col}))")
+
+
+def _resample_sql() -> str:
+    return (f"WITH px AS ({S.PIXELS}), {_resample_ctes('px', 2.0, 'two')}"
+            f" SELECT image_id, count(*) AS n, {checksum_sql()} FROM two GROUP BY 1")
+
+
+def _digest_sql(src: str) -> str:
+    return f"SELECT image_id,w,h,count(*) AS n,{checksum_sql()} FROM {src} GROUP BY 1,2,3"
+
+
+def _threefold_sql() -> str:
+    """Factor 3 is a doubling and a pass by 1.5."""
+    return f"WITH px AS ({S.PIXELS}), {_resample_ctes('px', 2.0, 'two')}, {_resample_ctes('two', 1.5, 'three')} {_digest_sql('three')}"
+
+
+def _optimised_sql() -> str:
+    """Narrow images enlarged, all sharpened, ink limited."""
+    from .pixels import clamp_sql
+
+    return (f"WITH RECURSIVE px AS MATERIALIZED ({S.PIXELS}), nar AS (SELECT * FROM px WHERE w<30), {_resample_ctes('nar', 2.0, 'two')},"
+            f" {_resample_ctes('two', 1.5, 'three')}, sized AS MATERIALIZED (SELECT * FROM three UNION ALL SELECT * FROM px WHERE w>=30),"
+            f" {_sharpen_ctes('sized')}, lim AS ({clamp_sql('SELECT * FROM sharp')}) {_digest_sql('lim')}")
 
 
 def _blur_kernels(lengths: str, sigmas: dict[str, float]) -> str:
@@ -287,12 +312,12 @@ def _sharpen_ctes(src: str) -> str:
  dg AS (SELECT *, d*1.5*(0.8+0.4*least(1.2,abs(d)/15.0))*CASE WHEN v<0.0003 THEN 0.05 WHEN v<0.004 THEN 0.05+0.95*pow((v-0.0003)/(0.004-0.0003),2) ELSE 1.0 END AS g0 FROM de),
  dh AS (SELECT *, CASE WHEN abs(d)<3.0 THEN 0.0 WHEN abs(g0)<=15 THEN g0
   ELSE sign(g0)*least(15+7.5*(1-1/(1+(abs(g0)-15)/15.0)),22.5) END AS g1 FROM dg),
- sharp AS (SELECT image_id,w,h,x,y,{','.join(f"CAST(least(255,greatest(0,floor({c}+g1+0.5))) AS INTEGER) AS {c}" for c in "rgb")},a FROM dh)"""
+ sharp AS MATERIALIZED (SELECT image_id,w,h,x,y,{','.join(f"CAST(least(255,greatest(0,floor({c}+g1+0.5))) AS INTEGER) AS {c}" for c in "rgb")},a FROM dh)"""
 
 
 def _sharpening_sql() -> str:
     return (f"WITH RECURSIVE px AS MATERIALIZED ({S.PIXELS}), {_sharpen_ctes('px')}"
-            f" SELECT image_id,w,h,count(*) AS n,{checksum_sql()} FROM sharp GROUP BY 1,2,3")
+            f" {_digest_sql('sharp')}")
 
 
 def _sobel_sql() -> str:
@@ -306,6 +331,8 @@ def _named_sql() -> str:
     return f"SELECT image_id, max_tac, avg_tac, exceeded_count FROM ({ink_sql(clamp_sql(S.PIXELS))})"
 
 
+OPTIMISED_SQL = S.dbl(_optimised_sql())
+
 ENTRIES = {
     "edge_scores": (edge_scores, S.dbl(
         _WITH + f"SELECT image_id, edge_points, {S.r6('edge_score')} AS edge_score FROM ({edge_sql(_P)})")),
@@ -328,10 +355,10 @@ ENTRIES = {
         src=f"SELECT mk.image_id, mk.w, mk.h, mk.x, mk.y, d.x IS NOT NULL AS m FROM mk LEFT JOIN ({_dilated(3)}) d USING (image_id,x,y)")),
     "bleed_padding": (bleed_padding, S.dbl(_bleed_sql())),
     "local_variance": (local_variance, S.dbl(_WITH + _variance_sql())),
-    "resample_2x": (resample_2x, S.dbl(_resample_sql(2))),
-    "resample_3x": (resample_3x, None),
+    "resample_2x": (resample_2x, S.dbl(_resample_sql())),
+    "resample_3x": (resample_3x, S.dbl(_threefold_sql())),
     "sharpening": (sharpening, S.dbl(_sharpening_sql())),
-    "optimise_chain": (optimise_chain, None),
+    "optimise_chain": (optimise_chain, None),  # OPTIMISED_SQL takes minutes at sf0.01; tests run it on the small table
     "optimised_report": (optimised_report, None),
     "named_steps": (named_steps, S.dbl(_named_sql())),
 }

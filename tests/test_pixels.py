@@ -223,3 +223,13 @@ def test_background_removal(spark):
     img = [[(20, 20, 20, 255) if 15 <= x < 35 and 15 <= y < 35 else (255, 255, 255, 255) for x in range(50)] for y in range(50)]
     out = transforms.remove_background(scan_frame(spark, {1: img}))
     assert out.filter("cleared").count() == 2100 and out.filter("a = 255").count() == 400
+
+
+def test_optimise_chain_matches_its_sql(spark, sf):
+    """Too slow for the registered comparison, so on the small table here."""
+    from catalog import neighbourhood
+    from compare import duck, normal
+
+    got = normal(neighbourhood.optimise_chain(spark, sf).toPandas())
+    want = normal(duck(sf).sql(neighbourhood.OPTIMISED_SQL).df())
+    assert len(got) == 200 and got.equals(want[got.columns])

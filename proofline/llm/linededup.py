@@ -1,24 +1,22 @@
 """Line deduplication with a log-template tree.
 
-A line's digits are first generalised (every run becomes ``0``). The tree has a fixed depth: number of tokens, then the
-``depth`` leading tokens. In a leaf that many documents reach, every position keeps its majority token and the others
-become a variable field; lines that agree with this template in at least ``agreement`` of their tokens belong to it, all
-other lines are templates of their own. A template recurs if it stands in many different surroundings: documents (each
-counted once per template) are grouped by the hash of the line before and after, and ``min_contexts`` different
-surroundings, and at least ``context_share`` of its documents, are asked for. Copies of one document repeat the
-surroundings too, so they do not make their lines boilerplate. Recurring templates are dropped from every document but
-the one with the smallest id.
+Digits of a line are generalised first (every run becomes ``0``; a line of at most ``depth`` tokens stays as it is). The
+tree has a fixed depth: number of tokens, then the ``depth`` leading tokens. In a leaf that many documents reach, a token
+that ``min_variants`` documents have at its position is fixed, every other token is a variable field. Lines with the same
+fixed tokens are one template, so a leaf holds as many templates as its lines call for, and more data does not blur
+them. A line with too few fixed tokens is a template of its own.
 
-:func:`dedup_repeated` goes by the number of distinct documents alone and keeps nothing because of its surroundings.
+The number of documents decides, wherever in a document a line stands. Documents with the same set of lines are copies
+and count once. A line that stands word for word in ``min_documents`` documents, or whose template stands in
+``min_variants``, is dropped from all of them but the one with the smallest id. Lines of at most ``depth`` tokens, such as
+headings, take ``min_variants`` documents; lines without a letter or digit, such as brackets and rules, are left alone.
 
 DataFrame functions only. Rows between the stages are hashes; the text is shuffled once, by document id, to meet its
-drop list. Hot templates are pre-aggregated by (template, surroundings) first.
+drop list. Hot templates are pre-aggregated by (template, copies) first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,148 +34,109 @@ def _masked(text: Column) -> Column:
     return F.regexp_replace(text, "[0-9]+", "0")
 
 
-def _around(before: Column, after: Column) -> Column:
-    """60 bits of an MD5, so that the SQL twin picks the same surroundings."""
-    return F.conv(F.substring(F.md5(F.concat(before, F.lit("\n"), after)), 1, 15), 16, 10).cast("bigint")
-
-
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, line (digits generalised), before, after for every line with at least one token."""
-    # fenced: the array is used three times and every line several times, and neither is to be made again
-    arrays = fenced(docs.select(F.col(doc_id).alias("id"), F.split(_masked(F.col(text)), "\n").alias("lines")), ["lines"])
-    none = F.array(F.lit(""))
-    zipped = F.arrays_zip(F.col("lines").alias("line"),
-                          F.concat(none, F.col("lines")).alias("before"),
-                          F.concat(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), none).alias("after"))
-    rows = arrays.filter("lines IS NOT NULL").select("id", F.explode(zipped).alias("r"))
-    rows = rows.select("id", F.col("r.line").alias("raw"), _around(F.col("r.before"), F.col("r.after")).alias("around"))
-    rows = fenced(rows.withColumn("line", _line(F.col("raw"))), ["line"])
-    return rows.filter(F.col("raw").isNotNull() & (F.col("line") != ""))
-
+def _blanks() -> Column:
+    return F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
 
-def _with_leaf(lines: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    blanks = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    return lines.filter(blanks >= min_tokens - 1).withColumns({
-        "leaf": F.xxhash64(blanks, F.substring_index("line", " ", depth)), "h": F.xxhash64("line")})
 
-
-def _members(seen: DataFrame, lines: DataFrame, leaves: DataFrame, agreement: float) -> DataFrame:
-    """h, member_of (the leaf) of the lines that agree with their leaf's template."""
+def _members(seen: DataFrame, lines: DataFrame, leaves: DataFrame, min_variants: int, agreement: float) -> DataFrame:
+    """h, member_of (a template) of the lines of busy leaves that have enough fixed tokens."""
     # the distinct lines of busy leaves, with the number of documents
-    busy = seen.join(leaves, "leaf").groupBy("leaf", "h").agg(F.count("*").alias("n"))
-    wording = (lines.select("leaf", "h", "line").join(leaves, "leaf").groupBy("leaf", "h").agg(F.max("line").alias("line"))
-               .select("leaf", "h", F.split("line", " ").alias("tokens")))
+    busy = seen.join(leaves, "leaf").select("leaf", "h", "copies").distinct().groupBy("leaf", "h").agg(F.count("*").alias("n"))
+    wording = lines.select("leaf", "h", "line").join(leaves, "leaf").groupBy("leaf", "h").agg(F.max("line").alias("line"))
     distinct = staged(busy.join(wording, ["leaf", "h"]), "wording")
-    votes = distinct.select("leaf", "n", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").agg(F.sum("n").alias("n"))
-    winners = votes.groupBy("leaf", "i").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    fields = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token")).otherwise(F.lit(""))
-    template = winners.select("leaf", F.struct("i", fields.alias("token")).alias("f")).groupBy("leaf").agg(
-        F.sort_array(F.collect_list("f")).alias("f")).select("leaf", F.col("f.token").alias("template"))
-    same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    members = distinct.join(staged(template, "templates"), "leaf").filter(same >= F.ceil(F.lit(agreement) * F.size("tokens")))
-    return staged(members.select("h", F.col("leaf").alias("member_of")), "members")
-
-
-def templates(docs: DataFrame, depth: int = 2, min_contexts: int = 10, context_share: float = 0.25, agreement: float = 0.7,
-              min_tokens: int = 3, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two staged tables: ``seen`` (id, h, t, around), one row per document and line, and ``recurring`` (t, keeper)."""
-    lines = _with_leaf(_lines(docs, doc_id, text), depth, min_tokens)
-    seen = staged(lines.groupBy("h", "leaf", "id").agg(F.min("around").alias("around")), "lines")
-    leaves = seen.groupBy("leaf", "around").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.count("*").alias("contexts"))
-    leaves = staged(leaves.filter(F.col("contexts") >= min_contexts).select("leaf"), "leaves")
-    members = _members(seen, lines, leaves, agreement)
-    seen = seen.join(members, "h", "left").select("id", "h", F.coalesce("member_of", "h").alias("t"), "around")
-    once = seen.groupBy("t", "id").agg(F.min("around").alias("around"))
-    by_around = once.groupBy("t", "around").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
-    recurring = by_around.groupBy("t").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"), F.min("keeper").alias("keeper"))
-    recurring = recurring.filter((F.col("contexts") >= min_contexts) & (F.col("contexts") >= context_share * F.col("n")))
-    return seen, staged(recurring.select("t", "keeper"), "recurring")
-
-
-def _counted(seen: DataFrame, key: str, least: int) -> DataFrame:
+    tokens = distinct.select("leaf", "h", "n", F.posexplode(F.split("line", " ")).alias("i", "token"))
+    fixed = tokens.groupBy("leaf", "i", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_variants).select("leaf", "i", "token")
+    kept = tokens.select("leaf", "h", "i", "token").join(staged(fixed, "fixed"), ["leaf", "i", "token"])
+    form = kept.groupBy("leaf", "h").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("form"))
+    lengths = distinct.select("leaf", "h", (_blanks() + 1).alias("size"))
+    form = form.join(lengths, ["leaf", "h"]).filter(F.size("form") >= F.ceil(F.lit(agreement) * F.col("size")))
+    return staged(form.select("h", F.xxhash64("leaf", "form").alias("member_of")), "members")
+
+
+def _counted(seen: DataFrame, key: str, least: Column) -> DataFrame:
     """key, keeper of what stands in at least ``least`` documents; a group of copies is one document."""
-    groups = seen.groupBy(key, "copies").agg(F.min("id").alias("keeper"))
-    return groups.groupBy(key).agg(F.count("*").alias("n"), F.min("keeper").alias("keeper")).filter(F.col("n") >= least).select(key, "keeper")
+    groups = seen.groupBy(key, "copies").agg(F.min("id").alias("keeper"), F.max("short").alias("short"))
+    counts = groups.groupBy(key).agg(F.count("*").alias("n"), F.min("keeper").alias("keeper"), F.max("short").alias("short"))
+    return counts.filter(F.col("n") >= least).select(key, "keeper")
 
 
 def repeated(docs: DataFrame, depth: int = 2, min_documents: int = 2, min_variants: int = 10, agreement: float = 0.7,
              doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, h of the lines to drop: the number of documents decides alone, wherever in a document a line stands.
-
-    Documents with the same set of lines (digits generalised) are copies and count once. A line recurs if it stands
-    word for word in ``min_documents`` documents, however many tokens it has. A template, with digits and other fields
-    that vary, takes ``min_variants`` documents; a line of at most ``depth`` tokens is its own template, digits and all.
-    """
+    """id, h of the lines to drop."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.explode(F.split(text, "\n")).alias("raw"))
-    rows = fenced(rows.withColumn("exact", _line(F.col("raw"))), ["exact"]).filter("exact != ''")
+    rows = fenced(rows.withColumn("exact", _line(F.col("raw"))), ["exact"]).filter(F.col("exact").rlike("[\\p{L}\\p{N}]"))
     short = F.length("exact") - F.length(F.replace("exact", F.lit(" "), F.lit(""))) < depth
-    rows = rows.select("id", F.xxhash64("exact").alias("e"), F.when(short, F.col("exact")).otherwise(_masked(F.col("exact"))).alias("line"))
-    lines = _with_leaf(fenced(rows, ["line"]), depth, 1)
-    sets = lines.groupBy("id").agg(F.collect_set(F.struct("e", "h", "leaf")).alias("lines"))
+    rows = rows.select("id", F.xxhash64("exact").alias("e"), short.alias("short"), F.when(short, F.col("exact")).otherwise(_masked(F.col("exact"))).alias("line"))
+    lines = fenced(rows, ["line"]).withColumns({"leaf": F.xxhash64(_blanks(), F.substring_index("line", " ", depth)), "h": F.xxhash64("line")})
+    sets = lines.groupBy("id").agg(F.collect_set(F.struct("e", "h", "leaf", "short")).alias("lines"))
     sets = sets.select("id", F.xxhash64(F.array_sort(F.array_distinct("lines.h"))).alias("copies"), F.explode("lines").alias("l"))
     seen = staged(sets.select("id", "copies", "l.*"), "lines")
     leaves = seen.select("leaf", "copies").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = staged(leaves.filter(F.col("n") >= min_variants).select("leaf"), "leaves")
-    members = _members(seen, lines, leaves, agreement)
+    members = _members(seen, lines, leaves, min_variants, agreement)
     varied = seen.join(members, "h", "left").withColumn("t", F.coalesce("member_of", "h"))
-    same = seen.join(staged(_counted(seen, "e", min_documents), "same"), "e").select("id", "e", "keeper")
-    alike = varied.join(staged(_counted(varied, "t", min_variants), "alike"), "t").select("id", "e", "keeper")
+    exact = _counted(seen, "e", F.when(F.col("short"), min_variants).otherwise(min_documents))
+    same = seen.join(staged(exact, "same"), "e").select("id", "e", "keeper")
+    alike = varied.join(staged(_counted(varied, "t", F.lit(min_variants)), "alike"), "t").select("id", "e", "keeper")
     return same.unionByName(alike).filter(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", F.col("e").alias("h"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
+    """``docs`` with recurring lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``; options as in :func:`repeated`.
 
     Rows are kept, whatever is left of them: a document of recurring lines alone ends with an empty text. A null text
-    stays null with zero lines. Rows with one id share their decisions; a null id is kept apart and never the keeper as
-    long as another document has the line. Lines of fewer than ``min_tokens`` tokens are never templates. Other columns
-    pass through; existing columns ``n_lines`` and ``n_dropped`` are replaced.
+    stays null with zero lines. Rows with one id share their decisions and are one document; rows with a null id are
+    one document too, never the keeper as long as another document has the line. Other columns pass through; existing
+    columns ``n_lines`` and ``n_dropped`` are replaced.
     """
-    seen, recurring = templates(docs, doc_id=doc_id, text=text, **options)
-    return _without(docs, seen.join(recurring, "t").filter(~F.col("id").eqNullSafe(F.col("keeper"))), doc_id, text)
-
+    return _without(docs, repeated(docs, doc_id=doc_id, text=text, **options), doc_id, text)
 
-def dedup_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """As :func:`dedup_lines`, with the lines of :func:`repeated`, so short, inner and rarely repeated lines too."""
-    return _without(docs, repeated(docs, doc_id=doc_id, text=text, **options), doc_id, text, lambda x: x)
 
-
-def _without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str, masked: Callable[[Column], Column] = _masked) -> DataFrame:
+def _without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str) -> DataFrame:
     drops = dropped.groupBy("id").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("id", "_id")
+    # a long drop list is cut by hash into about as many parts as each of them has entries, so that looking up all lines
+    # of a long document does not take the square of their number
+    parts = F.floor(F.sqrt(F.size("_drop"))).cast("int")
+    drops = drops.withColumn("_n", F.greatest(parts, F.lit(1)))
+    drops = fenced(drops.withColumn("_drops", F.transform(F.sequence(F.lit(0), F.col("_n") - 1),
+                                                          lambda b: F.filter("_drop", lambda h: F.pmod(h, F.col("_n")) == b))), ["_drops"])
     plain = docs.drop("n_lines", "n_dropped")
-    joined = plain.join(drops, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    joined = plain.join(drops.select("_id", "_n", "_drops"), F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("_drop", F.xxhash64(_line(masked(x)))))
+
+    def stays(line: Column) -> Column:
+        h = F.xxhash64(_line(line))
+        return ~F.array_contains(F.get("_drops", F.pmod(h, F.col("_n")).cast("int")), h)
+
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    out = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull() & F.col(text).isNotNull(), kept))
+    out = joined.withColumn("_kept", F.when(F.col("_drops").isNotNull() & F.col(text).isNotNull(), F.filter(lines, stays)))
     return out.select(*[F.coalesce(F.array_join("_kept", "\n"), F.col(c)).alias(c) if c == text else F.col(c) for c in plain.columns],
                       n_lines.cast("bigint").alias("n_lines"),
                       F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("bigint").alias("n_dropped"))
 
 
-def oracle(min_contexts: int = 10, context_share: float = 0.25, agreement: float = 0.7, min_tokens: int = 3, depth: int = 2) -> str:
+def oracle(depth: int = 2, min_documents: int = 2, min_variants: int = 10, agreement: float = 0.7) -> str:
     """DuckDB SQL for ``doc_id, n_lines, n_dropped, text``."""
     lead = " || ' ' || ".join(f"tokens[{i + 1}]" for i in range(depth))
-    return f"""WITH split AS (SELECT doc_id, text, string_split(regexp_replace(text, '[0-9]+', '0', 'g'), chr(10)) AS ls,
-  string_split(text, chr(10)) AS raws FROM documents),
- flat AS (SELECT doc_id, i, trim(translate(ls[i], chr(9) || chr(13), '  '), ' ') AS line, coalesce(ls[i - 1], '') AS b, coalesce(ls[i + 1], '') AS a
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
- toks AS (SELECT *, string_split(line, ' ') AS tokens FROM flat WHERE line <> ''),
- leafed AS MATERIALIZED (SELECT *, len(tokens) || ' ' || {lead} AS leaf FROM toks WHERE len(tokens) >= {min_tokens}),
- seen0 AS MATERIALIZED (SELECT line, leaf, doc_id, min(CAST('0x' || substr(md5(b || chr(10) || a), 1, 15) AS BIGINT)) AS around FROM leafed GROUP BY ALL),
- busy AS (SELECT leaf FROM seen0 GROUP BY 1 HAVING count(DISTINCT around) >= {min_contexts}),
- wording AS MATERIALIZED (SELECT leaf, line, count(*) AS n, string_split(line, ' ') AS tokens FROM seen0 JOIN busy USING (leaf) GROUP BY leaf, line),
- votes AS (SELECT leaf, i, tokens[i] AS token, sum(n) AS n FROM (SELECT leaf, n, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM wording) GROUP BY 1, 2, 3),
- win AS (SELECT leaf, i, max({{'n': n, 'token': token}}) AS top, sum(n) AS total FROM votes GROUP BY 1, 2),
- tpl AS (SELECT leaf, list(CASE WHEN top.n * 2 > total THEN top.token ELSE '' END ORDER BY i) AS template FROM win GROUP BY 1),
- mem AS (SELECT line, w.leaf FROM wording w JOIN tpl USING (leaf)
-  WHERE len(list_filter(range(1, len(tokens) + 1), lambda k: tokens[k] = template[k])) >= ceil({agreement} * len(tokens))),
- seen AS MATERIALIZED (SELECT doc_id, line, coalesce('leaf ' || m.leaf, 'line ' || line) AS t, around FROM seen0 LEFT JOIN mem m USING (line)),
- once AS (SELECT t, doc_id, min(around) AS around FROM seen GROUP BY 1, 2),
- rec AS (SELECT t, min(doc_id) AS keeper FROM once GROUP BY 1 HAVING count(DISTINCT around) >= {min_contexts}
-  AND count(DISTINCT around) >= {context_share} * count(*)),
- drops AS (SELECT doc_id, list(DISTINCT line) AS d FROM seen JOIN rec USING (t) WHERE doc_id <> keeper GROUP BY 1),
- kept AS (SELECT s.doc_id, s.text, s.raws, CASE WHEN d IS NOT NULL THEN list_filter(range(1, len(ls) + 1),
-  lambda k: NOT list_contains(d, trim(translate(ls[k], chr(9) || chr(13), '  '), ' '))) END AS ks FROM split s LEFT JOIN drops USING (doc_id))
+    return f"""WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS raws FROM documents),
+ flat AS (SELECT doc_id, trim(translate(unnest(raws), chr(9) || chr(13), '  '), ' ') AS exact FROM split),
+ cut AS (SELECT *, len(string_split(exact, ' ')) <= {depth} AS short FROM flat WHERE regexp_matches(exact, '[\p{{L}}\p{{N}}]')),
+ toks AS (SELECT *, string_split(line, ' ') AS tokens FROM (SELECT *, CASE WHEN short THEN exact ELSE regexp_replace(exact, '[0-9]+', '0', 'g') END AS line FROM cut)),
+ uniq AS MATERIALIZED (SELECT DISTINCT doc_id, exact, short, line, len(tokens) || ' ' || CASE WHEN short THEN line ELSE {lead} END AS leaf FROM toks),
+ cop AS (SELECT doc_id, list_sort(list(DISTINCT line)) AS copies FROM uniq GROUP BY 1),
+ seen AS MATERIALIZED (SELECT u.*, dense_rank() OVER (ORDER BY copies) AS copies FROM uniq u JOIN cop ON u.doc_id IS NOT DISTINCT FROM cop.doc_id),
+ busy AS (SELECT leaf FROM seen GROUP BY 1 HAVING count(DISTINCT copies) >= {min_variants}),
+ wording AS MATERIALIZED (SELECT leaf, line, count(DISTINCT copies) AS n, string_split(line, ' ') AS tokens FROM seen JOIN busy USING (leaf) GROUP BY leaf, line),
+ tk AS MATERIALIZED (SELECT leaf, line, n, i, tokens[i] AS token FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM wording)),
+ fixed AS (SELECT leaf, i, token FROM tk GROUP BY ALL HAVING sum(n) >= {min_variants}),
+ form AS (SELECT leaf, line, list((i, token) ORDER BY i) AS form FROM tk JOIN fixed USING (leaf, i, token) GROUP BY 1, 2),
+ mem AS (SELECT leaf, line, form FROM form WHERE len(form) >= ceil({agreement} * len(string_split(line, ' ')))),
+ t AS MATERIALIZED (SELECT s.*, CASE WHEN form IS NULL THEN 'line ' || line ELSE 'form ' || leaf || ' ' || CAST(form AS VARCHAR) END AS t FROM seen s LEFT JOIN mem USING (leaf, line)),
+ same AS (SELECT exact, min(doc_id) AS keeper FROM seen GROUP BY 1 HAVING count(DISTINCT copies) >= CASE WHEN bool_or(short) THEN {min_variants} ELSE {min_documents} END),
+ alike AS (SELECT t, min(doc_id) AS keeper FROM t GROUP BY 1 HAVING count(DISTINCT copies) >= {min_variants}),
+ drops AS (SELECT doc_id, list(DISTINCT exact) AS d FROM (SELECT doc_id, exact, keeper FROM t JOIN same USING (exact) UNION ALL SELECT doc_id, exact, keeper FROM t JOIN alike USING (t))
+  WHERE doc_id IS DISTINCT FROM keeper GROUP BY 1),
+ kept AS (SELECT s.doc_id, s.text, s.raws, CASE WHEN d IS NOT NULL THEN list_filter(raws, lambda x: NOT list_contains(d, trim(translate(x, chr(9) || chr(13), '  '), ' '))) END AS ks
+  FROM split s LEFT JOIN drops ON s.doc_id IS NOT DISTINCT FROM drops.doc_id)
  SELECT doc_id, CAST(coalesce(len(raws), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN ks IS NULL THEN 0 ELSE len(raws) - len(ks) END AS BIGINT) AS n_dropped,
- CASE WHEN ks IS NULL THEN text ELSE coalesce(array_to_string([raws[k] FOR k IN ks], chr(10)), '') END AS text FROM kept"""
+ CASE WHEN ks IS NULL THEN text ELSE coalesce(array_to_string(ks, chr(10)), '') END AS text FROM kept"""

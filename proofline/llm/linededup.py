@@ -8,8 +8,8 @@ them. A line with too few fixed tokens is a template of its own.
 
 The number of documents decides, wherever in a document a line stands. Documents with the same set of lines are copies
 and count once. A line that stands word for word in ``min_documents`` documents, or whose template stands in
-``min_variants``, is dropped from all of them but the one with the smallest id. Lines of at most ``depth`` tokens, such as
-headings, take ``min_variants`` documents; lines without a letter or digit, such as brackets and rules, are left alone.
+``min_variants``, is dropped from all of them but the one with the smallest id. Lines of at most ``depth`` tokens and
+``HEADING_CHARS`` characters, such as headings, take ``min_variants`` documents; lines without a letter or digit, such as brackets and rules, are left alone.
 
 DataFrame functions only. Rows between the stages are hashes; the text is shuffled once, by document id, to meet its
 drop list. Hot templates are pre-aggregated by (template, copies) first.
@@ -24,6 +24,8 @@ from proofline.operators.fence import fenced
 
 from .common import staged
 
+HEADING_CHARS = 32
+
 
 def _line(masked: Column) -> Column:
     """A line without blanks at its ends; its tokens are what stands between single blanks."""
@@ -65,8 +67,9 @@ def repeated(docs: DataFrame, depth: int = 2, min_documents: int = 2, min_varian
     """id, h of the lines to drop."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.explode(F.split(text, "\n")).alias("raw"))
     rows = fenced(rows.withColumn("exact", _line(F.col("raw"))), ["exact"]).filter(F.col("exact").rlike("[\\p{L}\\p{N}]"))
-    short = F.length("exact") - F.length(F.replace("exact", F.lit(" "), F.lit(""))) < depth
-    rows = rows.select("id", F.xxhash64("exact").alias("e"), short.alias("short"), F.when(short, F.col("exact")).otherwise(_masked(F.col("exact"))).alias("line"))
+    few = F.length("exact") - F.length(F.replace("exact", F.lit(" "), F.lit(""))) < depth
+    short = few & (F.length("exact") <= HEADING_CHARS)
+    rows = rows.select("id", F.xxhash64("exact").alias("e"), short.alias("short"), F.when(few, F.col("exact")).otherwise(_masked(F.col("exact"))).alias("line"))
     lines = fenced(rows, ["line"]).withColumns({"leaf": F.xxhash64(_blanks(), F.substring_index("line", " ", depth)), "h": F.xxhash64("line")})
     sets = lines.groupBy("id").agg(F.collect_set(F.struct("e", "h", "leaf", "short")).alias("lines"))
     sets = sets.select("id", F.xxhash64(F.array_sort(F.array_distinct("lines.h"))).alias("copies"), F.explode("lines").alias("l"))
@@ -120,9 +123,9 @@ def oracle(depth: int = 2, min_documents: int = 2, min_variants: int = 10, agree
     lead = " || ' ' || ".join(f"tokens[{i + 1}]" for i in range(depth))
     return f"""WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS raws FROM documents),
  flat AS (SELECT doc_id, trim(translate(unnest(raws), chr(9) || chr(13), '  '), ' ') AS exact FROM split),
- cut AS (SELECT *, len(string_split(exact, ' ')) <= {depth} AS short FROM flat WHERE regexp_matches(exact, '[\p{{L}}\p{{N}}]')),
- toks AS (SELECT *, string_split(line, ' ') AS tokens FROM (SELECT *, CASE WHEN short THEN exact ELSE regexp_replace(exact, '[0-9]+', '0', 'g') END AS line FROM cut)),
- uniq AS MATERIALIZED (SELECT DISTINCT doc_id, exact, short, line, len(tokens) || ' ' || CASE WHEN short THEN line ELSE {lead} END AS leaf FROM toks),
+ cut AS (SELECT *, len(string_split(exact, ' ')) <= {depth} AS few, len(string_split(exact, ' ')) <= {depth} AND length(exact) <= {HEADING_CHARS} AS short FROM flat WHERE regexp_matches(exact, '[\\p{{L}}\\p{{N}}]')),
+ toks AS (SELECT *, string_split(line, ' ') AS tokens FROM (SELECT *, CASE WHEN few THEN exact ELSE regexp_replace(exact, '[0-9]+', '0', 'g') END AS line FROM cut)),
+ uniq AS MATERIALIZED (SELECT DISTINCT doc_id, exact, short, line, len(tokens) || ' ' || CASE WHEN few THEN line ELSE {lead} END AS leaf FROM toks),
  cop AS (SELECT doc_id, list_sort(list(DISTINCT line)) AS copies FROM uniq GROUP BY 1),
  seen AS MATERIALIZED (SELECT u.*, dense_rank() OVER (ORDER BY copies) AS copies FROM uniq u JOIN cop ON u.doc_id IS NOT DISTINCT FROM cop.doc_id),
  busy AS (SELECT leaf FROM seen GROUP BY 1 HAVING count(DISTINCT copies) >= {min_variants}),

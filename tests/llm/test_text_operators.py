@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -178,21 +180,99 @@ def test_rules_are_native(spark, sf):
     assert not re.search("Python|Arrow|Exchange", plan)
 
 
-def test_template_lines(spark):
-    rows = [(i, f"intro {chr(97 + i % 26)}{i // 26} of text\nShown 1{i} times by user {'kim' if i % 2 else 'lee' + chr(97 + i)} in town today\nend {chr(97 + i % 26)} x{'yz'[i % 2]} q") for i in range(40)]
-    rows += [(100 + i, "same first line here\nonce only in copies of one\nsame last line here") for i in range(30)]
-    got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, rows), min_contexts=8).collect()}
-    assert "Shown" in got[0].text and all("Shown" not in got[i].text for i in range(1, 40))  # numbers and names vary
-    assert all(got[i].text == rows[40][1] for i in range(100, 130))  # copies are not boilerplate
-    assert got[5].n_lines == 3 and got[5].n_dropped == 1
-
-
-def test_template_lines_odd_rows(spark):
-    clash = odd(spark).selectExpr("*", "1 AS n_lines", "2 AS _drop2", "3 AS h", "4 AS t", "5 AS id")
-    got = linededup.dedup_lines(clash, min_contexts=1, context_share=0.0).collect()
-    assert len(got) == 9 and sum(r.text == "" for r in got) == 2  # the empty one, and the null id's copy of document 4
-    assert [r.text for r in got if r.doc_id == 4] == ["a b c d e f"] * 2
-    assert linededup.dedup_lines(docs(spark, [])).count() == 0
+def plain_lines(rows, depth=2, variants=10, agreement=0.7):
+    """The rule of the template tree in plain Python: doc id to text."""
+    kinds, sets = {}, {}
+    for i, text in rows:
+        for raw in (text or "").split("\n") if text is not None else []:
+            line = raw.replace("\t", " ").replace("\r", " ").strip(" ")
+            if not any(c.isalpha() or c.isnumeric() for c in line):
+                continue
+            tokens = line.split(" ")
+            few = len(tokens) <= depth
+            form = line if few else re.sub("[0-9]+", "0", line)
+            kinds[line] = (form, few and len(line) <= 32, (len(tokens), " ".join(form.split(" ")[:depth])))
+            sets.setdefault(i, set()).add(line)
+    copies = {i: frozenset(kinds[x][0] for x in lines) for i, lines in sets.items()}
+    where, by_form = {}, {}
+    for i, lines in sets.items():
+        for x in lines:
+            where.setdefault(x, set()).add(i)
+            by_form.setdefault(kinds[x][0], set()).add(copies[i])
+    leaves = {}
+    for x, ids in where.items():
+        leaves.setdefault(kinds[x][2], set()).update(copies[i] for i in ids)
+    fixed = Counter()
+    leaf_of = {kinds[x][0]: kinds[x][2] for x in where}
+    for form, n in by_form.items():
+        for k, token in enumerate(form.split(" ")):
+            fixed[leaf_of[form], k, token] += len(n)
+    templates = {}
+    for x, (form, _, leaf) in kinds.items():
+        kept = tuple((k, w) for k, w in enumerate(form.split(" ")) if fixed[leaf, k, w] >= variants)
+        busy = len(leaves[leaf]) >= variants
+        templates.setdefault((leaf, kept) if busy and len(kept) >= math.ceil(agreement * len(form.split(" "))) else form, set()).add(x)
+    gone = {}
+    low = lambda ids: min((i for i in ids if i is not None), default=None)
+    for x, ids in where.items():
+        if len({copies[i] for i in ids}) >= (variants if kinds[x][1] else 2):
+            for i in ids - {low(ids)}:
+                gone.setdefault(i, set()).add(x)
+    for lines in templates.values():
+        ids = set().union(*(where[x] for x in lines))
+        if len({copies[i] for i in ids}) >= variants:
+            for i in ids - {low(ids)}:
+                gone.setdefault(i, set()).update(lines)
+    return sorted(((i, text if text is None else "\n".join(r for r in text.split("\n") if r.replace("\t", " ").replace("\r", " ").strip(" ") not in gone.get(i, ())))
+                   for i, text in rows), key=str)
+
+
+def kept_lines(spark, rows):
+    return sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(docs(spark, rows)).collect()), key=str)
+
+
+def word(*seed):
+    return "".join(chr(97 + b % 26) for b in zlib.crc32(repr(seed).encode()).to_bytes(4, "big")) + "q"
+
+
+def test_template_tree_matches_plain_rule(spark):
+    """A block in many documents, rare repeats, several templates in a leaf, fields that vary, copies, brackets, odd rows."""
+    rows = []
+    for i in range(200):
+        lines = [f"own line {word(i)} {word(i, 1)} {word(i, 2)}"]
+        if i < 60:
+            lines += ["first of the shared block", "second of the shared block", "third", "fourth of the block"]
+        if i % 22 == 0:
+            lines.append("a line in nine or ten documents")
+        if i % 2:
+            lines += ["Accept cookies", f"Posted by {word(i, 3)} in category news of today", "}"]
+        else:
+            lines += [f"Posted by {word(i, 4)} at office number {i} of town", "{", "---"]
+        if i % 50 == 0:
+            lines += ["Introduction", "这是一段没有空格的很长的文字" * 4]
+        rows.append((i, "\n".join(lines)))
+    rows += [(1000 + i, "copied\nAccept cookies\nonly in the copies here") for i in range(30)]
+    rows += [(2000, None), (2001, ""), (2002, " \t\n}"), (None, "own\nAccept cookies"), (None, "own\nAccept cookies"), (5, "again with one id\nthird")]
+    got = kept_lines(spark, rows)
+    assert got == plain_lines(rows)
+    texts = dict(got)
+    assert texts[199] == f"own line {word(199)} {word(199, 1)} {word(199, 2)}\n}}"
+    assert all("of the" not in texts[i] for i in range(1, 60) if i != 5) and "category" in texts[1] and "office" in texts[0]
+    assert sum("category" in (t or "") or "office" in (t or "") for _, t in got) == 2
+    assert "Introduction" in texts[150] and "文字" not in texts[150] and "only in the copies here" in texts[1029]
+
+
+def test_a_line_in_nine_documents(spark):
+    rows = [(i, f"{word(i)} {word(i, 1)} {word(i, 2)}\nthe same nine times") for i in range(9)]
+    got = kept_lines(spark, rows)
+    assert got == plain_lines(rows) and [("nine" in t) for _, t in got] == [True] + [False] * 8
+
+
+def test_very_long_documents_are_looked_up_fast(spark):
+    lines = "\n".join(f"{word(i)} {word(i, 1)} {word(i, 2)}" for i in range(100_000))
+    start = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs(spark, [(1, lines), (2, lines + "\nmore of that")])).drop("text").collect()}
+    assert got == {1: (100_000, 0), 2: (100_001, 100_000)} and time.time() - start < 60
 
 
 def test_repeated_lines_by_documents(spark):
@@ -202,7 +282,7 @@ def test_repeated_lines_by_documents(spark):
     rows = [(i, f"{own(i)}\n{block}") for i in range(30)]
     rows += [(100 + i, f"{own(100 + i)}\nan ordinary line in two documents") for i in range(2)]
     rows += [(200 + i, f"{own(200 + i)}\na hot line of copies") for i in range(60)] + [(1000 + i, "copied\na hot line of copies\nonly in the copies") for i in range(400)]
-    got = {r.doc_id: r.text for r in linededup.dedup_repeated(docs(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()}
     assert got[0] == rows[0][1] and all(got[i] == own(i) for i in range(1, 30))
     assert got[100] == rows[30][1] and got[101] == own(101)
     assert got[200] == rows[32][1] and all(got[i] == own(i) for i in range(201, 260))
@@ -213,19 +293,19 @@ def test_repeated_lines_of_one_or_two_tokens(spark):
     own = lambda i: "".join("qrstuvwxyz"[int(c)] for c in str(i)) + " alone"
     passage = "这是一段没有空格的很长的文字" * 5
     rows = [(i, f"{own(i)}\nAnd ornd.\nLes.\n{passage}") for i in range(12)]
-    got = {r.doc_id: r for r in linededup.dedup_repeated(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, rows)).collect()}
     assert got[0].text == rows[0][1] and all(got[i].text == own(i) and got[i].n_dropped == 3 for i in range(1, 12))
     numbers = [(i, f"{7 * i}\npage {i}\nShown {i} times to you") for i in range(12)] + [(50 + i, f"room 12\n{own(i)}\nborn in 1850 or in 1851") for i in range(2)]
-    got = {r.doc_id: r.text for r in linededup.dedup_repeated(docs(spark, numbers)).collect()}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, numbers)).collect()}
     assert got[0] == numbers[0][1] and all(got[i] == f"{7 * i}\npage {i}" for i in range(1, 12))
-    assert got[50] == numbers[12][1] and got[51] == own(1)
+    assert got[50] == numbers[12][1] and got[51] == f"room 12\n{own(1)}"  # a heading in two documents stays
 
 
 def test_repeated_lines_odd_rows(spark):
     clash = odd(spark).selectExpr("*", "1 AS n_lines", "2 AS _drop2", "3 AS h", "4 AS t", "5 AS id")
-    got = linededup.dedup_repeated(clash).collect()
+    got = linededup.dedup_lines(clash).collect()
     assert len(got) == 9 and sum(r.text is None for r in got) == odd(spark).filter("text IS NULL").count()
-    assert linededup.dedup_repeated(docs(spark, [])).count() == 0
+    assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
 def test_held_out(spark):

@@ -72,8 +72,9 @@ def repeated(docs: DataFrame, depth: int = 2, min_documents: int = 2, min_varian
     rows = rows.select("id", F.xxhash64("exact").alias("e"), short.alias("short"), F.when(few, F.col("exact")).otherwise(_masked(F.col("exact"))).alias("line"))
     lines = fenced(rows, ["line"]).withColumns({"leaf": F.xxhash64(_blanks(), F.substring_index("line", " ", depth)), "h": F.xxhash64("line")})
     sets = lines.groupBy("id").agg(F.collect_set(F.struct("e", "h", "leaf", "short")).alias("lines"))
-    sets = sets.select("id", F.xxhash64(F.array_sort(F.array_distinct("lines.h"))).alias("copies"), F.explode("lines").alias("l"))
-    seen = staged(sets.select("id", "copies", "l.*"), "lines")
+    # fenced, so that the name of the set is made once and not with every line taken out of it
+    sets = fenced(sets.withColumn("copies", F.xxhash64(F.array_sort(F.array_distinct("lines.h")))), ["copies"])
+    seen = staged(sets.select("id", "copies", F.explode("lines").alias("l")).select("id", "copies", "l.*"), "lines")
     leaves = seen.select("leaf", "copies").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = staged(leaves.filter(F.col("n") >= min_variants).select("leaf"), "leaves")
     members = _members(seen, lines, leaves, min_variants, agreement)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = set("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search
 section select summary table tbody td textarea tfoot th thead title tr ul""".split())
-#: Elements whose content is never text of the page.
+#: Elements whose content is never text of the page. All but a head and its title stand within a line: the block around them goes on.
 RAW_TAGS = {"script", "style", "template", "noscript", "iframe", "svg", "object", "canvas", "math", "head", "title"}
 #: Those whose content is not markup: without an end tag they reach to the end of the page.
 TEXT_ONLY_TAGS = {"script", "style", "title"}
@@ -151,7 +151,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 at = _head_end(page, at, endless)
             elif not (tag in ("svg", "math") and m[3].endswith("/")):
                 at = _element_end(page, at, tag, {name for name, _ in stack} | {"body", "html"}, endless)
-            if tag != "svg":
+            if tag in ("head", "title"):
                 close()
             continue
         if tag == "a":
@@ -199,13 +199,16 @@ def text_features(block: Block, i: int, n: int) -> list[str]:
 
 
 def page_features(blocks: list[Block], memo: dict) -> list[list[str]]:
+    """Features by block. Where no ancestor on the page is a section or has a name, the blocks tell so: nothing marks an article there."""
     out = []
+    bare = not any(words or tag in SECTIONS for path in {b.path for b in blocks} for tag, words in path)
     for i, block in enumerate(blocks):
         if block.path not in memo:
             if len(memo) > 50_000:
                 memo.clear()
             memo[block.path] = path_features(block.path)
-        out.append(memo[block.path] + text_features(block, i, len(blocks)))
+        text = text_features(block, i, len(blocks))
+        out.append(memo[block.path] + text + ([f"bare|{x}" for x in text[:3]] if bare else []))
     return out
 
 

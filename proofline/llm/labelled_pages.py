@@ -185,7 +185,40 @@ class _Page:
         self.html.append(("</div>" if wrapped else "") + "</body></html>")
         return "".join(self.html), self.labels
 
+    def build_bare(self) -> tuple[str, list[int]]:
+        """A page without any named or sectioning element: text alone, in paragraphs or as it is, and now and then lists of links."""
+        head, links = self.r.random() < 0.5, self.r.random()
+        self.html.append("<!DOCTYPE html><html><head><title>x</title></head><body>" if head else "")
+        if links < 0.15:
+            self.link_list()
+        if self.r.random() < 0.3:
+            self.block("h1", self.sentence(2, 12), 1)
+        for _ in range(self.r.choice([1, 1, 1, 2, 4, 8])):
+            tag = self.r.choice(["p", "p", "div", "td", "pre", ""])
+            text = self.r.choice([self.prose(self.r.choice([1, 2, 5])), self.words(1, 12)])
+            if self.r.random() < 0.15:
+                text += " " + self.link() + " " + self.words(2, 6) + "."
+            if tag:
+                self.block(tag, text, 1)
+            else:
+                self.html.append(f"{text}<hr>")
+                self.labels.append(1)
+        if 0.1 < links < 0.25:
+            self.link_list()
+        self.html.append("</body></html>" if head else "")
+        return "".join(self.html), self.labels
+
+    def link_list(self) -> None:
+        self.html.append("<ul>")
+        for _ in range(self.r.randint(2, 6)):
+            self.block("li", self.link(), 0)
+        self.html.append("</ul>")
+
+
+#: Every so many pages is a bare one.
+BARE_EVERY = 8
+
 
 def labelled_pages(count: int = 500, first: int = 0) -> list[tuple[str, list[int]]]:
     """(html, labels) of ``count`` pages; labels follow the order of the leaf blocks."""
-    return [_Page(first + i).build() for i in range(count)]
+    return [_Page(first + i).build_bare() if i % BARE_EVERY == BARE_EVERY - 1 else _Page(first + i).build() for i in range(count)]

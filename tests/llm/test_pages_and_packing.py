@@ -134,11 +134,27 @@ def test_leaf_blocks():
     ("<p>a</p><iframe src=x><p>b</p><canvas><p>c", ["a", "b", "c"]),
     ("<object><object>no</object>no<div>no</div></object><p>a</p><template><p>no</p></template><noscript>no</noscript>b", ["a", "b"]),
     ("<p>a</p><script>if (a < b) '<p>no'", ["a"]),
+    ("<p>The value of it <script>x</script> is well known</p>", ["The value of it is well known"]),
+    ("<p>The value of it <math><mi>x</mi></math> is <noscript>no</noscript>well<iframe src=x>no</iframe> known</p>", ["The value of it is well known"]),
+    ("<p>a <style>p{}</style>b<template><p>no</p></template> c</p>d", ["a b c", "d"]),
 ])
 def test_skipped_elements_end(page, want):
     assert [b.text for b in htmlcrf.leaf_blocks(page)] == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div>plain words only without any stop</div>", "plain words only without any stop"),
+    ("Bare text, no element at all.", "Bare text, no element at all."),
+    ("bare words", "bare words"),
+    ("<p>A lone paragraph.</p>", "A lone paragraph."),
+    ("<html><head><title>no</title></head><body><p>One part.<p>Another <a href=x>part</a> of it.</body></html>", "One part.\nAnother part of it."),
+    ("<p>The value of it <script>x</script> is well known.</p>", "The value of it is well known."),
+    ("<ul><li><a href=a>one</a><li><a href=b>two</a></ul><p>Some text that is read.</p>", "Some text that is read."),
+])
+def test_pages_without_furniture(crf, page, want):
+    assert htmlcrf.main_text(crf, page, {}) == want
+
+
 def test_extraction_odd_rows(spark, crf):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<nav><a href=x>x</a></nav>"), (None, "u", "<article><p>Some words here.</p></article>"), (4, "u", "<article>" + "<p>Long text here." * 20_000), (4, "u", "<b")]
     table = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS text", "2 AS n_chars")

@@ -7,8 +7,8 @@ sums with several counters packed in one 64-bit word. A window with too few shin
 can its neighbours, and gets none; that costs a running sum of a bitmap per size and loses nothing.
 
 Fingerprints are cut into four blocks of 16 bits. A fingerprint within ``radius`` of an item's agrees with it in some
-block up to ``radius // 4`` bits, so four tables from block values to items find every fingerprint within the radius; the
-items of a size are compared one by one instead where they are at most ``DIRECT``.
+block up to ``radius // 4`` bits, so four tables from block values to items find every fingerprint within the radius. A table
+has each item under all block values near its own, sorted, behind a bit map of the values that occur.
 Candidates are checked with the weighted similarity of the shingles, sum of minima over sum of maxima of the
 multiplicities, at the item's own length and at the neighbouring starts.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import WORDLIKE, shingle_hashes, text_buffers, word_hashes
 
-BLOCK_ITEMS = 20_000
-DIRECT = 128
+#: The tables of an item take about 11 kB.
+BLOCK_ITEMS = 8_000
 _SLICE = 1 << 18
 _DDL = "item_id bigint, similarity double, start_word bigint, n_words bigint"
 
@@ -88,12 +88,12 @@ def _fingerprints(h: np.ndarray, size: int) -> np.ndarray:
 
 def _neighbours(radius: int) -> np.ndarray:
     """All 16-bit masks of at most ``radius`` bits."""
-    masks = np.arange(1 << 16, dtype=np.uint32)
+    masks = np.arange(1 << 16, dtype=np.uint16)
     return masks[np.bitwise_count(masks) <= radius]
 
 
 class Items:
-    """The query set, ready for the search: by window size, four block tables and the fingerprints."""
+    """The query set, ready for the search: by window size, the four block tables and the items they name."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int, radius: int):
         self.k, self.radius = k, radius
@@ -115,12 +115,13 @@ class Items:
         for size in sizes:
             members = np.flatnonzero((lengths == size) & (self.words >= k))
             tables = []
-            for b in range(4 if len(members) > DIRECT else 0):
-                block = ((self.prints[members] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
+            for b in range(4):
+                block = ((self.prints[members] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
                 value = (block[:, None] ^ masks).ravel()
                 order = np.argsort(value, kind="stable")
-                first = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
-                tables.append((np.diff(first) > 0, first, np.repeat(members, len(masks))[order].astype(np.int32)))
+                occurs = np.zeros(1 << 16, bool)
+                occurs[value] = True
+                tables.append((np.packbits(occurs, bitorder="little"), value[order], (order // len(masks)).astype(np.uint16)))
             self.classes.append((int(size), tables, members))
         # an item below k words is one hash; its windows are looked up exactly
         self.short: dict[int, dict[int, list[int]]] = {}
@@ -128,27 +129,21 @@ class Items:
             self.short.setdefault(int(self.words[i]), {}).setdefault(int(self.hashes[i][0]), []).append(int(i))
 
     def _candidates(self, fp: np.ndarray, tables: list, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at_all, item_all = [], []
-        if not tables:
-            for item in members:
-                at_all.append(np.flatnonzero(np.bitwise_count(fp ^ self.prints[item]) <= self.radius))
-                item_all.append(np.full(len(at_all[-1]), item))
+        at_all, item_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         blocks = fp.astype("<u8", copy=False).view("<u2").reshape(-1, 4)
-        for b, (occupied, first, lists) in enumerate(tables):
+        for b, (occurs, values, lists) in enumerate(tables):
             v = np.ascontiguousarray(blocks[:, b])
-            at = np.flatnonzero(occupied.take(v))
+            at = np.flatnonzero(occurs.take(v >> 3) >> (v & 7).astype(np.uint8) & 1)
             if not len(at):
                 continue
-            v = v[at].astype(np.int64)
-            n = first[v + 1] - first[v]
+            first = np.searchsorted(values, v[at])
+            n = np.searchsorted(values, v[at], "right") - first
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item = lists[np.repeat(first[v], n) + offset]
+            item = members[lists[np.repeat(first, n) + offset]]
             at = np.repeat(at, n)
             near = np.bitwise_count(fp[at] ^ self.prints[item]) <= self.radius
             at_all.append(at[near])
             item_all.append(item[near])
-        if not at_all:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(at_all), np.concatenate(item_all)
 
     def similarity(self, item: int, window: np.ndarray) -> float:

@@ -170,6 +170,35 @@ def test_leaks_of_items_of_all_lengths():
     assert alone.leaks(pa.array(rows[3:4]), 0.8) == items.leaks(pa.array(rows[3:4]), 0.8)
 
 
+def test_many_items_of_one_length():
+    """More items of a size than any crossover: the block tables against a plain search of windows."""
+    rng = random.Random(12)
+    vocabulary = [f"t{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(300)]
+    rows = []
+    for d in range(16):
+        leak = items[rng.randrange(300)][1].split()
+        leak[rng.choice([0, 1, 38, 39])] = "changed"
+        rows.append((d, " ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 20))] + leak[:40 - d % 2] + [rng.choice(vocabulary) for _ in range(9)])))
+    found = decontam.Items([i for i, _ in items], [t for _, t in items], 5, 15).leaks(pa.array([t for _, t in rows]), 0.8)
+    got = {(d, i): (round(v, 9), s) for d, hits in enumerate(found) for i, v, s, _ in hits}
+    assert got == plain_leaks(rows, items) and len(got) >= 16
+
+
+def test_block_tables_find_all_within_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30)) for _ in range(250)]
+    items = decontam.Items(list(range(250)), texts, 5, 15)
+    (_, tables, members), = items.classes
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in rng.integers(0, 25, 4000)], np.uint64)
+    prints = items.prints[rng.integers(0, 250, 4000)] ^ flips
+    at, item = items._candidates(prints, tables, members)
+    want = np.bitwise_count(prints[:, None] ^ items.prints[None, :]) <= 15
+    assert {*zip(at.tolist(), item.tolist())} == {*zip(*(x.tolist() for x in np.nonzero(want)))}
+
+
 def test_fingerprints():
     import numpy as np
 

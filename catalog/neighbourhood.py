@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import text as tx
 from proofline.functions.rounding import fixed_avg, r6
-from proofline.operators import bands, bleed, masks, separable, stencil
+from proofline.operators import bands, bleed, distance, masks, separable, stencil
 from proofline.plans import optimise, readiness
 from proofline.session import shared_dir
 from proofline.sources import derive
@@ -84,6 +84,17 @@ def dilation(spark, d):
     return masks.dilate(masks.mask_rows(derive.scanlines(spark, d)), 8).select("image_id", "y", "x0", "x1")
 
 
+def distance_erosion(spark, d):
+    """The erosion by exact distances, whatever the radius."""
+    return distance.erode(masks.mask_rows(derive.scanlines(spark, d)), 5).select("image_id", "y", "x0", "x1")
+
+
+def distance_dilation(spark, d):
+    """Bright red pixels grown by a wide disc."""
+    rows = derive.scanlines(spark, d).select("image_id", "w", "h", "y", F.transform("r", lambda v: v > 240).alias("mask"))
+    return masks.dilate(rows, 20).select("image_id", "y", "x0", "x1")
+
+
 def cut_line(spark, d):
     """Contour of the dilated mask, the full die-line chain."""
     rows = masks.mask_rows(derive.scanlines(spark, d))
@@ -351,6 +362,8 @@ ENTRIES = {
     "contour": (contour, _WITH + _EDGE4.format(src="SELECT image_id,w,h,x,y,a>20 AS m FROM px")),
     "erosion": (erosion, _WITH + ", " + _MK + _RUNS.format(src=_eroded(3))),
     "dilation": (dilation, _WITH + ", " + _MK + _RUNS.format(src=_dilated(8))),
+    "distance_erosion": (distance_erosion, _WITH + ", " + _MK + _RUNS.format(src=_eroded(5))),
+    "distance_dilation": (distance_dilation, _WITH + ", " + _MK.replace("a>20", "r>240") + _RUNS.format(src=_dilated(20))),
     "cut_line": (cut_line, _WITH + ", " + _MK + _EDGE4.format(
         src=f"SELECT mk.image_id, mk.w, mk.h, mk.x, mk.y, d.x IS NOT NULL AS m FROM mk LEFT JOIN ({_dilated(3)}) d USING (image_id,x,y)")),
     "bleed_padding": (bleed_padding, S.dbl(_bleed_sql())),

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import distance
 from .stencil import explode_x, with_neighbour_rows
 
+#: Discs beyond this radius go by distances, whose work does not grow with the radius.
+WIDE = 16
+
 
 def mask_rows(scanlines: DataFrame, above: int = 20) -> DataFrame:
     return scanlines.select("image_id", "w", "h", "y", F.transform("a", lambda v: v > above).alias("mask"))
@@ -53,7 +57,9 @@ def _spread(runs: DataFrame, radius: int) -> DataFrame:
 
 
 def dilate(rows: DataFrame, radius: int = 24) -> DataFrame:
-    """Disc dilation, as merged runs. Work is proportional to runs times radius."""
+    """Disc dilation, as merged runs. Work is proportional to runs times radius, up to ``WIDE``."""
+    if radius > WIDE:
+        return distance.dilate(rows, radius)
     runs = mask_runs(rows)
     return merge_intervals(runs if radius <= 0 else _spread(runs, radius))
 
@@ -66,6 +72,8 @@ def erode(rows: DataFrame, radius: int = 3) -> DataFrame:
     """
     if radius <= 0:
         return mask_runs(rows)
+    if radius > WIDE:
+        return distance.erode(rows, radius)
     inner = rows.filter((F.col("y") >= radius) & (F.col("y") < F.col("h") - radius))
     border = inner.select("image_id", "w", "h", "y", F.inline(F.array(
         F.struct(F.lit(0).alias("x0"), F.lit(radius - 1).alias("x1")),

@@ -66,6 +66,60 @@ def test_masks_match_loops(spark, radius):
     assert {(x, r.y) for r in back.collect() for x, v in enumerate(r["mask"]) if v} == on
 
 
+@pytest.mark.parametrize("radius", [1, 3, 17, 40, 300])
+def test_discs_of_any_radius(spark, radius):
+    """Distances over several bands and strips against the definition, for sparse, dense, empty and full masks."""
+    import numpy as np
+
+    from proofline.operators import distance
+
+    rng = np.random.default_rng(radius)
+    w, h = 60, 210
+    sparse, dense = np.zeros((h, w), bool), np.ones((h, w), bool)
+    sparse[rng.integers(0, h, 4), rng.integers(0, w, 4)] = True
+    dense[rng.integers(0, h, 3), rng.integers(0, w, 3)] = False
+    wide = np.zeros((3, 2 * distance.STRIP + 5), bool)
+    wide[1, [0, distance.STRIP - 1, distance.STRIP, 2 * distance.STRIP + 4]] = True
+    grids = {1: sparse, 2: dense, 3: np.zeros((h, w), bool), 4: np.ones((h, w), bool), 5: wide}
+    lines = [(i, g.shape[1], g.shape[0], y, g[y].tolist()) for i, g in grids.items() for y in range(len(g))]
+    rows = spark.createDataFrame(lines, "image_id long, w int, h int, y int, mask array<boolean>").repartition(5)
+
+    def near(points, shape):
+        ys, xs = np.indices(shape)
+        return np.array([(ys - y) ** 2 + (xs - x) ** 2 <= radius * radius for y, x in points]).any(axis=0) if len(points) else np.zeros(shape, bool)
+
+    def cells(runs):
+        return {(r.image_id, r.y, x) for r in runs.collect() for x in range(r.x0, r.x1 + 1)}
+
+    grown, kept = set(), set()
+    for i, g in grids.items():
+        few = np.argwhere(g) if i != 2 else None
+        out = near(few, g.shape) if few is not None and len(few) < 50 else np.ones(g.shape, bool)
+        grown |= {(i, int(y), int(x)) for y, x in np.argwhere(out)}
+        ys, xs = np.indices(g.shape)
+        inner = (xs >= radius) & (xs < g.shape[1] - radius) & (ys >= radius) & (ys < g.shape[0] - radius)
+        left = inner & ~near(np.argwhere(~g), g.shape) if (~g).sum() < 50 else np.zeros(g.shape, bool)
+        kept |= {(i, int(y), int(x)) for y, x in np.argwhere(left)}
+    assert cells(distance.dilate(rows, radius)) == grown
+    assert cells(distance.erode(rows, radius)) == kept
+    # runs are maximal, one row a run
+    runs = distance.dilate(rows, radius).filter("image_id = 4").collect()
+    assert len(runs) == h and all((r.x0, r.x1) == (0, w - 1) for r in runs)
+
+
+def test_wide_discs_equal_the_spread_runs(spark, sf, monkeypatch):
+    from proofline.sources import derive
+
+    rows = masks.mask_rows(derive.scanlines(spark, sf)).filter("image_id % 20 = 1")
+    for run in (masks.dilate, masks.erode):
+        got = {tuple(r) for r in run(rows, 18).select("image_id", "y", "x0", "x1").collect()}
+        monkeypatch.setattr(masks, "WIDE", 50)
+        assert got == {tuple(r) for r in run(rows, 18).select("image_id", "y", "x0", "x1").collect()}
+        monkeypatch.undo()
+    none = rows.filter("false")
+    assert masks.dilate(none, 20).count() == 0 and masks.erode(none, 20).count() == 0
+
+
 def test_sticker_solid_pixels(spark):
     img = [[(200, 40, 40, 255 if 15 <= x < 35 and 15 <= y < 35 else 0) for x in range(50)] for y in range(50)]
     row = measure.alpha_counts(stencil.to_pixels(scan_frame(spark, {1: img}))).first()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from proofline.operators import admission, queue
+from proofline.operators import admission, queue, result_cache
+from proofline.session import shared_dir
 from proofline.sources import derive, dims
 
 from . import sql as S
@@ -60,6 +63,19 @@ def cache_lookup(spark, d):
     return hit.withColumn("cached", F.lit(True)).unionByName(miss.withColumn("cached", F.lit(False)))
 
 
+def bucketed_cache(spark, d):
+    """Every document against a cache that took the labelled ones in two batches, even ids first."""
+    docs = derive.read(spark, d, "documents").select("doc_id", "text", F.lit("model-a").alias("model"))
+    requests = queue.content_key(docs, "text", "model").select("doc_id", "cache_key")
+    done = requests.join(derive.read(spark, d, "labels").select("doc_id", "quality"), "doc_id").withColumnRenamed("doc_id", "first_doc")
+    name = f"result_cache_{uuid.uuid4().hex}"
+    result_cache.open_cache(spark, name, f"{shared_dir(spark)}/{name}", "first_doc BIGINT, quality BIGINT", 16)
+    for odd in (0, 1):
+        batch = done.filter(F.col("first_doc") % 2 == odd).withColumn("quality", F.col("quality").cast("bigint"))
+        result_cache.add_results(batch, name, "first_doc")
+    return result_cache.lookup(requests, name).select("doc_id", "cache_key", "cached", "first_doc", "quality")
+
+
 def batch_admission(spark, d):
     ok = admission.reject_reason(derive.images(spark, d)).filter("reject_reason IS NULL")
     return admission.first_per_batch(ok, 12).select("image_id", "batch_id", "seq", "batch_pos")
@@ -136,6 +152,10 @@ ENTRIES = {
  FROM documents f FULL OUTER JOIN labels b ON f.doc_id=b.doc_id"""),
     "cache_lookup": (cache_lookup, f"""WITH r AS (SELECT doc_id, {_KEY} AS cache_key FROM (SELECT doc_id, text, 'model-a' AS model
  FROM documents)) SELECT doc_id, cache_key, cache_key IN (SELECT cache_key FROM r JOIN labels USING (doc_id)) AS cached FROM r"""),
+    "bucketed_cache": (bucketed_cache, f"""WITH r AS (SELECT doc_id, {_KEY} AS cache_key FROM (SELECT doc_id, text, 'model-a' AS model
+ FROM documents)), c AS (SELECT cache_key, doc_id AS first_doc, CAST(quality AS BIGINT) AS quality FROM r JOIN labels USING (doc_id)
+ QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY doc_id%2, doc_id)=1)
+ SELECT doc_id, cache_key, first_doc IS NOT NULL AS cached, first_doc, quality FROM r LEFT JOIN c USING (cache_key)"""),
     "batch_admission": (batch_admission, f"""SELECT image_id, batch_id, seq, batch_pos FROM (SELECT *, CAST(row_number() OVER
  (PARTITION BY batch_id ORDER BY seq) AS INTEGER) AS batch_pos FROM ({S.IMAGES}) WHERE starts_with(mime,'image/') AND size_bytes<=104857600
  AND width_px>0 AND height_px>0) WHERE batch_pos<=12"""),

@@ -115,8 +115,9 @@ def mixtures(counts: np.ndarray, doc: np.ndarray, logs: np.ndarray, n_docs: int,
     best[np.arange(n_docs), first] = 1.0
     best_value = base + alone.max(axis=1)
     price = penalty * np.log(np.bincount(doc, n, n_docs) + 1.0)
-    for size in range(2, min(langs, 4) + 1):
-        # a document whose remaining share is below one in a hundred cannot pay for a further language
+    for size in range(2, langs + 1):
+        # a document whose next share is below one in a hundred cannot pay for a further language, which ends the
+        # search after a hundred at the latest
         rows = np.flatnonzero(share[np.arange(n_docs), order[:, size - 1]] > 0.01)
         if not len(rows):
             break
@@ -139,7 +140,7 @@ def predict(docs: DataFrame, names: list[str], logs: np.ndarray, doc_id: str = "
     """doc_id, lang_pred, score, shares (proportion per language of the chosen set), and the columns named in ``keep``.
 
     A null text or one without letters is ``und`` with score 0; so is every row if no language was learned. Repeated rows
-    are rated one by one. Sets of up to four languages are tried.
+    are rated one by one. Sets of any number of languages are tried, in the order of their first shares.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((names, logs))
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, names: list[str], logs: np.ndarray, doc_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = model.value
+        limit = SLICE_CHARS * 16 // max(16, len(names))  # the fit holds a number per n-gram and language
 
         def rated(keys: np.ndarray, counts: np.ndarray, pred: list, score: list, shares: list) -> None:
             if not len(keys) or not names:
@@ -174,7 +176,7 @@ def predict(docs: DataFrame, names: list[str], logs: np.ndarray, doc_id: str = "
                 for _, grams in _slices([text]):
                     pieces.append((i, grams))
                     held += len(grams)
-                if held > SLICE_CHARS:
+                if held > limit:
                     rated(*_counted(pieces), pred, score, shares)
                     pieces, held = [], 0
             if pieces:

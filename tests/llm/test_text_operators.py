@@ -311,3 +311,18 @@ def test_repeated_lines_odd_rows(spark):
 def test_held_out(spark):
     got = spark.range(50).withColumn("h", held_out("id")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_mixtures_of_many_languages():
+    """Six of eight languages with letters of their own in one document: all six are in the set, in their proportions."""
+    rng = np.random.default_rng(3)
+    langs, width = 8, 200
+    table = np.full((langs * width, langs), 1e-4)
+    for j in range(langs):
+        table[j * width:(j + 1) * width, j] = 1.0
+    logs = np.log(table / table.sum(axis=0))
+    shares = np.array([0.3, 0.2, 0.15, 0.15, 0.1, 0.1, 0, 0])
+    drawn = np.concatenate([rng.integers(j * width, (j + 1) * width, int(4000 * s)) for j, s in enumerate(shares)])
+    keys, counts = np.unique(drawn, return_counts=True)
+    best = langid.mixtures(counts, np.zeros(len(keys), np.int64), logs[keys], 1, 3.0, 6)
+    assert np.abs(best[0] - shares).max() < 0.01 and (best[0] > 0).sum() == 6

@@ -14,7 +14,7 @@ from ..operators.fence import fenced
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Decoded image files: id from the path, size, channels and BGR(A) bytes.
 
-    Undecodable files are dropped by the source; :func:`read_files` lists them.
+    Undecodable files are dropped by the source; :func:`image_reports` lists them with the reason.
     """
     img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     return img.select(F.xxhash64("origin").alias("image_id"), F.col("origin").alias("name"),
@@ -37,6 +37,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                         F.col("length").alias("size_bytes"))
 
 
+# Leading bytes of the file formats the decoder knows.
+MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "47494638", "bmp": "424D"}
+
+
+def image_reports(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: image_id, name, size_bytes, format by its leading bytes, w, h, channels and ``error_message``.
+
+    A file that gives no image stays, with null size and the reason: of no known format, or damaged. Pixels are decoded
+    to prove the file, but not carried along. Spark's sources do not list files of no bytes.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    head = F.hex(F.expr("substring(content, 1, 8)"))
+    kind = F.lit(None).cast("string")
+    for name, magic in MAGIC.items():
+        kind = F.when(F.startswith(head, F.lit(magic)), name).otherwise(kind)
+    # the two sources write the same address with one slash or three
+    place = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    files = files.select(place("path").alias("_at"), F.col("path"), F.col("length").alias("size_bytes"), kind.alias("format"))
+    img = spark.read.format("image").option("dropInvalid", False).load(path).select("image.origin", "image.width", "image.height", "image.nChannels")
+    img = img.select(place("origin").alias("_at"), "origin", *[F.when(F.col("width") > 0, F.col(c)).alias(n) for c, n in (
+        ("width", "w"), ("height", "h"), ("nChannels", "channels"))])
+    error = (F.when(F.col("w").isNotNull(), F.lit(None)).when(F.col("format").isNull(), "unknown format")
+             .otherwise(F.concat(F.lit("damaged "), "format", F.lit(" data"))))
+    name = F.coalesce("origin", "path")
+    return files.join(img, "_at", "left").select(F.xxhash64(name).alias("image_id"), name.alias("name"), "size_bytes", "format", "w", "h", "channels",
+                                                 error.cast("string").alias("error_message"))
+
+
 ROWS_PER_CHUNK = 256
 
 

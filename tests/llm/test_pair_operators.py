@@ -29,14 +29,20 @@ def plain_components(rows, k, num, den):
         return i
 
     ids = sorted(sets)
+    partners = Counter()
     for a in ids:
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
                 if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                    partners.update((a, b))
                     x, y = root(a), root(b)
                     up[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    return {i: (len(sets[i]), root(i), partners[i]) for i in ids}
+
+
+def joined(spark, rows, num):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_documents(docs(spark, rows), 4, num, 100).collect()}
 
 
 def corpus(seed, groups, size, edits):
@@ -55,29 +61,51 @@ def corpus(seed, groups, size, edits):
     return rows
 
 
-@pytest.mark.parametrize("block,hot", [(512, 128), (4, 128)])
-def test_join_matches_brute_force(spark, monkeypatch, block, hot):
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
-    rows = corpus(block, 25, 9, 3) + [(10_000 + i, t) for i, (_, t) in enumerate(corpus(7, 1, 90, 2) if block < 100 else [])]
-    want = plain_components(rows, 4, 85, 100)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs(spark, rows), 4, 85, 100).collect()}
-    assert got == want
+@pytest.mark.parametrize("cell,heap", [(1_000_000, 1024), (60, 0), (1, 1024)])
+def test_join_matches_brute_force(spark, monkeypatch, cell, heap):
+    """Whole homes, homes cut into cells and waves, and a task per node; the heap and the array."""
+    monkeypatch.setattr(jaccard, "CELL_SHINGLES", cell)
+    monkeypatch.setattr(jaccard, "HEAP_ENTRIES", heap)
+    rows = corpus(cell, 25, 9, 3) + [(10_000 + i, t) for i, (_, t) in enumerate(corpus(7, 1, 60, 2) if cell == 60 else [])]
+    assert joined(spark, rows, 85) == plain_components(rows, 4, 85, 100)
 
 
-def test_large_group_in_blocks(spark, monkeypatch):
-    """More than 64 different near copies: one member is the centre, the rest are queries in blocks."""
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", 16)
+def test_large_group_in_cells(spark, monkeypatch):
+    """110 near copies of one text, exact copies among them, in cells of a few: every link of every document counts once."""
+    monkeypatch.setattr(jaccard, "CELL_SHINGLES", 600)
     rng = random.Random(3)
     base = [f"v{i}" for i in range(60)]
     rows = []
     for i in range(110):
-        words = list(base)
+        words = list(base) + [f"tail{j}" for j in range(rng.randint(0, 8))]
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(60)] = rng.choice(["p", "q", "r", "s"])
         rows.append((i, " ".join(words)))
     for num in (85, 70):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs(spark, rows), 4, num, 100).collect()}
-        assert got == plain_components(rows, 4, num, 100)
+        assert joined(spark, rows, num) == plain_components(rows, 4, num, 100)
+
+
+def templated(n, seed=5):
+    """Texts of eight slots between fixed words, variants from a pool: many shared rare shingles, hardly a link."""
+    rng = random.Random(seed)
+    pool = [[" ".join(f"s{k}v{v}w{j}" for j in range(6)) for v in range(40)] for k in range(8)]
+    return [(i, " ".join(f"fixed{k} and {rng.choice(pool[k])}" for k in range(8))) for i in range(n)]
+
+
+def test_templated_texts(spark, monkeypatch):
+    """Shared prefix shingles chain all texts; only the tasks of shared lists are searched, and the result is exact."""
+    monkeypatch.setattr(jaccard, "CELL_SHINGLES", 2000)
+    rows = templated(300)
+    rows += [(1000 + i, t + " one more") for i, t in rows[:20]]
+    assert joined(spark, rows, 85) == plain_components(rows, 4, 85, 100)
+
+
+def test_many_ranges(spark):
+    """More ranges than 16 bits can name: the range takes further bits of the hash."""
+    rows = corpus(11, 6, 5, 2)
+    sets = {ranges: {(r.node, r.n, len(r["keys"]), r.n_prefix) for r in jaccard.candidate_sets(
+        docs(spark, rows).repartition(2), jaccard.np.zeros(0, jaccard.np.uint64), ranges, 4, 85, 100).collect()} for ranges in (16, 1 << 20)}
+    assert sets[16] and sets[16] == sets[1 << 20]
 
 
 def test_join_twin(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+from compare import check, duck
 from proofline.sources import images
 
 
@@ -33,3 +34,8 @@ def test_every_file_has_a_row(spark, tmp_path):
                    "head.jpg": (4, "jpeg", None, None, None, "damaged jpeg data")}
     ids = {r.image_id for r in images.image_reports(spark, str(tmp_path)).filter("error_message IS NULL").collect()}
     assert ids == {r.image_id for r in images.read_images(spark, str(tmp_path)).collect()}
+
+
+def test_upload_folder_twin(spark, sf):
+    ok, note = check(spark, duck(sf), "upload_reports", sf)
+    assert ok, note

@@ -33,7 +33,7 @@ END = b"\r\n\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS_PER_FILE = 2000
 _RECORD = ("id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, "
-           "origin string, number int, total bigint, block binary")
+           "origin string, number int, total bigint, block binary, error string")
 
 
 def base32_sha1(data: Column) -> Column:
@@ -82,7 +82,7 @@ def dechunked(body: bytes) -> bytes:
         at = line + 2
         if n == 0:
             return b"".join(parts)
-        if body[at + n:at + n + 2] != CRLF:
+        if n < 0 or body[at + n:at + n + 2] != CRLF:
             raise ValueError("broken chunk framing")
         parts.append(body[at:at + n])
         at += n + 2
@@ -147,26 +147,31 @@ def write_archives(planned: DataFrame, path: str, segment_bytes: int = 32768, ch
      .option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields (names in lower case) and block of every record; blank lines between records are skipped."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview | None]]:
+    """Header fields (names in lower case) and block of every record; blank lines between records are skipped.
+
+    Where no whole record stands, a pair ({"error": reason}, None) comes instead, and reading goes on at the next
+    ``WARC/`` that follows an empty line.
+    """
     view, at = memoryview(data), 0
     while at < len(data):
         if data[at:at + 2] == CRLF:
             at += 2
             continue
-        stop = data.find(END, at)
-        if stop < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+        stop = data.find(END, at) if data.startswith(b"WARC/", at) else -1
         fields = {}
-        for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:] if stop >= 0 else ():
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        at = stop + 4
-        n = int(fields["content-length"])
-        if at + n > len(data):
-            raise ValueError("record cut off")
-        yield fields, view[at:at + n]
-        at += n
+        size = fields.get("content-length", "")
+        n = int(size) if size.isascii() and size.isdigit() else -1
+        if n >= 0 and stop + 4 + n <= len(data):
+            yield fields, view[stop + 4:stop + 4 + n]
+            at = stop + 4 + n
+            continue
+        yield {"error": "no record" if stop < 0 else "no length" if n < 0 else "record cut off", "at": str(at)}, None
+        further = data.find(END + b"WARC/", at)
+        at = len(data) if further < 0 else further + 4
 
 
 def payload_of(block: bytes) -> bytes:
@@ -176,54 +181,86 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if is_chunked else body
 
 
-def _inflate(data: bytes) -> bytes:
+def _inflate(data: bytes) -> tuple[bytes, str | None]:
+    """Content of an archive, gzip or plain, and what is wrong with its compression; what comes before the fault is kept."""
     if data[:2] != b"\x1f\x8b":
-        return data
+        return data, None
     out = []
     while data:  # archives may hold one gzip member per record
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+        for at in range(0, len(data), 1 << 16):
+            try:
+                out.append(member.decompress(data[at:at + (1 << 16)]))
+            except zlib.error as e:
+                return b"".join(out), f"damaged gzip data: {e}"
+            if member.eof:
+                break
+        if not member.eof:
+            return b"".join(out), "gzip data cut off"
+        data = (member.unused_data + data[at + (1 << 16):]).lstrip(b"\0")
+    return b"".join(out), None
 
 
 def _number(value: str | None) -> int | None:
     return None if value is None else int(value)
 
 
+def _row(f: dict[str, str], block: memoryview | None) -> list | None:
+    """Values of ``_RECORD`` for a record, None for those that hold no page; ValueError if it is broken."""
+    if block is None:
+        raise ValueError(f"{f['error']} at byte {f['at']}")
+    kind = f.get("warc-type")
+    row = [_number(f.get("x-page-id")), f.get("warc-target-uri"), kind, _number(f.get("x-refers-to-page-id"))]
+    digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
+    if kind == "revisit":
+        return row + [_number(f.get("x-payload-bytes")), digest, None, None, None, None, None]
+    if "warc-segment-number" in f:
+        return row + [None, digest, f.get("warc-segment-origin-id", f.get("warc-record-id")), int(f["warc-segment-number"]),
+                      _number(f.get("warc-segment-total-length")), bytes(block), None]
+    if kind == "response":
+        payload = payload_of(bytes(block))
+        return row + [len(payload), python_digest(payload), None, None, None, None, None]
+    return None  # warcinfo, request, metadata
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ``_RECORD``; unsegmented records are decoded and carry no block. A file must fit in a task."""
+    """Rows of ``_RECORD``; unsegmented records are decoded and carry no block. A file must fit in a task.
+
+    A broken record or archive gives a row of record_type ``error`` with the file and the reason in ``error``; the
+    records around it are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                             ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("origin", pa.string()),
-                            ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+                            ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("error", pa.string())])
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for f, block in parse_records(_inflate(content.as_py())):
-                    kind = f.get("warc-type")
-                    row = [_number(f.get("x-page-id")), f.get("warc-target-uri"), kind, _number(f.get("x-refers-to-page-id"))]
-                    if kind == "revisit":
-                        row += [_number(f.get("x-payload-bytes")), f.get("warc-payload-digest", "").removeprefix("sha1:"), None, None, None, None]
-                    elif "warc-segment-number" in f:
-                        row += [None, f.get("warc-payload-digest", "").removeprefix("sha1:"),
-                                f.get("warc-segment-origin-id", f.get("warc-record-id")), int(f["warc-segment-number"]),
-                                _number(f.get("warc-segment-total-length")), bytes(block)]
-                    elif kind == "response":
-                        payload = payload_of(bytes(block))
-                        row += [len(payload), python_digest(payload), None, None, None, None]
-                    else:
-                        continue  # warcinfo, request, metadata
-                    rows.append(row)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * 10, schema)], schema=schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data, fault = _inflate(content.as_py())
+                rows = [_error(None, None, f"{name}: {fault}")] if fault else []
+                for f, block in parse_records(data):
+                    try:
+                        row = _row(f, block)
+                    except ValueError as e:
+                        page = f.get("x-page-id", "")
+                        row = _error(int(page) if page.isascii() and page.isdigit() else None, f.get("warc-target-uri"), f"{name}: {e}")
+                    if row:
+                        rows.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * 11, schema)], schema=schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, _RECORD)
 
 
+def _error(page: int | None, url: str | None, reason: str) -> list:
+    return [page, url, "error", None, None, None, None, None, None, None, reason]
+
+
 def reassemble(records: DataFrame) -> DataFrame:
-    """Segmented records joined: one row per origin and copy; a gap or a wrong total length is an error."""
+    """Segmented records joined: one row per origin and copy.
+
+    A gap, a wrong total length or a wrong digest gives a row of record_type ``error`` with the reason.
+    """
     once = records.filter("origin IS NOT NULL").groupBy("origin", "number").agg(
         F.count("*").alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("id", "url", "refers_to", "payload_digest", "total", "block")])
 
@@ -231,26 +268,32 @@ def reassemble(records: DataFrame) -> DataFrame:
         table = table.sort_by("number")
         numbers, totals = table["number"].to_pylist(), [t for t in table["total"].to_pylist() if t is not None]
         block = b"".join(table["block"].to_pylist())
+        reason = digest = size = None
         if numbers != list(range(1, len(numbers) + 1)) or totals != [len(block)]:
-            raise ValueError(f"incomplete record {table['origin'][0]}: segments {numbers}, length {len(block)} of {totals}")
-        payload = payload_of(block)
-        digest = python_digest(payload)
-        if digest != table["payload_digest"][0].as_py():
-            raise ValueError(f"digest of {table['origin'][0]} differs")
-        return pa.table({"id": table["id"][:1], "url": table["url"][:1], "payload_bytes": pa.array([len(payload)], pa.int64()),
-                         "payload_digest": [digest], "copies": pa.array([table["copies"][0].as_py()], pa.int64())})
-
-    joined = once.groupBy("origin").applyInArrow(join, "id bigint, url string, payload_bytes bigint, payload_digest string, copies bigint")
+            reason = f"incomplete record {table['origin'][0]}: segments {numbers[:20]}, length {len(block)} of {totals}"
+        else:
+            try:
+                payload = payload_of(block)
+                size, digest = len(payload), python_digest(payload)
+                if digest != table["payload_digest"][0].as_py():
+                    reason, size, digest = f"digest of {table['origin'][0]} differs", None, None
+            except ValueError as e:
+                reason = f"record {table['origin'][0]}: {e}"
+        return pa.table({"id": table["id"][:1], "url": table["url"][:1], "payload_bytes": pa.array([size], pa.int64()),
+                         "payload_digest": pa.array([digest], pa.string()), "copies": pa.array([table["copies"][0].as_py()], pa.int64()),
+                         "error": pa.array([reason], pa.string())})
+
+    joined = once.groupBy("origin").applyInArrow(join, "id bigint, url string, payload_bytes bigint, payload_digest string, copies bigint, error string")
     each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return each.select("id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"),
-                       "payload_bytes", "payload_digest")
+    return each.select("id", "url", F.when(F.col("error").isNull(), "response").otherwise("error").alias("record_type"),
+                       F.lit(None).cast("bigint").alias("refers_to"), "payload_bytes", "payload_digest", "error")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page: id, url, record_type, refers_to, payload_bytes, payload_digest.
+    """One row per page: id, url, record_type, refers_to, payload_bytes, payload_digest, error (null for whole records).
 
     The parsed records are staged: the text of the archives is read and inflated once.
     """
     records = staged(read_records(spark, path), "records")
-    whole = records.filter("origin IS NULL").select("id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest")
+    whole = records.filter("origin IS NULL").select("id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "error")
     return whole.unionByName(reassemble(records))

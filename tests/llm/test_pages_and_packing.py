@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -66,8 +67,31 @@ def test_warc_detects_missing_segments(spark):
     warc.write_archives(warc.plan_records(row), path, 200, 50)
     records = warc.read_records(spark, path)
     assert warc.reassemble(records).count() == 1
-    with pytest.raises(Exception, match="incomplete record"):
-        warc.reassemble(records.filter("number <> 2")).collect()
+    bad = warc.reassemble(records.filter("number <> 2")).first()
+    assert (bad.id, bad.record_type, bad.payload_bytes) == (1, "error", None) and "incomplete record" in bad.error
+
+
+def test_warc_goes_on_after_damage(spark, tmp_path):
+    """A broken record or archive is an error row; everything around it is read."""
+    def response(page, html, size=None, body=None):
+        block = warc.HTTP_HEAD + (warc.chunked(html, 7) if body is None else body)
+        return (f"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: {page}\r\nContent-Length: {len(block) if size is None else size}".encode()
+                + warc.END + block + warc.END)
+
+    good = response(1, b"one") + response(2, b"two")
+    packed = gzip.compress(response(7, b"seven")) + gzip.compress(response(8, bytes(range(256)) * 40))
+    files = {"part-a": good,
+             "part-b": b"rubbish\r\n\r\n" + response(3, b"three") + response(4, b"", size="x") + response(5, b"five", body=b"9\r\nshort\r\n") + response(6, b"six", size=10**6),
+             "part-c": packed[:-40], "part-d": b"\x1f\x8b no gzip"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.payload_bytes) for r in got if r.error is None) == [(1, 3), (2, 3), (3, 5), (7, 5)]
+    reasons = sorted(r.error.rsplit("/", 1)[1] for r in got if r.record_type == "error")
+    assert [r[:6] for r in reasons].count("part-b") == 4 and len([r for r in reasons if r.startswith("part-c")]) == 2
+    for part in ("part-b: no record at byte 0", "part-b: no length", "part-b: broken chunk framing", "part-b: record cut off", "part-c: gzip data cut off", "part-d: damaged gzip"):
+        assert any(r.startswith(part) for r in reasons), (part, reasons)
+    assert all(r.id == 5 for r in got if r.error and "framing" in r.error)
 
 
 def test_chunk_framing():

@@ -260,7 +260,7 @@ def test_stages_against_plain_versions(spark, sf, tmp_path):
             assert all(set(after[d].text.split("\n")) <= set(before[d].text.split("\n")) for d in after)
         elif name == "similar":
             want = plain_components([(d, r.text) for d, r in before.items()], 5, 80, 100)
-            assert set(after) == {d for d, (_, c) in want.items() if c == d}
+            assert set(after) == {d for d, (_, c, _) in want.items() if c == d}
         elif name == "leaks":
             items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
             leaked = {d for d, _ in plain_leaks([(d, r.text) for d, r in before.items() if any(w in r.text for _, t in items for w in [" ".join(re.split(r"\s+", t)[3:7])])], items)}
